@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.llm.common import uniform, word_count
+from lantern.llm.common import lookup, uniform, word_count
+from lantern.runtime import cut
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], most: float) -> list[float]:
@@ -95,18 +96,18 @@ def mix_counts(
     table = rates(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     fraction = F.col("rate") - F.floor("rate")
     extra = [F.sum(F.when(uniform(F.col("doc_id"), F.col("size"), seed=s) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(seeds)]
+    table = cut(table)
     chosen = (
-        narrow.select("doc_id", F.col("source").alias("__s"), "size")
-        .join(table.select("source", fraction.alias("fraction")), F.expr("__s <=> source"))
+        lookup(narrow.select("doc_id", F.col("source").alias("__s"), "size"), table.select("source", fraction.alias("fraction")), "__s <=> source")
         .groupBy("source")
         .agg(*extra)
         .join(table.withColumnRenamed("source", "__t"), F.expr("source <=> __t"))
     )
     wanted = F.col("target") - F.floor("rate") * F.col("source_size")
     off = F.array(*[F.struct(F.abs(F.col(f"s{s}") - wanted).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)])
-    plan = chosen.select("__t", "source_size", "target", "rate", F.array_min(off)["seed"].alias("seed"))
+    plan = cut(chosen.select("__t", "source_size", "target", "rate", F.array_min(off)["seed"].alias("seed")))
     drawn = F.shiftrightunsigned(F.xxhash64("seed", "doc_id", "size"), 11) / F.lit(float(1 << 53))
-    return narrow.join(plan, F.expr("source <=> __t")).withColumn("n_copies", copies(F.col("rate"), drawn)).drop("__t")
+    return lookup(narrow, plan, "source <=> __t").withColumn("n_copies", copies(F.col("rate"), drawn)).drop("__t")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -22,8 +22,8 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 40) -
     projected rows nearest to their own signs, found by alternating signs and a Procrustes fit.
     """
     mean = sample.mean(axis=0)
-    _, _, directions = np.linalg.svd(sample - mean, full_matrices=True)
-    basis = directions[:bits].T
+    _, directions = np.linalg.eigh((sample - mean).T @ (sample - mean))
+    basis = directions[:, ::-1][:, :bits]
     rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     flat = (sample - mean) @ basis
     for _ in range(rounds):

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm.common import table
+from lantern.llm.langid import identify_languages
+from lantern.llm.lengths import length_histogram, suffix_sums
+from lantern.llm.licenses import scan_licenses
 from lantern.llm.mixing import mix_counts
 from lantern.llm.neardup import near_duplicates
+from lantern.llm.ngram_join import jaccard_components
+from lantern.llm.packing import pack
+from lantern.llm.quality import fit_quality, score_quality
 from lantern.llm.sharding import assign_shards, topology
 from lantern.llm.topk import integer_vectors, top_k
 
@@ -23,15 +29,43 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op4_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    # The tables have no addresses: the source is the host, its language section the path.
+    scored = score_quality(docs, model, F.col("source"), F.col("lang"))
+    return scored.select("doc_id", "source", "lang", "text_p", "host_p", "path_p", "quality_p", "quality_keep")
+
+
 def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), topology(8))
 
 
+def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_counts(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"), "n_copies", "source")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -54,4 +88,14 @@ def oracle_sql() -> dict[str, str]:
             c as (select n, min(m) as component_id from reach group by n)
             select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept
             from embeddings e join c on c.n = e.vec_id""",
+        "op8_ngram_jaccard_join": r"""
+            with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+            sets as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                     else list_distinct([array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)]) end as s from w),
+            tok as materialized (select doc_id, len(s) as n, hash(unnest(s)) as t from sets),
+            links as materialized (select a.doc_id as a, b.doc_id as b from tok a join tok b on a.t = b.t and a.doc_id <> b.doc_id
+                                   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+            reach as (select doc_id as n, doc_id as m from documents union select r.n, l.b from reach r join links l on l.a = r.m),
+            c as (select n, min(m) as component_id from reach group by n)
+            select s.doc_id, len(s.s) as n_shingles, c.component_id from sets s join c on c.n = s.doc_id""",
     }
