@@ -49,7 +49,7 @@ class Orders:
         """
         n = len(tokens)
         size = n - -(-self.percent * n // 100) + 1
-        rank = (np.minimum(df, np.uint64((1 << 20) - 1)) << np.uint64(44)) | (mix64(tokens + _SALT * np.uint64(order + 1)) >> np.uint64(20))
+        rank = (np.minimum(df, np.uint64((1 << 20) - 1)) << np.uint64(44)) | (mix64(tokens + np.uint64(int(_SALT) * (order + 1) % (1 << 64))) >> np.uint64(20))
         return tokens[np.argsort(rank, kind="stable")[:size]]
 
 
