@@ -256,7 +256,7 @@ def _distinct_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for grp, sids, ns in zip(pdf["grp"], pdf["a"], pdf["ns"], strict=True):
-            yield pd.DataFrame({"grp": int(grp), "sid": np.frombuffer(sids, dtype=np.int64), "n": np.frombuffer(ns, dtype=np.uint32).astype(np.int64)})
+            yield pd.DataFrame({"grp": int(grp), "sid": np.frombuffer(sids, dtype=np.int64), "n": np.frombuffer(ns, dtype=np.int64)})
 
 
 def _between(percent: int, deals: int):
