@@ -286,7 +286,8 @@ def _wanted_sets(width: int, orders):
         rows, size = [], 0
         for sid, own in _unique_sets(batches, width):
             df = value.frequency(own)
-            prefixes = [np.sort(value.prefix(own, df, k)).tobytes() for k in range(1, value.count)]
+            # Half of each token is enough to filter by; the whole sets decide.
+            prefixes = [np.unique((value.prefix(own, df, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for k in range(1, value.count)]
             rows.append((sid, own.tobytes(), prefixes))
             size += len(own)
             if size > 500_000:
@@ -312,10 +313,11 @@ def _verified(percent: int):
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = lambda x: np.frombuffer(x, dtype=np.uint64)
+        half = lambda x: np.frombuffer(x, dtype=np.uint32)
         for pdf in batches:
             good = []
             for a, b, ta, tb, pa, pb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], pdf["pa"], pdf["pb"], strict=True):
-                if all(_common(read(x), read(y)) for x, y in zip(pa, pb, strict=True)):
+                if all(_common(half(x), half(y)) for x, y in zip(pa, pb, strict=True)):
                     ta, tb = read(ta), read(tb)
                     both = _common(ta, tb)
                     if 100 * both >= percent * (len(ta) + len(tb) - both):
@@ -332,7 +334,7 @@ def jaccard_components(
     orders: int = 3,
     hot_tokens: int = 1 << 18,
     hot_from: int = 8,
-    small_group: int = 24,
+    small_group: int = 4,
     big_token: int = 200_000,
     cell_rows: int = 2_000,
     doc_id: str = "doc_id",
