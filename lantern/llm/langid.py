@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.llm.common import slices, uniform
+from lantern.runtime import small_batches
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -195,6 +196,7 @@ def fit_languages(docs: DataFrame, per_language: int = 600, chars: int = 800, do
 
 def predictor(docs: DataFrame, net: ByteNet):
     """A column function from texts to ``struct<lang, score>``; texts are its only input."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang string, score double")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.runtime import small_batches
+
 #: Fixed: how byte-level BPE of this vocabulary cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,6 +34,7 @@ def token_counter(docs: DataFrame, vocabulary: str = VOCABULARY):
 
     The driver reads the vocabulary, a file of fixed size, and sends it to the executors.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     @F.pandas_udf("long")

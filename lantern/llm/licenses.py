@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import slices
 from lantern.llm.text import ALNUM, Words, mix64
+from lantern.runtime import small_batches
 
 #: Fixed: notices by which public licenses are applied or granted.
 NOTICES = {
@@ -132,6 +133,7 @@ def scan_licenses(
     Texts that are null, empty or without a match give no row; repeated rows give a row each. A
     text with fewer than ``width`` words is one shingle, and so is such a notice.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Templates(notices, containment, width))
 
     def scan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

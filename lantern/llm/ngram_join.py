@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lantern.llm.common import lookup, slices
 from lantern.llm.text import Words, mix64, set_id
 from lantern.operators.components import connected_components
-from lantern.runtime import cut
+from lantern.runtime import cut, small_batches
 
 _DROP = np.uint64(24)
 #: Bits of a token that its slice and place keep.
@@ -360,6 +360,7 @@ def jaccard_components(
     empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = cut(base.select("doc_id", _describe(width)("text").alias("d")).select("doc_id", "d.sid", F.col("d.n").alias("n")))
     reps = cut(described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")))

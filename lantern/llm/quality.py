@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lantern.llm.common import lookup, slices
 from lantern.llm.text import Words
-from lantern.runtime import cut
+from lantern.runtime import cut, small_batches
 
 #: Byte classes: lower, upper, digit, mark, bang, bar, other ASCII, beyond ASCII, blank.
 _CLASS = np.full(256, 6, dtype=np.uint8)
@@ -87,6 +87,7 @@ def fit_text_model(x: np.ndarray, good: np.ndarray, penalty: float = 0.05, round
 
 def text_probability(docs: DataFrame, model: TextModel):
     """A column function from texts to the probability of good quality; null for texts without a word."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -113,6 +114,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc_id
 
     An id that is labelled more than once counts by the mean of its labels.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(good).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg((F.avg(good) >= 0.5).cast("double").alias("good"))
     marks = marks.orderBy(F.xxhash64("id")).limit(sample)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
