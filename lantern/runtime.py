@@ -39,3 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, so lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows of long texts go to Python in batches of at most ``rows``, so that a worker's memory doesn't follow the text's length times thousands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
