@@ -87,12 +87,14 @@ def mix_counts(
     rows with the same id and size are drawn alike; a source without words has rate 0; an empty
     table gives no rows. With ``keep`` the columns of ``docs`` come along as struct ``row``.
     """
-    narrow = docs.select(
+    full = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []),
     )
+    # Texts are read once for the counts; the rows themselves only once more where they are wanted.
+    narrow = cut(full.select("doc_id", "source", "size"))
     table = rates(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     fraction = F.col("rate") - F.floor("rate")
     extra = [F.sum(F.when(uniform(F.col("doc_id"), F.col("size"), seed=s) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(seeds)]
@@ -107,7 +109,7 @@ def mix_counts(
     off = F.array(*[F.struct(F.abs(F.col(f"s{s}") - wanted).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)])
     plan = cut(chosen.select("__t", "source_size", "target", "rate", F.array_min(off)["seed"].alias("seed")))
     drawn = F.shiftrightunsigned(F.xxhash64("seed", "doc_id", "size"), 11) / F.lit(float(1 << 53))
-    return lookup(narrow, plan, "source <=> __t").withColumn("n_copies", copies(F.col("rate"), drawn)).drop("__t")
+    return lookup(full if keep else narrow, plan, "source <=> __t").withColumn("n_copies", copies(F.col("rate"), drawn)).drop("__t")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

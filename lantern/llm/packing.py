@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm.common import ranked, word_count
+from lantern.runtime import cut
 
 
 def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
@@ -84,7 +85,8 @@ def pack(
     lengths are packed as rows of their own. An empty table gives no rows; extra columns are left out.
     """
     size = word_count(F.col("text")) if length is None else length
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("__size"))
+    # Texts are read once; what follows needs two numbers a row.
+    narrow = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("__size")))
     cut_rows = pieces(narrow, F.col("__size"), max_length).drop("__size")
     histogram = cut_rows.groupBy("length").count().orderBy("length").toPandas()
     bounds = optimal_boundaries(histogram["length"].tolist(), histogram["count"].tolist(), buckets) or [0]

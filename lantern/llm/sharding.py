@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm.common import ranked, uniform
+from lantern.runtime import cut
 
 
 @dataclass(frozen=True)
@@ -85,11 +86,12 @@ def assign_shards(docs: DataFrame, leaves: list[Leaf], key: str = "doc_id", text
     order of size and checksum; an empty table gives no rows. Only fixed-width columns are
     shuffled, never texts, and the extra columns of ``docs`` are left out.
     """
-    narrow = docs.select(
+    # Texts are read once; what follows needs a few numbers a row.
+    narrow = cut(docs.select(
         F.col(key).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col(text).cast("binary")).cast("long").alias("text_crc32"),
-    )
+    ))
     placed = narrow.select(
         "*",
         F.lit("key").alias("law"),
