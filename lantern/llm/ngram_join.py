@@ -36,7 +36,7 @@ class Orders:
     def frequency(self, tokens: np.ndarray) -> np.ndarray:
         out = np.zeros(len(tokens), dtype=np.uint64)
         if len(self.hot):
-            lead = tokens >> _DROP
+            lead = (tokens >> _DROP) & ~np.uint64(255)  # as counted
             at = np.minimum(np.searchsorted(self.hot, lead), len(self.hot) - 1)
             same = self.hot[at] == lead
             out[same] = self.df[at[same]]
@@ -115,7 +115,9 @@ def _token_places(cuts: _Cuts, width: int, flush: int = 1_500_000):
 
         def out():
             at, place = cuts.of(np.concatenate(held))
-            return pd.DataFrame(_dealt(at, place), columns=["slice", "places"])
+            # The leading 24 of a place's 32 bits: two tokens that share them count together, which an order may.
+            short = place.view(np.uint8).reshape(-1, 4)[:, 1:]
+            return pd.DataFrame(_dealt(at, short), columns=["slice", "places"])
 
         for _, own in _unique_sets(batches, width):
             held.append(own)
@@ -132,7 +134,10 @@ def _token_places(cuts: _Cuts, width: int, flush: int = 1_500_000):
 def _frequent(cuts: _Cuts, most: int, least: int):
     def frequent(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["slice"].iloc[0])
-        place, df = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["places"]]), return_counts=True)
+        short = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, 3) for x in pdf["places"]])
+        whole = np.zeros((len(short), 4), dtype=np.uint8)
+        whole[:, 1:] = short
+        place, df = np.unique(whole.view(np.uint32).ravel(), return_counts=True)
         keep = df >= least
         place, df = place[keep], df[keep]
         if len(place) > most:  # the most frequent ones, ties by place
@@ -260,41 +265,75 @@ def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _between(percent: int, deals: int):
-    """Pairs of a cell whose sets are in different components and alike enough in size."""
-
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf["low"].iloc[0] == pdf["high"].iloc[0]
-        a = pdf if one else pdf[pdf["cell"] == pdf["low"]]
-        b = pdf if one else pdf[pdf["cell"] != pdf["low"]]
-        rows = []
-        for start in range(0, len(a), 500):
-            part = a.iloc[start : start + 500]
-            x, y = part["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-            ok = (part["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            i, j = np.nonzero(ok)
-            rows += _pair_blobs(part["sid"].to_numpy()[i], b["sid"].to_numpy()[j], deals)
-        return pd.DataFrame([r[:3] for r in rows], columns=["deal", "a", "b"])
+    """Pairs of each cell whose sets are in different components and alike enough in size; cells come sorted and may go over frames."""
+    where = ["grp", "low", "high"]
+
+    def pairs_of(sid, n, component, low_side) -> tuple[np.ndarray, np.ndarray]:
+        a = np.flatnonzero(low_side)
+        b = np.flatnonzero(~low_side) if not low_side.all() else a
+        left, right = [], []
+        for s in range(0, len(a), 512):
+            part = a[s : s + 512]
+            x, y = n[part][:, None], n[b][None, :]
+            i, j = np.nonzero((component[part][:, None] != component[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+            left.append(sid[part[i]])
+            right.append(sid[b[j]])
+        return np.concatenate(left), np.concatenate(right)
+
+    def between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in _ended(frames):
+            last = pdf is None
+            if not last:
+                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if rest is None or rest.empty:
+                continue
+            cell = rest[where].to_numpy()
+            edges = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+            stop = len(rest) if last else (int(edges[-1]) if len(edges) else 0)
+            if not stop:
+                continue
+            sid, n, component = (rest[c].to_numpy()[:stop] for c in ("sid", "n", "component"))
+            one_side, low_side = cell[:stop, 1] == cell[:stop, 2], (rest["cell"] == rest["low"]).to_numpy()[:stop]
+            found = []
+            bounds = [0, *edges[edges < stop].tolist(), stop]
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                side = low_side[s:e]
+                if one_side[s] or (side.any() and not side.all()):
+                    found.append(pairs_of(sid[s:e], n[s:e], component[s:e], side))
+            rest = rest.iloc[stop:].reset_index(drop=True)
+            if found:
+                rows = _pair_blobs(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), deals)
+                yield pd.DataFrame([r[:3] for r in rows], columns=["deal", "a", "b"])
 
     return between
 
 
-def _wanted_sets(width: int, orders):
-    """Of the texts: set id, tokens, and the prefixes under the second and later orders."""
+def _ended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from frames
+    yield None
+
+
+def _wanted(width: int, orders, prefixes: bool):
+    """Of the texts: set id, and either the prefixes under the second and later orders or the whole tokens."""
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         value = orders.value
         rows, size = [], 0
         for sid, own in _unique_sets(batches, width):
-            df = value.frequency(own)
-            # Half of each token is enough to filter by; the whole sets decide.
-            prefixes = [np.unique((value.prefix(own, df, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for k in range(1, value.count)]
-            rows.append((sid, own.tobytes(), prefixes))
+            if prefixes:
+                df = value.frequency(own)
+                # Half of each token is enough to filter by; the whole sets decide.
+                sets = [np.unique((value.prefix(own, df, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for k in range(1, value.count)]
+            else:
+                sets = [own.tobytes()]
+            rows.append((sid, sets))
             size += len(own)
             if size > 500_000:
-                yield pd.DataFrame(rows, columns=["sid", "tokens", "prefixes"])
+                yield pd.DataFrame(rows, columns=["sid", "sets"])
                 rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["sid", "tokens", "prefixes"])
+            yield pd.DataFrame(rows, columns=["sid", "sets"])
 
     return wanted
 
@@ -308,23 +347,27 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def _verified(percent: int):
-    """Pairs that share a prefix token under every other order too, and whose whole sets are similar enough."""
+def _share_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that share a prefix token under every one of the other orders."""
+    half = lambda x: np.frombuffer(x, dtype=np.uint32)
+    for pdf in batches:
+        keep = [all(_common(half(p), half(q)) for p, q in zip(x, y, strict=True)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+        yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+
+def _similar(percent: int):
+    """Pairs whose whole sets are similar enough."""
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = lambda x: np.frombuffer(x, dtype=np.uint64)
-        half = lambda x: np.frombuffer(x, dtype=np.uint32)
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = []
-            for a, b, ta, tb, pa, pb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], pdf["pa"], pdf["pb"], strict=True):
-                if all(_common(half(x), half(y)) for x, y in zip(pa, pb, strict=True)):
-                    ta, tb = read(ta), read(tb)
-                    both = _common(ta, tb)
-                    if 100 * both >= percent * (len(ta) + len(tb) - both):
-                        good.append((a, b))
-            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+            keep = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                p, q = np.frombuffer(x[0], dtype=np.uint64), np.frombuffer(y[0], dtype=np.uint64)
+                both = _common(p, q)
+                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    return verified
+    return similar
 
 
 def jaccard_components(
@@ -377,7 +420,7 @@ def jaccard_components(
     posted = texts.mapInPandas(_postings(cuts, shared, width, big_token), "slice long, salt long, places binary, sids binary, ns binary")
     met = cut(posted.groupBy("slice", "salt").applyInPandas(_candidates(cuts, percent, small_group, deals), "deal long, a binary, b binary, grp long, ns binary"))
     pairs = cut(met.where("grp is null").groupBy("deal").applyInPandas(_distinct_pairs, "a long, b long"))
-    links = _link(base, described, reps, pairs, shared, width, percent)
+    links = _link(base, reps, pairs, shared, width, percent)
     component = connected_components(links, "a", "b")
 
     groups = met.where("grp is not null").dropDuplicates(["grp", "a"]).mapInPandas(_exploded, "grp long, sid long, n long")
@@ -387,10 +430,11 @@ def jaccard_components(
     inside = labelled.join(open_groups, "grp").distinct()
     cells = inside.withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     cells = cells.withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
-    more = cells.groupBy("grp", "low", "high").applyInPandas(_between(percent, deals), "deal long, a binary, b binary")
+    where = ["grp", "low", "high"]
+    more = cells.repartition(*where).sortWithinPartitions(*where).mapInPandas(_between(percent, deals), "deal long, a binary, b binary")
     late = cut(more.groupBy("deal").applyInPandas(_distinct_pairs, "a long, b long").join(pairs, ["a", "b"], "left_anti"))
     if not late.isEmpty():
-        links = links.union(_link(base, described, reps, late, shared, width, percent))
+        links = links.union(_link(base, reps, late, shared, width, percent))
         component = connected_components(links, "a", "b")
 
     # A set of one row that links with nothing needs no look-up: its row is its component.
@@ -402,19 +446,24 @@ def jaccard_components(
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _link(base: DataFrame, described: DataFrame, reps: DataFrame, pairs: DataFrame, orders, width: int, percent: int, at_once: int = 300_000) -> DataFrame:
-    """The pairs that hold, by whole sets of their texts.
+def _link(base: DataFrame, reps: DataFrame, pairs: DataFrame, orders, width: int, percent: int) -> DataFrame:
+    """The pairs that hold: first by the prefixes under the other orders, which are short, then by whole sets."""
+    close = cut(_with_sets(base, reps, pairs, _wanted(width, orders, True)).mapInPandas(_share_prefixes, "a long, b long"))
+    return cut(_with_sets(base, reps, close, _wanted(width, orders, False)).mapInPandas(_similar(percent), "a long, b long"))
+
+
+def _with_sets(base: DataFrame, reps: DataFrame, pairs: DataFrame, wanted, at_once: int = 300_000) -> DataFrame:
+    """``a, b, x, y``: pairs with what ``wanted`` makes of the texts of both.
 
-    Texts of the sets in question are looked up by the least id with that set, through a broadcast
-    where they are ``at_once`` at most and through a shuffle otherwise.
+    The texts of the sets in question are looked up by the least id with that set, through a
+    broadcast where they are ``at_once`` at most and through a shuffle otherwise.
     """
     sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = cut(reps.join(sids, "sid").select(F.col("rep").alias("of"), "sid"))
-    ids = wanted.select("of").distinct()
+    asked = cut(reps.join(sids, "sid").select(F.col("rep").alias("of"), "sid"))
+    ids = asked.select("of").distinct()
     ids = F.broadcast(ids) if ids.count() <= at_once else ids
     texts = base.where("text is not null").join(ids, F.expr("doc_id <=> of"), "left_semi").select("text")
-    sets = texts.mapInPandas(_wanted_sets(width, orders), "sid long, tokens binary, prefixes array<binary>").dropDuplicates(["sid"])
-    sets = sets.join(wanted.select("sid"), "sid", "left_semi")
-    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"), F.col("prefixes").alias("pa"))
-    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"), F.col("prefixes").alias("pb"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInPandas(_verified(percent), "a long, b long"))
+    sets = texts.mapInPandas(wanted, "sid long, sets array<binary>").dropDuplicates(["sid"]).join(asked.select("sid"), "sid", "left_semi")
+    left = sets.select(F.col("sid").alias("a"), F.col("sets").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("sets").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
