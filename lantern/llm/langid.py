@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.llm.common import slices, uniform
-from lantern.runtime import small_batches
+from lantern.llm.common import lookup, slices, uniform
+from lantern.runtime import cut, small_batches
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -181,7 +181,7 @@ def fit_languages(docs: DataFrame, per_language: int = 600, chars: int = 800, do
     counts = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
     some = (
-        known.join(counts, F.col("lang") == F.col("of"))
+        lookup(known, cut(counts), "lang = of", how="inner")
         .where(uniform(F.col("doc_id")) < F.lit(1.3 * per_language + 20) / F.col("n"))
         .select("doc_id", "lang", F.substr("text", start, F.lit(chars)).alias("text"))
     )
