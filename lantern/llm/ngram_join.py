@@ -109,7 +109,7 @@ def _dealt(at: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield (int(at[s]), *[c[s:e].tobytes() for c in columns])
 
 
-def _token_places(cuts: _Cuts, width: int, flush: int = 1_500_000):
+def _token_places(cuts: _Cuts, width: int, flush: int = 500_000):
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
@@ -148,7 +148,7 @@ def _frequent(cuts: _Cuts, most: int, least: int):
     return frequent
 
 
-def _postings(cuts: _Cuts, orders, width: int, big: int, flush: int = 1_000_000):
+def _postings(cuts: _Cuts, orders, width: int, big: int, flush: int = 400_000):
     """The prefixes under the first order; tokens of over ``big`` documents are dealt over several salts."""
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,6 +159,7 @@ def _postings(cuts: _Cuts, orders, width: int, big: int, flush: int = 1_000_000)
             df = np.concatenate([x[1] for x in held])
             lengths = [len(x[0]) for x in held]
             sid = np.repeat(np.array([x[2] for x in held], dtype=np.int64), lengths)
+            spot = np.concatenate([np.minimum(np.arange(k), 65535) for k in lengths]).astype(np.uint16)
             n = np.repeat(np.array([x[3] for x in held], dtype=np.uint32), lengths)
             at, place = cuts.of(tokens)
             rows = []
@@ -166,8 +167,8 @@ def _postings(cuts: _Cuts, orders, width: int, big: int, flush: int = 1_000_000)
             salt = np.where(parts > 0, sid % (parts + 1), -1)
             for s in np.unique(salt):
                 m = salt == s
-                rows += [(x[0], int(s), *x[1:]) for x in _dealt(at[m], place[m], sid[m], n[m])]
-            return pd.DataFrame(rows, columns=["slice", "salt", "places", "sids", "ns"])
+                rows += [(x[0], int(s), *x[1:]) for x in _dealt(at[m], place[m], sid[m], n[m], spot[m])]
+            return pd.DataFrame(rows, columns=["slice", "salt", "places", "sids", "ns", "spots"])
 
         value = orders.value
         for sid, own in _unique_sets(batches, width):
@@ -191,63 +192,77 @@ def _pair_blobs(a: np.ndarray, b: np.ndarray, deals: int) -> list[tuple]:
         pairs = np.unique(np.stack([low, high], axis=1), axis=0)
         low, high = pairs[:, 0], pairs[:, 1]
     at = mix64(low.astype(np.uint64) * _SALT + high.astype(np.uint64)) % np.uint64(deals)
-    return [(d, x, y, None, None) for d, x, y in _dealt(at.astype(np.int64), low, high)]
+    return [(d, x, y, None, None, None) for d, x, y in _dealt(at.astype(np.int64), low, high)]
+
+
+def _may_link(percent: int, n, e, m, f):
+    """Whether sets of ``n`` and ``m`` tokens can be similar: their sizes allow it, and so does what may be common.
+
+    ``e`` and ``f`` count the tokens from the shared one on. Before the first token that two sets
+    share in an order they share none, so that the lesser count bounds what they share.
+    """
+    needed = -(-percent * (n + m) // (100 + percent))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(e, f) >= needed)
 
 
 def _candidates(cuts: _Cuts, percent: int, small: int, deals: int):
     """Pairs of sets that share a prefix token, and the groups whose pairs are too many to list.
 
-    Groups of at most ``small`` sets give all their pairs that the sizes allow. Larger ones give
-    each set's pair with the smallest set, and the group itself for the second round.
+    Groups of at most ``small`` sets give all pairs that may link. Larger ones give each set's pair
+    with the set in which the token comes earliest, the one with the fewest tokens of its own, and
+    the group itself for the second round, without the sets that can't link with any of it.
     """
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         at, salted = int(pdf["slice"].iloc[0]), int(pdf["salt"].iloc[0]) >= 0
-        place = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["places"]])
-        sid = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["sids"]])
-        n = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["ns"]]).astype(np.int64)
-        order = np.lexsort((sid, n, place))
-        place, sid, n = place[order], sid[order], n[order]
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in pdf[c]])
+        place, sid = read("places", np.uint32), read("sids", np.int64)
+        n, spot = read("ns", np.uint32).astype(np.int64), read("spots", np.uint16).astype(np.int64)
+        order = np.lexsort((sid, n, spot, place))
+        place, sid, n, e = place[order], sid[order], n[order], (n - spot)[order]
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (sid[1:] != sid[:-1])])
-        place, sid, n = place[new], sid[new], n[new]
+        place, sid, n, e = place[new], sid[new], n[new], e[new]
         heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         counts = np.diff(np.concatenate([heads, [len(place)]]))
         if not salted:
             many = counts > 1
             keep = np.repeat(many, counts)
-            place, sid, n, counts = place[keep], sid[keep], n[keep], counts[many]
+            place, sid, n, e, counts = place[keep], sid[keep], n[keep], e[keep], counts[many]
             heads = np.cumsum(counts) - counts
         if not len(place):
-            return pd.DataFrame(columns=["deal", "a", "b", "grp", "ns"])
+            return pd.DataFrame(columns=["deal", "a", "b", "grp", "ns", "es"])
         group = np.repeat(np.arange(len(counts)), counts)
         large = counts > small if not salted else np.ones(len(counts), dtype=bool)
         left, right = [], []
         rest = np.flatnonzero(~large[group])
-        g, s, size = group[rest], sid[rest], n[rest]
+        g, s, size, left_over = group[rest], sid[rest], n[rest], e[rest]
         for d in range(1, small):
             if len(g) <= d:
                 break
-            ok = (g[d:] == g[:-d]) & (100 * size[:-d] >= percent * size[d:])
+            ok = (g[d:] == g[:-d]) & _may_link(percent, size[:-d], left_over[:-d], size[d:], left_over[d:])
             left.append(s[:-d][ok])
             right.append(s[d:][ok])
         star = np.flatnonzero(large[group])
         pivot = heads[group[star]]
-        ok = (star != pivot) & (100 * n[pivot] >= percent * n[star])
+        ok = (star != pivot) & _may_link(percent, n[pivot], e[pivot], n[star], e[star])
         left.append(sid[pivot[ok]])
         right.append(sid[star[ok]])
         rows = _pair_blobs(np.concatenate(left), np.concatenate(right), deals)
-        listed: set[int] = set()
+        # The least partner that a set may have in its group shows whether it can link at all.
+        least = np.maximum(np.minimum.reduceat(n, heads)[group], -(-percent * n // 100))
+        able = e >= -(-percent * (n + least) // (100 + percent)) if not salted else np.ones(len(n), dtype=bool)
+        listed: dict[int, np.ndarray] = {}
         for i in np.flatnonzero(large):
-            s, e = heads[i], heads[i] + counts[i]
-            if salted:
-                name = int(mix64(cuts.lead(at, place[s : s + 1]))[0] >> np.uint64(1))
-            else:
-                name = int(set_id(sid[s:e].astype(np.uint64)))
-                if name in listed:
-                    continue
-                listed.add(name)
-            rows.append((None, sid[s:e].tobytes(), None, name, n[s:e].tobytes()))
-        return pd.DataFrame(rows, columns=["deal", "a", "b", "grp", "ns"], dtype=object)
+            own = np.arange(heads[i], heads[i] + counts[i])
+            own = own[able[own]]
+            if len(own) < (1 if salted else 2):
+                continue
+            own = own[np.argsort(sid[own])]
+            name = int(mix64(cuts.lead(at, place[own[:1]]))[0] >> np.uint64(1)) if salted else int(set_id(sid[own].astype(np.uint64)))
+            seen = listed.get(name)
+            listed[name] = np.stack([sid[own], n[own], e[own] if seen is None else np.maximum(seen[2], e[own])])
+        rows += [(None, x[0].tobytes(), None, name, x[1].tobytes(), x[2].tobytes()) for name, x in listed.items()]
+        return pd.DataFrame(rows, columns=["deal", "a", "b", "grp", "ns", "es"], dtype=object)
 
     return candidates
 
@@ -260,22 +275,23 @@ def _distinct_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for grp, sids, ns in zip(pdf["grp"], pdf["a"], pdf["ns"], strict=True):
-            yield pd.DataFrame({"grp": int(grp), "sid": np.frombuffer(sids, dtype=np.int64), "n": np.frombuffer(ns, dtype=np.int64)})
+        for grp, *blobs in zip(pdf["grp"], pdf["a"], pdf["ns"], pdf["es"], strict=True):
+            sid, n, e = (np.frombuffer(x, dtype=np.int64) for x in blobs)
+            yield pd.DataFrame({"grp": int(grp), "sid": sid, "n": n, "e": e})
 
 
 def _between(percent: int, deals: int):
     """Pairs of each cell whose sets are in different components and alike enough in size; cells come sorted and may go over frames."""
     where = ["grp", "low", "high"]
 
-    def pairs_of(sid, n, component, low_side) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(sid, n, e, component, low_side) -> tuple[np.ndarray, np.ndarray]:
         a = np.flatnonzero(low_side)
         b = np.flatnonzero(~low_side) if not low_side.all() else a
         left, right = [], []
         for s in range(0, len(a), 512):
             part = a[s : s + 512]
-            x, y = n[part][:, None], n[b][None, :]
-            i, j = np.nonzero((component[part][:, None] != component[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+            apart = component[part][:, None] != component[b][None, :]
+            i, j = np.nonzero(apart & _may_link(percent, n[part][:, None], e[part][:, None], n[b][None, :], e[b][None, :]))
             left.append(sid[part[i]])
             right.append(sid[b[j]])
         return np.concatenate(left), np.concatenate(right)
@@ -293,14 +309,14 @@ def _between(percent: int, deals: int):
             stop = len(rest) if last else (int(edges[-1]) if len(edges) else 0)
             if not stop:
                 continue
-            sid, n, component = (rest[c].to_numpy()[:stop] for c in ("sid", "n", "component"))
+            sid, n, left_over, component = (rest[c].to_numpy()[:stop] for c in ("sid", "n", "e", "component"))
             one_side, low_side = cell[:stop, 1] == cell[:stop, 2], (rest["cell"] == rest["low"]).to_numpy()[:stop]
             found = []
             bounds = [0, *edges[edges < stop].tolist(), stop]
             for s, e in zip(bounds, bounds[1:], strict=False):
                 side = low_side[s:e]
                 if one_side[s] or (side.any() and not side.all()):
-                    found.append(pairs_of(sid[s:e], n[s:e], component[s:e], side))
+                    found.append(pairs_of(sid[s:e], n[s:e], left_over[s:e], component[s:e], side))
             rest = rest.iloc[stop:].reset_index(drop=True)
             if found:
                 rows = _pair_blobs(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), deals)
@@ -391,7 +407,7 @@ def jaccard_components(
        orders; the others follow one hash per order. Similar sets share a token of their prefixes
        under every one of the orders, and passages that many texts hold are in few prefixes.
     3. Prefix tokens under the first order are dealt by token. A small group gives all its pairs, a
-       large one pairs with its smallest set. Pairs must share a prefix token under all other orders;
+       large one pairs with the set in which the token comes first. Pairs must share a prefix token under all other orders;
        then whole sets are compared, exactly.
     4. In large groups, pairs of sets that the links so far don't connect follow in cells, so no task
        gets a whole group; pairs inside a component can't change it. So no link between different
@@ -417,17 +433,18 @@ def jaccard_components(
     hot = hot.orderBy(F.desc("df"), "lead").limit(hot_tokens).toPandas().sort_values("lead")
     shared = spark.sparkContext.broadcast(Orders(hot["lead"].to_numpy().astype(np.uint64), hot["df"].to_numpy().astype(np.uint64), percent, orders))
 
-    posted = texts.mapInPandas(_postings(cuts, shared, width, big_token), "slice long, salt long, places binary, sids binary, ns binary")
-    met = cut(posted.groupBy("slice", "salt").applyInPandas(_candidates(cuts, percent, small_group, deals), "deal long, a binary, b binary, grp long, ns binary"))
+    posted = texts.mapInPandas(_postings(cuts, shared, width, big_token), "slice long, salt long, places binary, sids binary, ns binary, spots binary")
+    met = cut(posted.groupBy("slice", "salt").applyInPandas(_candidates(cuts, percent, small_group, deals), "deal long, a binary, b binary, grp long, ns binary, es binary"))
     pairs = cut(met.where("grp is null").groupBy("deal").applyInPandas(_distinct_pairs, "a long, b long"))
     links = _link(base, reps, pairs, shared, width, percent)
     component = connected_components(links, "a", "b")
 
-    groups = met.where("grp is not null").dropDuplicates(["grp", "a"]).mapInPandas(_exploded, "grp long, sid long, n long")
+    groups = met.where("grp is not null").mapInPandas(_exploded, "grp long, sid long, n long, e long")
+    groups = groups.groupBy("grp", "sid").agg(F.max("n").alias("n"), F.max("e").alias("e"))
     labelled = groups.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_groups = labelled.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y")
     open_groups = open_groups.select("grp", F.ceil(F.col("rows") / cell_rows).alias("cells"))
-    inside = labelled.join(open_groups, "grp").distinct()
+    inside = labelled.join(open_groups, "grp")
     cells = inside.withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     cells = cells.withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
     where = ["grp", "low", "high"]

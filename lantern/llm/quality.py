@@ -142,7 +142,7 @@ def _logit(p: Column) -> Column:
 
 
 def score_quality(docs: DataFrame, model: TextModel, host: Column, path: Column, text: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """``docs`` with ``text_p, host_p, path_p, quality_p, quality_keep``.
+    """``row``, a struct of the columns of ``docs``, with ``text_p, host_p, path_p, quality_p, quality_keep``.
 
     The text model gives each document a probability. Sums per host and per path under a host give
     posterior means: a host is shrunk toward the mean of all documents, a path toward its host, each
@@ -152,10 +152,10 @@ def score_quality(docs: DataFrame, model: TextModel, host: Column, path: Column,
 
     Texts that are null or without a word have no evidence: ``text_p`` is null, they add nothing to
     their site, ``quality_p`` is 0, and they aren't kept. A null host or path is a site of its own.
-    Repeated rows count as rows. An empty table gives no rows. Other columns stay as they are, so
-    the names above must be free in ``docs``.
+    Repeated rows count as rows. An empty table gives no rows. Columns of any name stay whole in ``row``.
     """
-    scored = docs.withColumns({"__host": host, "__path": path, "text_p": text_probability(docs, model)(F.col(text))})
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    scored = docs.select(row, host.alias("__host"), path.alias("__path"), text_probability(docs, model)(F.col(text)).alias("text_p"))
     scored = scored.withColumn("text_p", F.nanvl("text_p", F.lit(None).cast("double")))
     # The probabilities are needed for the sums and for the rows: both read the same expression.
     known = scored.where("text_p is not null").groupBy("__host", "__path").agg(

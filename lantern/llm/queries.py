@@ -38,7 +38,7 @@ def op4_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     # The tables have no addresses: the source is the host, its language section the path.
     scored = score_quality(docs, model, F.col("source"), F.col("lang"))
-    return scored.select("doc_id", "source", "lang", "text_p", "host_p", "path_p", "quality_p", "quality_keep")
+    return scored.select("row.doc_id", "row.source", "row.lang", "text_p", "host_p", "path_p", "quality_p", "quality_keep")
 
 
 def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
