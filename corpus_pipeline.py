@@ -24,7 +24,7 @@ LANGUAGE_SCORE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality by text, source and language section is more likely good than not; blank and null texts go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, F.col("source"), F.col("lang")).where("quality_keep").select(*docs.columns)
+    return score_quality(docs, model, F.col("source"), F.col("lang")).where("quality_keep").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
