@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, qu
         sent = spark.sparkContext.broadcast((ids, wanted, lists))
         leaders = rows.mapInPandas(_leaders(lambda: sent.value, k), "query_id long, scores array<long>, lows array<long>")
         lows = F.array(*[F.min(F.col("lows")[b]) for b in range(lists)])
-        safe = leaders.groupBy("query_id").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), k).alias("cutoff"), lows.alias("lows"))
+        safe = leaders.groupBy("query_id").agg(F.try_element_at(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), F.lit(k)).alias("cutoff"), lows.alias("lows"))
         with_cut = safe.orderBy("query_id").toPandas().set_index("query_id").reindex(ids)
         least = np.array([[np.nan if v is None else v for v in x] if isinstance(x, (list, np.ndarray)) else [np.nan] * lists for x in with_cut["lows"]], dtype=float).T
         least = np.where(np.isnan(least), 0.0, least)
