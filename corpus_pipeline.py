@@ -18,7 +18,7 @@ from lantern.llm.quality import fit_quality, score_quality
 from lantern.runtime import cut, ensure_checkpoint_dir
 
 #: Least probability of its language with which a document stays.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,7 +203,7 @@ def sequential_groups(events: DataFrame, key: str, ts: str, gap_seconds: int = 3
     fresh = F.coalesce(F.col("__us") - F.lag("__us").over(ordered) > span, F.lit(True))
     stretch = rows.withColumn("__fresh", fresh.cast("int")).withColumn("__stretch", F.sum("__fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     times = stretch.groupBy(key, "__stretch").agg(F.array_sort(F.collect_set("__us")).alias("t"))
-    starts = F.aggregate("t", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > span), F.concat(acc, F.array(x))).otherwise(acc))
+    starts = F.aggregate("t", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > span), F.concat(acc, F.array(x))).otherwise(acc))
     begun = times.select(key, "__stretch", starts.alias("starts"))
     joined = stretch.join(begun, [key, "__stretch"])
     start = F.array_max(F.filter("starts", lambda s: s <= F.col("__us")))

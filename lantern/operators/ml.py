@@ -126,7 +126,7 @@ def lof_1d(points: DataFrame, keys: Sequence[str], value: str = "value", tie: Se
     place = F.row_number().over(order)
     rows = points.withColumn("__i", place).withColumn("__near", F.collect_list(F.struct(F.col("__i").alias("i"), F.col(value).alias("v"))).over(near.rowsBetween(-k, k)))
     ranked = F.slice(F.array_sort(F.transform(F.filter("__near", lambda n: n["i"] != F.col("__i")), lambda n: F.struct(F.abs(n["v"] - F.col(value)).alias("d"), n["i"].alias("i")))), 1, k)
-    rows = rows.withColumn("__nn", ranked).withColumn("__kd", F.element_at("__nn", -1)["d"]).drop("__near")
+    rows = rows.withColumn("__nn", ranked).withColumn("__kd", F.try_element_at("__nn", F.lit(-1))["d"]).drop("__near")
     # The distance and density of neighbours come from the same windows, looked up by place.
     wide = Window.partitionBy(*keys).orderBy("__i").rowsBetween(-k, k)
     rows = rows.withColumn("__kds", F.map_from_entries(F.collect_list(F.struct("__i", "__kd")).over(wide)))
