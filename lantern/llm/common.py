@@ -58,7 +58,7 @@ def ranked(df: DataFrame, group: str, order: list[str], slot: str, rows_per_cell
     )
 
 
-def slices(pdf: pd.DataFrame, column: str, limit: int = 2 << 20) -> Iterator[pd.DataFrame]:
+def slices(pdf: pd.DataFrame, column: str, limit: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """Runs of rows of about ``limit`` characters of ``column``; a longer text is a run of its own."""
     sizes = pdf[column].map(lambda x: 0 if x is None else len(x)).to_numpy()
     start, total = 0, 0

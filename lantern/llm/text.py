@@ -25,7 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 18), base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return _powers[base]
@@ -65,8 +65,8 @@ class Words:
         self.first = np.searchsorted(starts, begins)
         self.hashes = np.empty(len(starts), dtype=np.uint64)
         at = 0
-        while at < len(starts):  # about a megabyte at a time
-            stop = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 20))))
+        while at < len(starts):  # a quarter of a megabyte at a time
+            stop = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 18))))
             base, end = starts[at], ends[stop - 1]
             sums = np.zeros(end - base + 1, dtype=np.uint64)
             np.cumsum(alphabet.values[data[base:end]] * _power(_STEP, end - base)[: end - base], out=sums[1:])
