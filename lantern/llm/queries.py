@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import table
 from lantern.llm.langid import identify_languages
-from lantern.llm.lengths import length_histogram, suffix_sums
+from lantern.llm.lengths import length_histogram, suffix_sums, token_counter
 from lantern.llm.licenses import scan_licenses
 from lantern.llm.mixing import mix_counts
 from lantern.llm.neardup import near_duplicates
@@ -59,7 +59,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, length=token_counter(docs)(F.col("text")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

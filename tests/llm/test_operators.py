@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.llm import langid, lengths, licenses, mixing, neardup, ngram_join, packing, quality, sharding, topk
+from lantern.llm import langid, lengths, licenses, mixing, neardup, ngram_join, packing, quality, queries, sharding, topk
 from lantern.llm.text import Words
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -260,6 +260,18 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_query_counts_tokens(spark, small):
+    encode = lengths._encoding(open(lengths.VOCABULARY, "rb").read()).encode_ordinary
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    size = {r["doc_id"]: len(encode(r["text"] or "")) for r in docs}
+    found, batches = Counter(), Counter()
+    for r in queries.op9_bucket_packing(spark, small).collect():
+        assert r["length"] <= r["padded_length"] <= 2048
+        found[r["doc_id"]] += r["length"]
+        batches[r["bucket"], r["batch"]] += r["padded_length"]
+    assert found == size and max(batches.values()) <= 16_384
+
+
 def test_boundaries_are_optimal():
     import itertools
 
