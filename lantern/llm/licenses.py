@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,59 @@ NOTICES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Fixed: further notices, by the words in which headers and readmes use them.
+VARIANTS = {
+    "Apache-2.0-licensed": "licensed under the Apache License 2.0",
+    "Apache-2.0-disclaimer": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "MIT-licensed": "licensed under the MIT License",
+    "MIT-distributed": "distributed under the MIT License",
+    "MIT-available": "available under the MIT License",
+    "MIT-terms": "under the terms of the MIT License",
+    "MIT-disclaimer": "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+    "BSD-licensed": "licensed under the BSD License",
+    "BSD-3-Clause-licensed": "licensed under the BSD 3-Clause License",
+    "BSD-2-Clause-licensed": "licensed under the BSD 2-Clause License",
+    "BSD-disclaimer": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "GPL-licensed": "licensed under the GNU General Public License",
+    "LGPL-licensed": "licensed under the GNU Lesser General Public License",
+    "AGPL-licensed": "licensed under the GNU Affero General Public License",
+    "LGPL-grant": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-2.0-grant": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "AGPL-grant": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "AGPL-3.0-clause": "if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "EPL-2.0-v": "made available under the terms of the Eclipse Public License v2.0",
+    "EPL-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+
+#: Fixed: templates with much text in common; where they overlap in a document, only those of the highest containment count.
+FAMILIES = (
+    ("GPL-grant", "LGPL-grant", "LGPL-2.0-grant", "AGPL-grant"),
+    ("GPL-1.0-text", "GPL-2.0-text", "LGPL-2.0-text", "LGPL-2.1-text"),
+    ("GPL-3.0-text", "AGPL-3.0-clause"),
+    ("GFDL-1.2-text", "GFDL-1.3-text"),
+    ("MPL-1.1-text", "MPL-2.0-text"),
+    ("BSD-2-Clause-text", "BSD-3-Clause-text"),
+    ("MIT-text", "Unlicense-text"),
+    ("EPL-1.0", "EPL-2.0", "EPL-2.0-v"),
+    ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-SA-3.0", "CC-BY-NC-4.0-notice"),
+    ("CC-BY-4.0-short", "CC-BY-SA-4.0-short", "CC-BY-NC-4.0"),
+)
+
+#: Fixed: the line by which a file names its license, with an expression of identifiers.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)", re.IGNORECASE)
+
+
+def license_templates() -> dict[str, str]:
+    """All notices, and the bodies in ``license_texts`` under their names with ``-text``."""
+    folder = Path(__file__).with_name("license_texts")
+    return NOTICES | VARIANTS | {f"{p.stem}-text": p.read_text() for p in sorted(folder.glob("*.txt"))}
+
 
 def band_plan(similarity: float, assurance: float = 0.9999, rows: int = 1) -> int:
     """Bands of ``rows`` rows after which sets of that Jaccard similarity share one with the probability ``assurance``."""
@@ -44,8 +99,9 @@ class Templates:
     of T shingles lies whole in a window. ``bands`` is the most that any class needs.
     """
 
-    def __init__(self, notices: Mapping[str, str], containment: float, width: int):
+    def __init__(self, notices: Mapping[str, str], containment: float, width: int, families: Sequence[Sequence[str]] = ()):
         self.names, self.containment, self.width = list(notices), containment, width
+        self.family = {self.names.index(n): i for i, names in enumerate(families) for n in names}
         words = Words(list(notices.values()), ALNUM)
         shingles, first = words.shingles(width)
         self.sets = [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
@@ -77,29 +133,37 @@ def scan(texts: list[str | None], templates: Templates) -> Iterator[tuple[int, i
     shingles, first = words.shingles(templates.width)
     if not len(shingles):
         return
-    for size, members in templates.classes.items():
-        block, span = templates.block(size), templates.span(size)
+    n, levels = np.diff(first), []
+    for size in sorted(templates.classes):
         # Blocks start anew in each text, so no window goes over two.
-        n = np.diff(first)
+        block = templates.block(size)
         per_text = -(-n // block)
         block_first = np.concatenate([[0], np.cumsum(per_text)])
         owner = np.repeat(np.arange(len(n)), per_text)
-        starts = first[:-1][owner] + (np.arange(len(owner)) - block_first[:-1][owner]) * block
-        hit = np.zeros((len(members), len(starts)), dtype=bool)
-        for k, seed in enumerate(templates.seeds):
-            least = np.minimum.reduceat(shingles * seed, starts)
+        place = np.arange(len(owner)) - block_first[:-1][owner]
+        # A block is a whole number of the blocks of the class before, so its minimum is that of theirs.
+        before = first if not levels else levels[-1][3]
+        ratio = block if not levels else block // levels[-1][1]
+        hit = {t: np.zeros(len(owner), dtype=bool) for t in templates.classes[size]}
+        levels.append((size, block, owner, block_first, before[:-1][owner] + place * ratio, first[:-1][owner] + place * block, hit))
+    for k, seed in enumerate(templates.seeds):
+        least = shingles * seed
+        for size, _, owner, _, parts, _, hit in levels:
+            least = np.minimum.reduceat(least, parts)
             window = least.copy()
-            for step in range(1, span):
+            for step in range(1, templates.span(size)):
                 same = owner[:-step] == owner[step:] if len(owner) > step else np.zeros(0, dtype=bool)
                 if len(same):
                     window[:-step] = np.where(same, np.minimum(window[:-step], least[step:]), window[:-step])
-            for m, t in enumerate(members):
-                hit[m] |= window == templates.minima[t][k]
-        for m, t in enumerate(members):
+            for t in hit:
+                hit[t] |= window == templates.minima[t][k]
+    rows: dict[int, list[tuple[int, float, int, int, int]]] = {}
+    for size, block, owner, _, _, starts, hit in levels:
+        for t in hit:
             own, found = templates.sets[t], {}
-            for w in np.flatnonzero(hit[m]):
+            for w in np.flatnonzero(hit[t]):
                 text = int(owner[w])
-                a, e = int(starts[w]), min(int(starts[w]) + block * span, int(first[text + 1]))
+                a, e = int(starts[w]), min(int(starts[w]) + block * templates.span(size), int(first[text + 1]))
                 inside = np.isin(shingles[a:e], own)
                 held = len(np.unique(shingles[a:e][inside])) / len(own)
                 if held >= templates.containment:
@@ -108,8 +172,35 @@ def scan(texts: list[str | None], templates: Templates) -> Iterator[tuple[int, i
                     here = (held, int(at[0]), int(at[-1]) + templates.width - 1)
                     count = best[3] + 1 if best else 1
                     found[text] = (*(here if best is None or held > best[0] else best[:3]), count)
-            for text, (held, start, end, count) in found.items():
-                yield text, t, held, start, end, count
+            for text, row in found.items():
+                rows.setdefault(text, []).append((t, *row))
+    for text, here in rows.items():
+        for row in here:
+            if not any(_outdone(row, other, templates.family) for other in here):
+                yield text, *row
+
+
+def _outdone(row: tuple, other: tuple, family: Mapping[int, int]) -> bool:
+    """Whether another template of the family is held to a higher degree in over half of the same place."""
+    if row[0] not in family or family[row[0]] != family.get(other[0]) or other[1] <= row[1]:
+        return False
+    shared = min(row[3], other[3]) - max(row[2], other[2]) + 1
+    return 2 * shared > min(row[3] - row[2], other[3] - other[2]) + 1
+
+
+def spdx_lines(text: str | None) -> Iterator[tuple[str, float, int, int, int]]:
+    """``(license, containment, first word, last word, lines)`` for each identifier that the SPDX lines of a text name, at its first line."""
+    found: dict[str, list[int]] = {}
+    for line in SPDX.finditer(text or ""):
+        parts = re.split(r"[ \t]+", line[1])
+        # After WITH comes an exception, no license.
+        names = {p.strip("().") for i, p in enumerate(parts) if i % 2 == 0 and (i == 0 or parts[i - 1].upper() != "WITH")}
+        start = int(Words([text[: line.start()]], ALNUM).first[1])
+        end = start + int(Words([line[0]], ALNUM).first[1]) - 1
+        for name in names - {""}:
+            found.setdefault(f"SPDX:{name}", [start, end, 0])[2] += 1
+    for name, (start, end, count) in found.items():
+        yield name, 1.0, start, end, count
 
 
 def scan_licenses(
@@ -119,6 +210,8 @@ def scan_licenses(
     width: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
+    families: Sequence[Sequence[str]] = (),
+    spdx: bool = False,
 ) -> DataFrame:
     """``doc_id, license, containment, first_word, last_word, n_windows``: the notices that each whole text holds.
 
@@ -132,9 +225,12 @@ def scan_licenses(
     Every text is scanned where it lies: nothing is shuffled, and only the notices are sent out.
     Texts that are null, empty or without a match give no row; repeated rows give a row each. A
     text with fewer than ``width`` words is one shingle, and so is such a notice.
+
+    Of templates in one of ``families`` that match in the same place, only those of the highest
+    containment give a row. With ``spdx``, each identifier of an SPDX line gives a row too.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(Templates(notices, containment, width))
+    sent = docs.sparkSession.sparkContext.broadcast(Templates(notices, containment, width, families))
 
     def scan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = sent.value.names
@@ -142,6 +238,8 @@ def scan_licenses(
             for run in slices(pdf, "text"):
                 ids = [None if pd.isna(x) else int(x) for x in run["doc_id"]]
                 rows = [(ids[i], names[t], *rest) for i, t, *rest in scan(run["text"].tolist(), sent.value)]
+                if spdx:
+                    rows += [(i, *row) for i, t in zip(ids, run["text"], strict=True) for row in spdx_lines(t)]
                 frame = pd.DataFrame(rows, columns=["doc_id", "license", "containment", "first_word", "last_word", "n_windows"])
                 yield frame.astype({"doc_id": "Int64"})
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lantern.llm.common import table
 from lantern.llm.langid import identify_languages
 from lantern.llm.lengths import length_histogram, suffix_sums, token_counter
-from lantern.llm.licenses import scan_licenses
+from lantern.llm.licenses import FAMILIES, license_templates, scan_licenses
 from lantern.llm.mixing import mix_counts
 from lantern.llm.neardup import near_duplicates
 from lantern.llm.ngram_join import jaccard_components
@@ -64,7 +64,7 @@ def op9_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), license_templates(), families=FAMILIES, spdx=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -317,6 +317,28 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_query_covers_bodies_variants_and_spdx(spark, tmp_path):
+    rng = random.Random(7)
+    every = licenses.license_templates()
+    bodies = [n for n in every if n.endswith("-text")]
+    # Bodies without their opening words, each amid other text.
+    texts = [f"{sentence(rng, 70)}\n{' '.join(every[n].split()[15:])}\n{sentence(rng, 30)}" for n in bodies]
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    texts += [lesser, lesser.replace("Lesser", "Affero"), lesser.replace("Lesser ", ""), "This project is licensed under the MIT License."]
+    texts += ["// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nint x;", "Licensed under CC BY-SA 4.0.", sentence(rng, 300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = defaultdict(set)
+    for r in queries.op10_license_scan(spark, str(tmp_path)).collect():
+        found[r["doc_id"]].add(r["license"])
+    for i, name in enumerate(bodies):
+        assert {x for x in found[i] if x.endswith("-text")} == {name}
+    at = len(bodies)
+    grants = [{x for x in found[at + i] if x.endswith("-grant")} for i in range(3)]
+    assert grants == [{"LGPL-grant"}, {"AGPL-grant"}, {"GPL-grant"}]
+    assert found[at + 3] == {"MIT-licensed"} and found[at + 4] == {"SPDX:MIT", "SPDX:Apache-2.0", "SPDX:GPL-2.0-only"}
+    assert found[at + 5] == {"CC-BY-SA-4.0-short"} and not found[at + 6]
+
+
 def shingle_set(text):
     w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
