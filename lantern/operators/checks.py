@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.operators.graph_algo import articulation_points, degrees, simple_cycles, weak_components
+from lantern.operators.graph_algo import articulation_points, cycle_search, degrees, unlisted_cycles, weak_components
 
 #: Fixed: parts of kinds and attribute names that the checks look for.
 DATABASE_PARTS = ("db", "database", "sql", "nosql", "redis", "memcached", "cache")
@@ -41,13 +41,31 @@ def single_points_of_failure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _issue(found, "single_point_of_failure", 4, text, F.array("node_id"), _meta(incoming_connections=F.col("in_degree"), outgoing_connections=F.col("out_degree")))
 
 
-def circular_dependencies(edges: DataFrame, max_length: int = 4) -> tuple[DataFrame, bool]:
-    """An issue for each simple cycle of 2 to ``max_length`` nodes; and whether longer ones may exist."""
-    cycles, truncated = simple_cycles(edges, max_length)
+def _cycle_issues(cycles: DataFrame) -> DataFrame:
     after = F.concat(F.slice("nodes", F.lit(2), F.size("nodes") - 1), F.slice("nodes", 1, 1))
     ring = F.zip_with("nodes", after, lambda a, b: F.struct(a.alias("source"), b.alias("target")))
     text = F.concat(F.lit("Circular dependency detected: "), F.array_join("nodes", " -> "), F.lit(" -> "), F.get("nodes", 0))
-    return _issue(cycles, "circular_dependency", 3, text, F.col("nodes"), _meta(cycle_length=F.size("nodes")), ring), truncated
+    return _issue(cycles, "circular_dependency", 3, text, F.col("nodes"), _meta(cycle_length=F.size("nodes")), ring)
+
+
+def circular_dependencies(edges: DataFrame, max_length: int = 4) -> tuple[DataFrame, bool]:
+    """An issue for each simple cycle of 2 to ``max_length`` nodes; and whether longer ones may exist."""
+    cycles, paths, _, _ = cycle_search(edges, max_length)
+    return _cycle_issues(cycles), not paths.isEmpty()
+
+
+def all_circular_dependencies(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> DataFrame:
+    """The issues of ``circular_dependencies``, and one for each strong component that holds longer cycles, with all its nodes.
+
+    ``listed_to`` in such an issue's metadata is the length up to which cycles have issues of their own.
+    """
+    cycles, paths, live, listed = cycle_search(edges, max_length, max_paths)
+    issues = _cycle_issues(cycles)
+    if paths.isEmpty():
+        return issues
+    size = F.size("members")
+    text = F.concat(F.lit(f"Circular dependency detected: cycles of more than {listed} among "), size.cast("string"), F.lit(" services: "), F.array_join("members", ", "))
+    return issues.unionByName(_issue(unlisted_cycles(paths, live), "circular_dependency", 3, text, F.col("members"), _meta(component_size=size, listed_to=F.lit(listed))))
 
 
 def orphaned_services(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,9 +140,9 @@ def missing_autoscaling(nodes: DataFrame) -> DataFrame:
 
 
 def detect_issues(nodes: DataFrame, edges: DataFrame, max_cycle: int = 4, threshold: int = 10) -> DataFrame:
-    """The issues of all nine checks, in their order by ``check``."""
+    """The issues of all nine checks, in their order by ``check``; cycles longer than ``max_cycle`` by their component."""
     checks = [
-        single_points_of_failure(nodes, edges), circular_dependencies(edges, max_cycle)[0], orphaned_services(nodes, edges), high_fanout(nodes, edges, threshold),
+        single_points_of_failure(nodes, edges), all_circular_dependencies(edges, max_cycle), orphaned_services(nodes, edges), high_fanout(nodes, edges, threshold),
         high_fanin(nodes, edges, threshold), network_partitions(nodes, edges), database_single_instance(nodes), missing_health_checks(nodes), missing_autoscaling(nodes),
     ]
     out = None

@@ -118,12 +118,12 @@ def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.countDistinct("block").alias("n")).where("n > 1").select("node_id")
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> tuple[DataFrame, bool]:
-    """``nodes`` of every simple directed cycle of 2 to ``max_length`` nodes, from its least node on; and whether longer ones may exist.
+def cycle_search(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """``nodes`` of every simple directed cycle of 2 to ``listed`` nodes, the open paths of one node more, the edges that may be in cycles, and ``listed``.
 
     Nodes without a way in or out can't be in a cycle and go first, round by round. Paths then grow
-    from their least node. The number of cycles grows exponentially with the length in the worst
-    case: the bound is part of the result, and more than ``max_paths`` open paths end the search.
+    from their least node, so each longer cycle begins with an open path. More than ``max_paths`` open
+    paths end the search before ``max_length``.
     """
     live = cut(edges.where("source <> target").select("source", "target").distinct())
     while True:
@@ -141,10 +141,74 @@ def simple_cycles(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_
         grown = paths.join(step, "at").where("next > nodes[0] and not array_contains(nodes, next)")
         paths = cut(grown.select(F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("at")))
         if paths.count() > max_paths:
-            return found, True
+            break
+    return found, paths, live, length
+
+
+def simple_cycles(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> tuple[DataFrame, bool]:
+    """``nodes`` of every simple directed cycle of 2 to ``max_length`` nodes, from its least node on; and whether longer ones may exist.
+
+    The number of cycles grows exponentially with the length in the worst case: the bound is part of
+    the result, and more than ``max_paths`` open paths end the search. ``unlisted_cycles`` tells where
+    longer ones are.
+    """
+    found, paths, _, _ = cycle_search(edges, max_length, max_paths)
     return found, not paths.isEmpty()
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` of the nodes that are in a directed cycle with others.
+
+    Each round gives every node the least node that reaches it; those that reach that one in turn, along
+    nodes of the same least node, are its component and leave. Every round takes one at least.
+    """
+    left, done = cut(edges.where("source <> target").select("source", "target").distinct()), None
+    while not left.isEmpty():
+        labels = cut(left.select(F.col("source").alias("node")).union(left.select("target")).distinct().withColumn("component", F.col("node")))
+        while True:
+            near = labels.join(left, F.col("node") == F.col("source")).groupBy(F.col("target").alias("n")).agg(F.min("component").alias("c"))
+            after = cut(labels.join(near, F.col("node") == F.col("n"), "left").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("changed")))
+            labels = after.select("node", "component")
+            if after.where("changed").isEmpty():
+                break
+        inside = left.join(labels.select(F.col("node").alias("source"), F.col("component").alias("c")), "source").join(labels.select(F.col("node").alias("target"), F.col("component").alias("d")), "target").where("c = d").select("source", "target")
+        inside = cut(inside)
+        frontier = taken = cut(labels.where("node = component"))
+        while not frontier.isEmpty():
+            back = frontier.join(inside, F.col("node") == F.col("target")).select(F.col("source").alias("node"), "component").distinct()
+            frontier = cut(back.join(taken.select("node"), "node", "left_anti"))
+            taken = cut(taken.union(frontier))
+        done = taken if done is None else done.union(taken)
+        gone = taken.select(F.col("node").alias("g"))
+        left = cut(left.join(gone, F.col("source") == F.col("g"), "left_anti").join(gone, F.col("target") == F.col("g"), "left_anti"))
+    if done is None:
+        return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    several = done.groupBy(F.col("component").alias("c")).count().where("count > 1").select("c")
+    return cut(done.join(several, F.col("component") == F.col("c"), "left_semi"))
+
+
+def unlisted_cycles(paths: DataFrame, live: DataFrame) -> DataFrame:
+    """``component, members`` of the strong components with a simple cycle that a ``cycle_search`` has not listed, exactly.
+
+    A cycle with more nodes than listed begins with an open path and goes back to its start without the
+    path's inner nodes; any way back is a simple one when shortened. So all ways back are followed at
+    once, and a component leaves when one of its paths is closed.
+    """
+    parts = strong_components(live)
+    of = lambda column, name: parts.select(F.col("node").alias(column), F.col("component").alias(name))
+    step = cut(live.join(of("source", "c"), "source").join(of("target", "d"), "target").where("c = d").select(F.col("source").alias("at"), F.col("target").alias("next")))
+    rows = paths.select(F.get("nodes", 0).alias("start"), F.array_sort(F.slice("nodes", F.lit(2), F.size("nodes") - 2)).alias("barred"), "at")
+    rows = seen = cut(rows.join(of("start", "component"), "start").join(of("at", "d"), "at").where("component = d").select("component", "start", "barred", "at").distinct())
+    proven = rows.select("component").limit(0)
+    while not rows.isEmpty():
+        ways = rows.join(step, "at")
+        proven = cut(proven.union(ways.where("next = start").select("component")).distinct())
+        new = ways.where("next > start and not array_contains(barred, next)").select("component", "start", "barred", F.col("next").alias("at")).distinct()
+        rows = cut(new.join(proven, "component", "left_anti").join(seen, ["component", "start", "barred", "at"], "left_anti"))
+        seen = cut(seen.union(rows))
+    return parts.join(proven, "component", "left_semi").groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, in_degree, out_degree`` over distinct edges; a loop counts both ways."""
     distinct = edges.select("source", "target").distinct()

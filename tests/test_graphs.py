@@ -62,6 +62,31 @@ def test_cycles_by_brute_force(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("seed,most", [(1, 5_000_000), (2, 5_000_000), (3, 1)])
+def test_components_of_unlisted_cycles(spark, seed, most):
+    rng = random.Random(seed)
+    # A ring of five, two rings of two with a common node, and two random parts.
+    pairs = {(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (5, 6), (6, 5), (6, 7), (7, 6), (4, 5)}
+    pairs |= {(rng.randrange(8, 13), rng.randrange(8, 13)) for _ in range(9)} | {(rng.randrange(13, 18), rng.randrange(13, 18)) for _ in range(7)}
+    found = checks.all_circular_dependencies(graph(spark, 18, pairs)[1], 3, most).collect()
+    rest = {tuple(int(x[1:]) for x in r["affected_nodes"]): int(r["metadata"]["listed_to"]) for r in found if "listed_to" in r["metadata"]}
+    listed = 2 if most == 1 else 3
+    cycles = [p for k in range(2, 6) for part in (range(5), range(5, 8), range(8, 13), range(13, 18)) for p in itertools.permutations(part, k) if p[0] == min(p) and all((p[i], p[(i + 1) % k]) in pairs for i in range(k))]
+    assert {tuple(int(x[1:]) for x in r["affected_nodes"]) for r in found if "cycle_length" in r["metadata"]} == {p for p in cycles if len(p) <= listed}
+    both = {(a, b) for a in range(18) for b in range(18) if any(a in p and b in p for p in cycles)}
+    for k in range(18):
+        both |= {(a, b) for a in range(18) for b in range(18) if (a, k) in both and (k, b) in both}
+    assert rest == {tuple(b for b in range(18) if (p[0], b) in both): listed for p in cycles if len(p) > listed}
+    assert (0, 1, 2, 3, 4) in rest and (5, 6, 7) not in rest
+
+
+def test_detected_ring_of_five(spark):
+    nodes, edges = graph(spark, 5, [(i, (i + 1) % 5) for i in range(5)])
+    none = "cast(map() as map<string,string>)"
+    issues = checks.detect_issues(nodes.selectExpr("*", "cast(null as string) as category", f"{none} as attrs_str", f"{none} as attrs_json"), edges)
+    assert [len(r["affected_nodes"]) for r in issues.where("type = 'circular_dependency'").collect()] == [5]
+
+
 def test_components_by_union_find(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
