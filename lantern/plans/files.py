@@ -21,6 +21,14 @@ def staged(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/staged-{uuid4().hex}"
 
 
+#: Fixed: rows in a staged file or response at most, so that their number follows the table.
+ROWS_PER_FILE = 1000
+
+
+def _file(key):
+    return F.floor(key / ROWS_PER_FILE).cast("long")
+
+
 def _iso(c: str = "ts"):
     return F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -54,10 +62,10 @@ def _responses(spark: SparkSession, sf_dir: str, ranged: bool) -> DataFrame:
     metric = F.create_map(F.lit("__name__"), "metric_name", F.lit("job"), F.lit("j"), F.lit("service"), "service", F.lit("region"), "region")
     pair = F.array(F.format_string("%.6f", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), F.col("value").cast("string"))
     if ranged:
-        series = m.groupBy("metric_name", "service", "region", F.date_trunc("day", "ts")).agg(F.collect_list(pair).alias("values")).select(F.struct(metric.alias("metric"), "values").alias("x"), F.xxhash64("service", "metric_name").alias("h"))
+        series = m.groupBy("metric_name", "service", "region", F.date_trunc("day", "ts"), _file(F.col("seq")).alias("g")).agg(F.collect_list(pair).alias("values")).select(F.struct(metric.alias("metric"), "values").alias("x"), F.col("g"))
     else:
-        series = m.select(F.struct(metric.alias("metric"), pair.alias("value")).alias("x"), F.col("seq").alias("h"))
-    grouped = series.groupBy(F.pmod("h", F.lit(97)).alias("g")).agg(F.collect_list("x").alias("result"))
+        series = m.select(F.struct(metric.alias("metric"), pair.alias("value")).alias("x"), _file(F.col("seq")).alias("g"))
+    grouped = series.groupBy("g").agg(F.collect_list("x").alias("result"))
     return grouped.select(F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.lit("vector").alias("resultType"), "result").alias("data"))).alias("body"))
 
 
@@ -93,7 +101,7 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s09_read_manifests", "select 'Service' as kind, namespace, name from {svc} union all select 'Deployment', namespace, name from {dep}")
 def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = manifests(spark, sf_dir).where("seq < 10000000000")
-    files = docs.groupBy(F.concat(F.lit("file"), F.pmod("seq", F.lit(40)), F.lit(".yaml")).alias("file")).agg(F.concat_ws("\n---\n", F.array_sort(F.collect_list("json"))).alias("text"))
+    files = docs.groupBy(F.concat(F.lit("file"), _file(F.col("seq")), F.lit(".yaml")).alias("file")).agg(F.concat_ws("\n---\n", F.array_sort(F.collect_list("json"))).alias("text"))
     loaded = S.load_documents(files)
     return G.parse_manifests(S.numbered(loaded.where("error is null"))).select("kind", "namespace", "name")
 
@@ -104,7 +112,7 @@ TERRAFORM = f"""select p_partkey as k, 'f' || (p_partkey % 50) as file, {TF_KIND
 
 
 def terraform_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(TERRAFORM, part=relation(spark, sf_dir, "part"))
+    rows = spark.sql(TERRAFORM, part=relation(spark, sf_dir, "part")).withColumn("file", F.concat(F.lit("f"), _file(F.col("k"))))
     # A body with a nested block, a reference in it, a variable and a call.
     body = F.concat(F.lit(' {\n  size = var.size\n  tags = { a = "x" }\n'), F.when(F.col("ref").isNotNull(), F.concat(F.lit('  link = "'), F.lit("$"), F.lit("{"), F.col("ref"), F.lit('.id}"\n'))).otherwise(""), F.lit("  net { ami = data.aws_ami.base.id }\n  f = length(x)\n}\n"))
     block = F.concat(F.lit('resource "'), "t", F.lit('" "'), "n", F.lit('"'), body)
