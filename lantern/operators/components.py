@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.runtime import cut
+from lantern.runtime import cut, lookup
 
 
 def union_find(left: list, right: list) -> dict:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Each batch of edges is first contracted to a star forest, which bounds what is shuffled by the
     vertices of the batch. Every round then takes the least neighbouring label, hooks roots to it
     and halves the paths; the number of rounds grows with the logarithm of the diameter. Labels are
+    looked up through a broadcast where they are few, so a large component is no hot key, and
     checkpointed each round, so the plan stays short. Edges with a null end are ignored; no edges
     give no rows. Vertices may be of any orderable type.
     """
@@ -50,23 +51,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     both = links.union(links.select("dst", "src"))
     labels = cut(stars.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component")))
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("component").alias("least"))
-        )
-        seen = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("least"))
-        hooks = seen.groupBy(F.col("component").alias("root")).agg(F.min("least").alias("hook"))
-        hooked = cut(
-            seen.join(hooks, seen["component"] == hooks["root"]).select("node", F.col("component").alias("before"), F.least("least", "hook").alias("component"))
-        )
-        up = hooked.select(F.col("node").alias("parent"), F.col("component").alias("grand"))
-        jumped = cut(
-            hooked.join(up, hooked["component"] == up["parent"], "left").select(
-                "node", "before", F.least("component", F.coalesce("grand", "component")).alias("component")
-            )
-        )
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> before").isEmpty():
+        near = lookup(both, labels, "dst = node", how="inner").groupBy(F.col("src").alias("near")).agg(F.min("component").alias("label"))
+        seen = labels.join(near, F.expr("node = near"), "left").select("node", "component", F.least("component", F.coalesce("label", "component")).alias("least"))
+        seen = cut(seen)
+        lower = seen.where("least < component")
+        if lower.isEmpty():
             return labels
+        hooks = cut(lower.groupBy(F.col("component").alias("root")).agg(F.min("least").alias("hook")))
+        hooked = cut(lookup(seen, hooks, "component = root").select("node", F.least("least", F.coalesce("hook", "least")).alias("component")))
+        heads = hooked.select(F.col("component").alias("parent")).distinct()
+        up = cut(hooked.where("component <> node").join(heads, F.expr("node = parent")).select("parent", F.col("component").alias("grand")))
+        labels = cut(lookup(hooked, up, "component = parent").select("node", F.coalesce("grand", "component").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "lantern", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -25,13 +27,16 @@ def session(app: str = "lantern", cpus: int | str = "*", **conf: str) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where none is set, a temporary one in local mode and an error on a cluster."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lantern-checkpoint-")
-        context.setCheckpointDir(named)
-        current = named
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            current = tempfile.mkdtemp(prefix="lantern-checkpoint-")
+        context.setCheckpointDir(current)
     return current
 
 
@@ -41,8 +46,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows of long texts go to Python in batches of at most ``rows``, so that a worker's memory doesn't follow the text's length times thousands."""
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: a cut whose readers take single columns."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def lookup(rows: DataFrame, small: DataFrame, on: str, most: int = 200_000, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``small``, one row per key, under the condition ``on``.
+
+    Up to ``most`` rows, which bounds its size, ``small`` is broadcast and no key is dealt to one
+    task. Beyond that both sides are shuffled, and the adaptive plan splits a key with many rows.
+    """
+    if small.limit(most + 1).count() <= most:
+        small = F.broadcast(small)
+    return rows.join(small, F.expr(on), how)
+
+
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Rows of long texts go to Python in batches of at most ``rows``, so that a worker's memory doesn't follow the text's length times thousands.
+
+    The session keeps the setting, as Spark reads it only when the frames that operators return are run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
