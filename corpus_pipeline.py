@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import lookup, table
 from lantern.llm.langid import UNDETERMINED, fit_languages, predictor
+from lantern.llm.lengths import token_counter
 from lantern.llm.mixing import mix
-from lantern.llm.ngram_join import jaccard_components
+from lantern.llm.ngram_join import jaccard_rows
 from lantern.llm.packing import pack
 from lantern.llm.quality import fit_quality, score_quality
 from lantern.runtime import cut, ensure_checkpoint_dir
@@ -35,29 +36,44 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least id.
+    """One document of each group of near copies, that of the least id, and of an id's texts that of the least hash.
 
-    Rows with equal ids are one document, of which the row of the least text stays; rows without an
-    id stay.
+    Rows are documents by id and text: rows of one id with unlike texts all stay, and of rows equal in
+    both the least one does. Rows without an id, and texts that are null or without words, have no
+    copies; equal rows of the latter with an id count once too. An empty table gives no rows.
     """
-    component = cut(jaccard_components(docs))
-    gone = component.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = lookup(docs, gone, "doc_id = __gone", how="left_anti")
-    if component.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    rows = cut(jaccard_rows(docs).where("doc_id is not null"))
+    least = cut(rows.where("component is not null").groupBy(F.col("component").alias("__c")).agg(F.min(F.struct("doc_id", "text_key")).alias("stays")))
+    copies = lookup(rows.where("component is not null"), least, "component = __c", how="inner").where(F.struct("doc_id", "text_key") != F.col("stays"))
+    gone = cut(copies.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    twice = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().where("count > 1").drop("count")
+    twice = cut(twice.join(gone, ["__id", "__key"], "left_anti"))
+    same = "doc_id <=> __id and xxhash64(text) = __key"
+    kept = lookup(docs, gone, same, how="left_anti")
+    if twice.isEmpty():
         return kept
-    least = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*[kept[c] for c in kept.columns if c != "doc_id"]), F.coalesce("text", F.lit(""))).alias("row"))
-    once = least.select(*[F.col(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in kept.columns])
-    return once.unionByName(kept.where("doc_id is null"))
+    again = lookup(kept, twice, same, how="left_semi")
+    once = again.groupBy("doc_id", "text").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row")).select("row.*")
+    return lookup(kept, twice, same, how="left_anti").unionByName(once)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources come near their targets: weights 1, 2, 3 in turn, at most 3 times their words."""
+    """Documents repeated or left out so that sources come near their targets: weights 1, 2, 3 in turn, at most 3 times their words.
+
+    A null source is a source of its own; texts that are null or without words have no weight, and
+    their copies follow their source's rate; rows equal in id and words are drawn alike; an empty
+    table gives no rows.
+    """
     return mix(docs, weights=(1, 2, 3), most=3.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in length buckets of least padding, and their batches."""
-    return pack(docs)
+    """The pieces of all documents in length buckets of least padding, and their batches; lengths are tokens of the vocabulary that ``lengths`` names.
+
+    Null and empty texts are one piece of length 0; repeated rows, which the mixture makes, are rows of
+    their own; an empty table gives no rows.
+    """
+    return pack(docs, length=token_counter(docs)(F.col("text")))
 
 
 STAGES = [
@@ -73,7 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    Rows with nulls, ties and repeats fare as the stages say; an empty table gives no rows.
+    """
     from uuid import uuid4
 
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid4().hex}"

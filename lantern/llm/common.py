@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lantern.runtime import lookup as lookup
+
 #: Fixed: a word is a run of bytes other than blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,14 +71,3 @@ def slices(pdf: pd.DataFrame, column: str, limit: int = 1 << 19) -> Iterator[pd.
         total += n
     if start < len(pdf):
         yield pdf.iloc[start:]
-
-
-def lookup(rows: DataFrame, small: DataFrame, on: str, most: int = 200_000, how: str = "left") -> DataFrame:
-    """``rows`` joined with ``small``, one row per key, under the condition ``on``.
-
-    Up to ``most`` rows, which bounds its size, ``small`` is broadcast and no key is dealt to one
-    task. Beyond that both sides are shuffled, and the adaptive plan splits a key with many rows.
-    """
-    if small.limit(most + 1).count() <= most:
-        small = F.broadcast(small)
-    return rows.join(small, F.expr(on), how)

@@ -386,7 +386,7 @@ def _similar(percent: int):
     return similar
 
 
-def jaccard_components(
+def jaccard_rows(
     docs: DataFrame,
     width: int = 5,
     percent: int = 75,
@@ -399,7 +399,10 @@ def jaccard_components(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: components of texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
+    """``doc_id, text_key, n_shingles, component`` for every row: the component of its shingle set, where sets of a similarity of ``percent`` / 100 or more are linked.
+
+    ``text_key`` is a hash of the text, which with the id tells rows with different texts apart;
+    ``component`` is a number that only rows of one component share, null where no other row is in it.
 
     1. Every text becomes its set of distinct shingles, named by a hash; rows with equal sets are one
        set from here on and link with each other.
@@ -414,14 +417,13 @@ def jaccard_components(
        texts is lost, and copies are never expanded to all pairs.
 
     Tokens travel as packed arrays, a row per range of tokens and task, so what is shuffled follows
-    the text, not its pairs. Texts that are null or without words have no shingles and are their own
-    component; rows without an id are in no other row's component. Extra columns are left out, an
-    empty table gives no rows.
+    the text, not its pairs. Texts that are null or without words have no shingles and no component.
+    Extra columns are left out, an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = cut(base.select("doc_id", _describe(width)("text").alias("d")).select("doc_id", "d.sid", F.col("d.n").alias("n")))
+    described = cut(base.select("doc_id", F.xxhash64("text").alias("text_key"), _describe(width)("text").alias("d")).select("doc_id", "text_key", "d.sid", F.col("d.n").alias("n")))
     reps = cut(described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")))
     total = reps.agg(F.sum("n")).first()[0] or 0
     cuts = _Cuts(max(256, total // 1_000_000))
@@ -441,10 +443,10 @@ def jaccard_components(
 
     groups = met.where("grp is not null").mapInPandas(_exploded, "grp long, sid long, n long, e long")
     groups = groups.groupBy("grp", "sid").agg(F.max("n").alias("n"), F.max("e").alias("e"))
-    labelled = groups.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    labelled = cut(groups.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     open_groups = labelled.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y")
-    open_groups = open_groups.select("grp", F.ceil(F.col("rows") / cell_rows).alias("cells"))
-    inside = labelled.join(open_groups, "grp")
+    open_groups = cut(open_groups.select(F.col("grp").alias("__grp"), F.ceil(F.col("rows") / cell_rows).alias("cells")))
+    inside = lookup(labelled, open_groups, "grp = __grp", how="inner").drop("__grp")
     cells = inside.withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     cells = cells.withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
     where = ["grp", "low", "high"]
@@ -455,12 +457,22 @@ def jaccard_components(
         component = connected_components(links, "a", "b")
 
     # A set of one row that links with nothing needs no look-up: its row is its component.
-    in_one = reps.join(component.withColumnRenamed("node", "sid"), "sid", "left").where("component is not null or rows > 1").withColumn("component", F.coalesce("component", "sid"))
-    least = in_one.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = cut(in_one.join(least, "component").select(F.col("sid").alias("__sid"), "component_id"))
-    found = lookup(described, named, "sid = __sid")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    in_one = reps.join(component.withColumnRenamed("node", "sid"), "sid", "left").where("component is not null or rows > 1")
+    named = cut(in_one.select(F.col("sid").alias("__sid"), F.coalesce("component", "sid").alias("component")))
+    return lookup(described, named, "sid = __sid").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component")
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row, from the components of ``jaccard_rows``, which takes ``options``.
+
+    ``component_id`` is the least id of the component. Texts that are null or without words are their
+    own component; rows without an id have none and are in no other row's. Repeated rows are rows.
+    Extra columns are left out, an empty table gives no rows.
+    """
+    rows = cut(jaccard_rows(docs, **options))
+    least = cut(rows.where("component is not null").groupBy(F.col("component").alias("__c")).agg(F.min("doc_id").alias("least")))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return lookup(rows, least, "component = __c").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def _link(base: DataFrame, reps: DataFrame, pairs: DataFrame, orders, width: int, percent: int) -> DataFrame:

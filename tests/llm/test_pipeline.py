@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from lantern.llm import lengths
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,7 +34,8 @@ def test_stages(spark, small, tmp_path):
     assert {r["doc_id"] for r in kept["near_duplicates"]} <= {r["doc_id"] for r in kept["language"]}
     copies = Counter(r["doc_id"] for r in kept["mixture"])
     assert set(copies) <= {d for d, _ in sets} and max(copies.values()) <= 3
-    size = {r["doc_id"]: len(WORDS.findall(r["text"])) for r in kept["near_duplicates"]}
+    encode = lengths._encoding(open(lengths.VOCABULARY, "rb").read()).encode_ordinary
+    size = {r["doc_id"]: len(encode(r["text"])) for r in kept["near_duplicates"]}
     packed = Counter()
     for r in kept["packing"]:
         packed[r["doc_id"]] += r["length"]
@@ -51,3 +53,12 @@ def test_odd_rows(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0
         stage(spark, docs, small).collect()
+
+
+def test_rows_of_one_id_with_unlike_texts_stay(spark, small):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(1, texts["a"]), (5, texts["a"]), (5, texts["b"]), (7, texts["c"]), (7, texts["d"]), (7, texts["d"]), (8, texts["d"].upper()), (9, None), (9, None), (9, ""), (None, texts["e"]), (None, texts["e"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()]
+    want = [(1, texts["a"]), (5, texts["b"]), (7, texts["c"]), (7, texts["d"]), (9, None), (9, ""), (None, texts["e"]), (None, texts["e"])]
+    assert Counter(found) == Counter(want)
