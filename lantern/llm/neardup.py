@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lantern.llm.topk import matrix, usable
 from lantern.operators.components import connected_components, union_find
-from lantern.runtime import cut
+from lantern.runtime import cut, lookup
 
 
 def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -33,35 +34,83 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 40) -
     return mean, basis @ rotation
 
 
-def table_plan(rows_per_label: float, bits: int, threshold: float, recall: float, per_bucket: int = 16) -> tuple[int, int]:
-    """Bits per table and number of tables.
+def agreements(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float, pairs: int = 2_000, seed: int = 0) -> np.ndarray:
+    """(pair, bit): whether the codes of pairs whose cosine is just ``threshold`` agree.
 
-    A table's width follows the logarithm of the rows, so buckets stay small at any size. Two
-    vectors at the threshold differ in a bit with probability angle / pi; the number of tables is
-    the least for which one of them agrees in all its bits with probability ``recall``.
+    Half of the pairs go from a row of the sample in a direction drawn evenly, half in the direction
+    of another row; codes are of centred rows, so how often bits agree depends on the mean that rows
+    share and can't be told from the angle alone.
     """
+    rng = np.random.default_rng(seed)
+    one = sample[rng.integers(len(sample), size=pairs)]
+    way = sample[rng.integers(len(sample), size=pairs)] - one
+    lost = (np.arange(pairs) % 2 == 0) | (np.linalg.norm(way, axis=1) < 1e-9)
+    way[lost] = rng.standard_normal((int(lost.sum()), sample.shape[1]))
+    way -= (way * one).sum(axis=1, keepdims=True) * one
+    norm = np.linalg.norm(way, axis=1, keepdims=True)
+    other = threshold * one + math.sqrt(max(0.0, 1 - threshold**2)) * way / np.maximum(norm, 1e-12)
+    return ((one - mean) @ projection >= 0) == ((other - mean) @ projection >= 0)
+
+
+def table_plan(sample: np.ndarray, rows_per_label: float, threshold: float, recall: float, per_bucket: int = 16, most: int = 160) -> tuple[int, int, list]:
+    """Bits per table, number of tables, and the rotations whose codes they are cut from.
+
+    Rotations are added until the share ``recall`` of pairs at the threshold agrees in all bits of one
+    table, measured on pairs made from the sample. Tables start as wide as buckets of ``per_bucket``
+    rows ask; where more than ``most`` of them would be needed they become narrower, which keeps
+    recall and costs larger buckets. Without any bits, all rows of a label meet.
+    """
+    bits = min(sample.shape[1], 64)
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    agree: list[np.ndarray] = []
     width = int(min(bits, max(6, round(math.log2(max(2.0, rows_per_label / per_bucket))))))
-    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** width
-    tables = 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log(1 - agree))
-    return width, tables
-
+    for width in range(width, 0, -1):
+        met, tables = 0.0, 0
+        apart = None
+        for r in range(-(-most // (bits // width))):
+            if r == len(made):
+                made.append(learn_rotation(sample, bits, r))
+                agree.append(agreements(sample, *made[r], threshold))
+            for i in range(0, bits - width + 1, width):
+                own = ~agree[r][:, i : i + width].all(axis=1)
+                apart = own if apart is None else apart & own
+                tables += 1
+                # The half of the pairs that meets less often decides.
+                met = 1 - max(apart[::2].mean(), apart[1::2].mean())
+                if met >= recall:
+                    return width, tables, made[: r + 1]
+            if r == 1 and met < recall * 0.15:
+                break  # far from it: narrower tables at once
+    return 0, 1, []
+
+
+def _encoder(value, width: int, kind, dim: int):
+    code = np.int16 if width < 16 else np.int32 if width < 32 else np.int64
 
-def _encoder(value, width: int, dim: int):
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rotations, tables = value()
         powers = 1 << np.arange(width, dtype=np.int64)
         for pdf in frames:
             x = matrix(pdf["embedding"], dim)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys = []
+            keys = [] if rotations else [np.zeros(len(x), dtype=np.int64)]
             for mean, projection in rotations:
                 signs = (x - mean) @ projection >= 0
                 keys += [signs[:, i : i + width] @ powers for i in range(0, signs.shape[1] - width + 1, width)]
-            yield pdf.assign(keys=list(np.stack(keys[:tables], axis=1)))
+            keys = np.stack(keys[:tables], axis=1)
+            yield pdf[["label", "rep", "mult"]].assign(vector=[np.asarray(v, kind).tobytes() for v in pdf["embedding"]], codes=[k.tobytes() for k in keys.astype(code)], buckets=list(keys))
 
     return encode
 
 
+def _unit(vectors: pd.Series, kind, dim: int) -> np.ndarray:
+    """Rows of float64 of length 1 from the bytes of vectors, shorter ones padded with zeros."""
+    lengths = vectors.map(len).to_numpy() // np.dtype(kind).itemsize
+    out = np.zeros((len(vectors), dim))
+    out[np.arange(dim) < lengths[:, None]] = np.frombuffer(b"".join(vectors), dtype=kind)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def _pairs_in(rep, mult, side, keys, unit, at: int, between: bool, threshold: float):
     """Linked pairs of one cell, and those that no earlier table has found."""
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
@@ -80,8 +129,9 @@ def _pairs_in(rep, mult, side, keys, unit, at: int, between: bool, threshold: fl
     return own, [at_rep[x] for x in roots], list(roots.values())
 
 
-def _reranker(dim: int, threshold: float):
+def _reranker(dim: int, width: int, kind, threshold: float):
     """Cells come sorted by their key; a cell may go over several frames."""
+    code = np.int16 if width < 16 else np.int32 if width < 32 else np.int64
 
     def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -98,11 +148,11 @@ def _reranker(dim: int, threshold: float):
                 continue
             done, rest = rest.iloc[:stop], rest.iloc[stop:].reset_index(drop=True)
             bounds = [0, *edges[edges < stop].tolist(), stop]
-            unit = matrix(done["embedding"], dim)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            unit = _unit(done["vector"], kind, dim)
             rep, mult = done["rep"].to_numpy(), done["mult"].to_numpy()
             side, at = (done["cell"] != done["low"]).to_numpy().astype(int), done["at"].to_numpy()
-            keys, two = np.stack(done["keys"].to_numpy()), (done["low"] != done["high"]).to_numpy()
+            keys = np.frombuffer(b"".join(done["codes"]), dtype=code).reshape(len(done), -1)
+            two = (done["low"] != done["high"]).to_numpy()
             out = ([], [], [])
             for s, e in zip(bounds, bounds[1:], strict=False):
                 if e - s > 1:
@@ -130,14 +180,15 @@ def near_duplicates(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row: links are pairs of one label with cosine >= ``threshold``.
 
-    Equal vectors of a label are first folded into one with a count. A rotation is learnt on at
+    Equal vectors of a label are first folded into one with a count. Rotations are learnt on at
     most ``sample`` rows (those of the least hash); signs of the rotated rows are codes, whose
     pieces are the keys of Hamming tables. Rows that meet in a bucket are compared by the cosine of
     their original vectors in double precision, so no pair below the threshold is linked; a pair
-    at the threshold meets with probability ``recall`` by the count of tables. Buckets over
-    ``cell_rows`` are cut into cells that are compared cell by cell, so that no task gets a whole
-    bucket and no pairs are emitted: each cell gives link counts and a forest. A pair counts in
-    the first table in which it meets.
+    at the threshold meets with probability ``recall``, by the count of tables that ``table_plan``
+    measures on the sample. Buckets over ``cell_rows`` are cut into cells that are compared cell by
+    cell, so that no task gets a whole bucket and no pairs are emitted: each cell gives link counts
+    and a forest. A pair counts in the first table in which it meets. A row goes once to each table
+    as its vector's and codes' bytes.
 
     Vectors that are null, zero or hold null or non-finite components, and null labels, link with
     nothing and are their own component. Repeated rows are vectors of their own and link with each
@@ -151,21 +202,22 @@ def near_duplicates(
     if not shape["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = shape["dim"]
-    bits = min(dim, 64)
-    width, tables = table_plan(shape["n"] / shape["labels"], bits, threshold, recall)
     fit = matrix(folded.select("embedding").orderBy(F.xxhash64("rep")).limit(sample).toPandas()["embedding"], dim)
     fit /= np.linalg.norm(fit, axis=1, keepdims=True)
-    rotations = [learn_rotation(fit, bits, seed) for seed in range(-(-tables // (bits // width)))]
+    width, tables, rotations = table_plan(fit, shape["n"] / shape["labels"], threshold, recall)
+    kind = np.float32 if folded.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
     sent = df.sparkSession.sparkContext.broadcast((rotations, tables))
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in folded.schema)}, keys array<long>"
-    coded = folded.mapInPandas(_encoder(lambda: sent.value, width, dim), schema)
-    placed = coded.select("*", F.posexplode("keys").alias("at", "bucket"))
-    big = placed.groupBy("label", "at", "bucket").count().where(F.col("count") > cell_rows).withColumn("cells", F.ceil(F.col("count") / cell_rows)).drop("count")
-    cells = placed.join(big, ["label", "at", "bucket"], "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    coded = folded.mapInPandas(_encoder(lambda: sent.value, width, kind, dim), "label long, rep long, mult long, vector binary, codes binary, buckets array<long>")
+    placed = coded.select("label", "rep", "mult", "vector", "codes", F.posexplode("buckets").alias("at", "bucket"))
+    big = cut(placed.groupBy("label", "at", "bucket").count().where(F.col("count") > cell_rows).select(
+        F.col("label").alias("__l"), F.col("at").alias("__a"), F.col("bucket").alias("__b"), F.ceil(F.col("count") / cell_rows).alias("cells")
+    ))
+    # Few buckets are big, so the rows are shuffled once, to their cells.
+    cells = lookup(placed, big, "label = __l and at = __a and bucket = __b").withColumn("cells", F.coalesce("cells", F.lit(1))).drop("__l", "__a", "__b")
     cells = cells.withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     cells = cells.withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other")).drop("other", "cells")
     where = ["label", "at", "bucket", "low", "high"]
-    met = cells.repartition(*where).sortWithinPartitions(*where).mapInPandas(_reranker(dim, threshold), "rep long, links long, root long")
+    met = cells.repartition(*where).sortWithinPartitions(*where).mapInPandas(_reranker(dim, width, kind, threshold), "rep long, links long, root long")
     met = cut(met.groupBy("rep", "root").agg(F.sum("links").alias("links")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(met, "rep", "root")
