@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lantern.llm.common import lookup, slices
 from lantern.llm.text import Words
-from lantern.runtime import cut, small_batches
+from lantern.runtime import cut, small_batches, written
 
 #: Byte classes: lower, upper, digit, mark, bang, bar, other ASCII, beyond ASCII, blank.
 _CLASS = np.full(256, 6, dtype=np.uint8)
@@ -125,8 +125,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc_id
 
 def _concentration(stats: DataFrame) -> float:
     """Of a Beta prior over sites, by moments: how many documents' evidence the prior is worth."""
-    # Per site: n documents, the sum of their probabilities, and the sum of p * (1 - p).
-    total = stats.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("v").alias("v"), F.count("*").alias("sites")).first()
+    # Per site: n documents and the sum of their probabilities.
+    total = stats.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count("*").alias("sites")).first()
     if not total["n"] or total["sites"] < 2:
         return 1000.0
     mean = total["p"] / total["n"]
@@ -141,8 +141,8 @@ def _logit(p: Column) -> Column:
     return F.log(held / (1 - held))
 
 
-def score_quality(docs: DataFrame, model: TextModel, host: Column, path: Column, text: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """``row``, a struct of the columns of ``docs``, with ``text_p, host_p, path_p, quality_p, quality_keep``.
+def score_quality(docs: DataFrame, model: TextModel, host: Column, path: Column, text: str = "text", keep_at: float = 0.5, keep: Sequence[str] | None = None) -> DataFrame:
+    """``row``, a struct of the columns of ``docs`` or of those in ``keep``, with ``text_p, host_p, path_p, quality_p, quality_keep``.
 
     The text model gives each document a probability. Sums per host and per path under a host give
     posterior means: a host is shrunk toward the mean of all documents, a path toward its host, each
@@ -154,15 +154,13 @@ def score_quality(docs: DataFrame, model: TextModel, host: Column, path: Column,
     their site, ``quality_p`` is 0, and they aren't kept. A null host or path is a site of its own.
     Repeated rows count as rows. An empty table gives no rows. Columns of any name stay whole in ``row``.
     """
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row")
     scored = docs.select(row, host.alias("__host"), path.alias("__path"), text_probability(docs, model)(F.col(text)).alias("text_p"))
-    scored = scored.withColumn("text_p", F.nanvl("text_p", F.lit(None).cast("double")))
-    # The probabilities are needed for the sums and for the rows: both read the same expression.
-    known = scored.where("text_p is not null").groupBy("__host", "__path").agg(
-        F.count("*").alias("n"), F.sum("text_p").alias("p"), F.sum(F.col("text_p") * (1 - F.col("text_p"))).alias("v")
-    )
+    # The model scores each text once: sums read two short columns of what is written, rows all of it.
+    scored = written(scored.withColumn("text_p", F.nanvl("text_p", F.lit(None).cast("double"))))
+    known = scored.where("text_p is not null").groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("text_p").alias("p"))
     paths = cut(known)
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("v").alias("v"))
+    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("p").alias("p")).first()
     mean = total["p"] / total["n"] if total["n"] else model.base
     of_host, of_path = _concentration(hosts), _concentration(paths)

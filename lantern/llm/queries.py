@@ -37,7 +37,7 @@ def op4_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     # The tables have no addresses: the source is the host, its language section the path.
-    scored = score_quality(docs, model, F.col("source"), F.col("lang"))
+    scored = score_quality(docs, model, F.col("source"), F.col("lang"), keep=["doc_id", "source", "lang"])
     return scored.select("row.doc_id", "row.source", "row.lang", "text_p", "host_p", "path_p", "quality_p", "quality_keep")
 
 
