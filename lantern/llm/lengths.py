@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.runtime import small_batches
+from lantern.runtime import cut, small_batches
 
 #: Fixed: how byte-level BPE of this vocabulary cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +47,7 @@ def token_counter(docs: DataFrame, vocabulary: str = VOCABULARY):
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """``length, n_docs`` of the encoded whole texts; null and empty texts have length 0, repeated rows count as rows."""
+    """``length, n_docs`` of the encoded whole texts; null and empty texts have length 0, repeated rows count as rows, other columns play no part."""
     lengths = docs.select(token_counter(docs, vocabulary)(F.col(text)).alias("length"))
     return lengths.groupBy("length").agg(F.count("*").alias("n_docs"))
 
@@ -58,9 +58,10 @@ def suffix_sums(histogram: DataFrame, block: int = 256) -> DataFrame:
     ``docs_over`` documents are longer; ``tokens_upto`` are the tokens of those that aren't;
     ``truncated_tokens`` are what is left of all documents cut at the limit; ``quantile`` is the
     share of documents that fit. Sums run inside blocks of ``block`` lengths and then over the
-    blocks, so that no task gets the whole histogram. An empty histogram gives no rows.
+    blocks, so that no task gets the whole histogram. The histogram is cut first, as it is read
+    for the rows and for the blocks. An empty histogram gives no rows.
     """
-    h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / block).alias("block"))
+    h = cut(histogram.select("length", "n_docs")).select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / block).alias("block"))
     inside = Window.partitionBy("block").orderBy("length")
     over_blocks = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
