@@ -7,9 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 0xD1342543DE82EF95
-_BACK = pow(_STEP, -1, 1 << 64)
-_powers = {_STEP: np.ones(1, dtype=np.uint64), _BACK: np.ones(1, dtype=np.uint64)}
+#: Places in a word whose bytes have their values in a table.
+_NEAR = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -23,16 +22,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 18), base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base]
-
-
 class Alphabet:
-    """Which bytes part words, and one random value for each other byte; A-Z count as a-z."""
+    """Which bytes part words, and a random value for each other byte at each place of a word; A-Z count as a-z.
+
+    A word's hash is the sum of its bytes' values. As they are drawn anew for every place, no words
+    are built to collide, which powers of one multiplier modulo 2**64 don't prevent.
+    """
 
     def __init__(self, separators: Sequence[int]):
         fold = np.arange(256)
@@ -40,7 +35,11 @@ class Alphabet:
         self.parts = np.zeros(256, dtype=bool)
         self.parts[list(separators)] = True
         self.values = mix64((fold.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
-        self.values[self.parts] = 0
+        self.near = np.concatenate([self.at(self.values, np.full(256, i)) for i in range(_NEAR)])
+
+    @staticmethod
+    def at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix64(values + place.astype(np.uint64) * _GOLDEN)
 
 
 #: Words of the contract: blank and the controls 9 to 13 part them.
@@ -68,11 +67,15 @@ class Words:
         while at < len(starts):  # a quarter of a megabyte at a time
             stop = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 18))))
             base, end = starts[at], ends[stop - 1]
-            sums = np.zeros(end - base + 1, dtype=np.uint64)
-            np.cumsum(alphabet.values[data[base:end]] * _power(_STEP, end - base)[: end - base], out=sums[1:])
             s, e = starts[at:stop] - base, ends[at:stop] - base
-            value = (sums[e] - sums[s]) * _power(_BACK, end - base + 1)[s]
-            self.hashes[at:stop] = mix64(value + (e - s).astype(np.uint64) * _GOLDEN)
+            place = np.arange(end - base) - np.repeat(s, np.diff(s, append=end - base))
+            own = data[base:end]
+            value = alphabet.near[np.minimum(place, _NEAR - 1) * 256 + own]
+            far = np.flatnonzero(place >= _NEAR)
+            value[far] = alphabet.at(alphabet.values[own[far]], place[far])
+            sums = np.zeros(end - base + 1, dtype=np.uint64)
+            np.cumsum(value, out=sums[1:])
+            self.hashes[at:stop] = mix64(sums[e] - sums[s] + (e - s).astype(np.uint64) * _GOLDEN)
             at = stop
 
     def __len__(self) -> int:
