@@ -64,6 +64,26 @@ def windows(text: str, window: int, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, window + width - 1)[::window]
 
 
+def gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy over windows ``x`` (position, window) of classes ``y``; ``mask`` is 1 where filters reach."""
+    n, total, width = len(y), net.kernel.shape[1], net.width
+    cols = net.columns(x)
+    maps = (cols.reshape(-1, cols.shape[2]) @ net.kernel).reshape(net.window, n, total)
+    where = maps.argmax(axis=0)
+    peaks = np.take_along_axis(maps, where[None], axis=0)[0] + net.bias
+    hidden = np.maximum(peaks, 0)
+    slope = softmax(hidden @ net.dense + net.offset)
+    slope[np.arange(n), y] -= 1
+    slope /= n
+    back = (slope @ net.dense.T) * (peaks > 0)
+    picked = cols[where, np.arange(n)[:, None]]  # window, filter, width * size
+    embed = np.zeros_like(net.embed)
+    spread = (back[:, :, None] * net.kernel.T[None]).reshape(n, total, width, -1)
+    np.add.at(embed, x[where[:, :, None] + np.arange(width), np.arange(n)[:, None, None]], spread)
+    embed[_PAD] = 0
+    return {"dense": hidden.T @ slope, "offset": slope.sum(axis=0), "bias": back.sum(axis=0), "kernel": np.einsum("nfk,nf->kf", picked, back) * mask, "embed": embed}
+
+
 def train_net(
     texts: list[str],
     labels: list[str],
@@ -99,30 +119,7 @@ def train_net(
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(len(codes)), max(1, len(codes) // batch)):
-            x, y = codes[at].T, target[at]
-            n = len(at)
-            net = ByteNet(languages, window=window, **p)
-            cols = net.columns(x)
-            maps = (cols.reshape(-1, cols.shape[2]) @ p["kernel"]).reshape(window, n, total)
-            where = maps.argmax(axis=0)
-            peaks = np.take_along_axis(maps, where[None], axis=0)[0] + p["bias"]
-            hidden = np.maximum(peaks, 0)
-            slope = softmax(hidden @ p["dense"] + p["offset"])
-            slope[np.arange(n), y] -= 1
-            slope /= n
-            back = (slope @ p["dense"].T) * (peaks > 0)
-            picked = cols[where, np.arange(n)[:, None]]  # window, filter, width * size
-            grad = {
-                "dense": hidden.T @ slope,
-                "offset": slope.sum(axis=0),
-                "bias": back.sum(axis=0),
-                "kernel": np.einsum("nfk,nf->kf", picked, back) * mask,
-                "embed": np.zeros_like(p["embed"]),
-            }
-            spread = (back[:, :, None] * p["kernel"].T[None]).reshape(n, total, width, size)
-            bytes_at = x[where[:, :, None] + np.arange(width), np.arange(n)[:, None, None]]
-            np.add.at(grad["embed"], bytes_at, spread)
-            grad["embed"][_PAD] = 0
+            grad = gradients(ByteNet(languages, window=window, **p), codes[at].T, target[at], mask)
             step += 1
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g

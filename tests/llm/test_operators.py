@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,6 +87,13 @@ def test_words_and_shingles(rows):
     assert all(len(x) == 1 for x in seen.values()) and len({next(iter(x)) for x in seen.values()}) == len(seen)
 
 
+def test_words_built_to_collide_do_not():
+    """A Thue-Morse word and its complement, equal under powers of any odd multiplier modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    found = Words([word, word.translate(str.maketrans("ab", "ba")), word[:-1] + "c", word])
+    assert len(set(found.hashes.tolist())) == 3 and found.hashes[0] == found.hashes[3]
+
+
 def test_ngram_join(docs, rows, empty):
     found = ngram_join.jaccard_components(docs, small_group=3, cell_rows=4).collect()
     assert len(found) == len(rows)
@@ -151,6 +159,27 @@ def test_near_duplicates(spark):
     assert same >= 0.97 * len(want) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.6, 0.8])
+def test_near_duplicates_of_rows_that_share_a_mean(spark, shared):
+    """Planted pairs of cosine 0.94 among 4,000 rows whose cosine is ``shared`` otherwise."""
+    rng = np.random.default_rng(5)
+    dim, n = 48, 2000
+    flat = rng.normal(size=(n, dim))
+    flat[:, 0] = 0
+    x = np.sqrt(1 - shared) * flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(shared)
+    way = rng.normal(size=(n, dim))
+    way -= (way * x).sum(axis=1, keepdims=True) * x
+    y = 0.94 * x + math.sqrt(1 - 0.94**2) * way / np.linalg.norm(way, axis=1, keepdims=True)
+    every = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = int((unit @ unit.T >= 0.93).sum()) - len(unit)
+    met = sum(r["n_links"] for r in neardup.near_duplicates(df).collect())
+    print(f"shared {shared}: {met} of {links} links")
+    assert links >= 2 * n and 0.98 * links <= met <= links
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -182,6 +211,13 @@ def test_top_k_with_few_and_no_rows(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Equal rows count once; of a query id with two vectors the lesser asks, and both are candidates for others."""
+    df = spark.createDataFrame([(0, [1, 1]), (0, [1, 1]), (1, [2, 0]), (1, [0, 5]), (2, [1, 0])], "vec_id long, ints array<long>")
+    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id < 2"), k=3).collect()}
+    assert found == {(0, 1, 1, 5), (0, 2, 1, 2), (0, 3, 2, 1), (1, 1, 0, 5), (1, 2, 2, 0)}
+
+
 def test_shards(docs, rows, empty):
     found = sharding.assign_shards(docs, sharding.topology(8)).collect()
     assert len(found) == len(rows)
@@ -195,6 +231,8 @@ def test_shards(docs, rows, empty):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     sizes = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in found)
     assert sizes == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 1) for r in rows)
+    sums = Counter((r["doc_id"], r["text_crc32"]) for r in found)
+    assert sums == Counter((r[0], None if r[1] is None else zlib.crc32(r[1].encode())) for r in rows)
     assert sharding.assign_shards(empty, sharding.topology(8)).count() == 0
 
 
@@ -317,6 +355,27 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_bands_retrieve(spark):
+    """Of each notice three quarters of its shingles, amid other words: how often the bands retrieve it, over batches of a task."""
+    rng = random.Random(12)
+    every = licenses.license_templates()
+    names = [n for n in every if len(words_of(every[n])) >= 12]
+    rows = []
+    for name in names:
+        own = every[name].split()
+        for _ in range(12):
+            keep = math.ceil(0.8 * len(own)) + 1
+            at = rng.randrange(len(own) - keep + 1)
+            rows.append((len(rows), f"{sentence(rng, rng.randrange(80))} {' '.join(own[at : at + keep])} {sentence(rng, 20)}", name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").coalesce(1)
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, every).collect()}
+    sets = {n: shingle_set(every[n]) for n in names}
+    held = [(i, n) for i, t, n in rows if len(sets[n] & shingle_set(t)) >= 0.75 * len(sets[n])]
+    met = sum(x in found for x in held)
+    print(f"bands retrieve {met} of {len(held)}")
+    assert len(held) >= 400 and met >= 0.999 * len(held)
+
+
 def test_license_query_covers_bodies_variants_and_spdx(spark, tmp_path):
     rng = random.Random(7)
     every = licenses.license_templates()
@@ -356,6 +415,72 @@ def test_languages(spark, small, docs, empty):
     assert langid.identify_languages(empty).count() == 0
 
 
+def test_net_forward_and_gradient():
+    """The filters against loops over windows, and one step of training against differences of the loss."""
+    rng = np.random.default_rng(1)
+    texts, labels = ["aab bba ab ab", "xyx yyx xxy y", "ab ba", "yx xy"], ["p", "q", "p", "q"]
+    net = langid.train_net(texts, labels, filters=3, size=2, window=16, epochs=2, seed=3)
+    codes = langid.windows(texts[0], net.window, net.width)
+    want = np.zeros((len(codes), 2))
+    for i, own in enumerate(codes):
+        peaks = []
+        for f in range(net.kernel.shape[1]):
+            sums = [sum(float(net.embed[own[t + k]] @ net.kernel[k * 2 : k * 2 + 2, f]) for k in range(net.width)) for t in range(net.window)]
+            peaks.append(max(0.0, max(sums) + float(net.bias[f])))
+        want[i] = np.array(peaks) @ net.dense + net.offset
+    assert np.allclose(net.logits(codes.T), want, atol=1e-4)
+
+    params = {"embed": net.embed, "kernel": net.kernel, "bias": net.bias, "dense": net.dense, "offset": net.offset}
+    x, y = np.concatenate([langid.windows(t, 16, net.width) for t in texts]).T, np.array([0, 1, 0, 1])
+    mask = (net.kernel != 0).astype(np.float32)
+
+    def loss(p):
+        out = langid.ByteNet(net.languages, window=16, **p).logits(x)
+        return float(-np.log(langid.softmax(out.astype(float))[np.arange(4), y]).mean())
+
+    grad = langid.gradients(net, x, y, mask)
+    for name, g in grad.items():
+        spots = np.argwhere(np.abs(g) > 1e-3)
+        for at in rng.permutation(spots)[:6]:
+            shifted = []
+            for step in (1e-2, -1e-2):
+                p = {k: v.astype(float).copy() for k, v in params.items()}
+                p[name][tuple(at)] += step
+                shifted.append(loss(p))
+            assert (shifted[0] - shifted[1]) / 2e-2 == pytest.approx(g[tuple(at)], rel=0.1, abs=2e-3)
+
+
+def test_quality_is_learnt_and_posteriors_are_those_of_a_plain_version(spark):
+    """Fitted on two thirds of the labels and asked on the rest; posteriors against loops over documents."""
+    folder = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit_quality(table, labels.where("doc_id % 3 <> 0"))
+    found = quality.score_quality(table, model, F.col("source"), F.col("lang")).select("row.doc_id", "row.source", "row.lang", "text_p", "host_p", "path_p", "quality_p", "quality_keep").collect()
+    truth = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 3 = 0").collect()}
+    out = [r for r in found if r["doc_id"] in truth]
+    assert len(out) > 50 and sum(r["quality_keep"] == bool(truth[r["doc_id"]]) for r in out) >= 0.95 * len(out)
+    known = [r for r in found if r["text_p"] is not None]
+    sites, hosts = defaultdict(list), defaultdict(list)
+    for r in known:
+        sites[r["source"], r["lang"]].append(r["text_p"])
+        hosts[r["source"]].append(r["text_p"])
+    mean = sum(r["text_p"] for r in known) / len(known)
+
+    def worth(groups):
+        between = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values()) / len(known)
+        spread = max(between - len(groups) * max(mean * (1 - mean), 1e-9) / len(known), 1e-6)
+        return min(max(mean * (1 - mean) / spread - 1, 1.0), 1000.0)
+
+    logit = lambda p: math.log(p / (1 - p))
+    a, b = worth(hosts), worth(sites)
+    for r in known:
+        h, q = hosts[r["source"]], sites[r["source"], r["lang"]]
+        host = (sum(h) - r["text_p"] + a * mean) / (len(h) - 1 + a)
+        path = (sum(q) - r["text_p"] + b * host) / (len(q) - 1 + b)
+        assert r["host_p"] == pytest.approx(host) and r["path_p"] == pytest.approx(path)
+        assert r["quality_p"] == pytest.approx(1 / (1 + math.exp(-logit(r["text_p"]) - logit(path) + logit(mean))))
+
+
 def test_quality(spark, small, docs, empty):
     table, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     model = quality.fit_quality(table, labels)
