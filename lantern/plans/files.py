@@ -40,7 +40,7 @@ def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_logs(spark, path).groupBy("service", "level", "message").agg(F.count("*").alias("n"), F.max(F.unix_timestamp("ts")).alias("last"))
 
 
-@query("s02_stream_logs")
+@query("s02_stream_logs", "select service, level, count(*) as count from {logs} group by 1, 2")
 def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, name = staged(spark), f"s02_{uuid4().hex}"
     relation(spark, sf_dir, "logs").select(_iso().alias("timestamp"), "level", "service", "message").write.json(path)
@@ -91,11 +91,8 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged(spark)
     nodes = relation(spark, sf_dir, "geo_nodes").select("node_id", F.create_map(F.lit("kind"), "kind", F.lit("name"), "name").alias("attrs"))
     edges = relation(spark, sf_dir, "geo_edges").select("source", "target", F.create_map(F.lit("type"), "type").alias("attrs"))
-    if S.write_graph_json(nodes, edges, path) == "tables":
-        return spark.read.parquet(f"{path}/edges").select("source", "target", F.element_at("attrs", F.lit("type")).alias("type"))
-    return S.read_graph_json(spark, f"{path}/document")[1].select("source", "target", F.element_at("attrs", F.lit("type")).alias("type"))
-
-
+    S.write_graph_json(nodes, edges, path)
+    return S.read_graph_json(spark, path, lines=True)[1].select("source", "target", F.element_at("attrs", F.lit("type")).alias("type"))
 
 
 @query("s09_read_manifests", "select 'Service' as kind, namespace, name from {svc} union all select 'Deployment', namespace, name from {dep}")
@@ -208,6 +205,5 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged(spark)
     relation(spark, sf_dir, "logs").select(_iso().alias("timestamp"), "level", "service", "message").write.json(f"{path}/in")
-    write = lambda batch, epoch: batch.where("level = 'ERROR'").write.mode("append").parquet(f"{path}/out")
-    sinks.for_each_result(S.stream_logs(spark, f"{path}/in"), write, checkpoint=f"{path}/state").awaitTermination()
+    sinks.for_each_result(S.stream_logs(spark, f"{path}/in"), sinks.to_epochs(f"{path}/out", lambda batch: batch.where("level = 'ERROR'")), checkpoint=f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("service").agg(F.count("*").alias("n"))

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.runtime import in_order
+
 LOG = "timestamp string, level string, service string, message string"
 METRIC = "timestamp string, service string, metric string, value double, unit string"
 INSTANT = "status string, data struct<resultType: string, result: array<struct<metric: map<string,string>, value: array<string>>>>"
 RANGE = "status string, data struct<resultType: string, result: array<struct<metric: map<string,string>, values: array<array<string>>>>>"
 #: Fixed: labels that aren't dimensions.
 NOT_DIMENSIONS = ("__name__", "job", "instance")
-MANIFEST_ENDINGS = (".yaml", ".yml")
+MANIFEST_FILES = "*.{yaml,yml}"
 
 
 def _logs(rows: DataFrame) -> DataFrame:
@@ -74,13 +76,14 @@ def flatten_prom_range(responses: DataFrame, body: str = "body", service: str |
     return _points(series.select("x.metric", F.explode("x.values").alias("v")), service)
 
 
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_graph_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes ``node_id, attrs`` and edges ``source, target, attrs`` of documents with both lists; unknown keys are attributes.
 
-    Edges need both ends among the nodes of the documents.
+    A document is a file, or with ``lines`` each line, as ``write_graph_json`` leaves them. Edges need
+    both ends among the nodes of the documents.
     """
     shape = "nodes array<map<string,string>>, edges array<map<string,string>>"
-    docs = spark.read.schema(shape).option("multiLine", True).json(path)
+    docs = spark.read.schema(shape).option("multiLine", not lines).json(path)
     rest = lambda m, *keys: F.map_filter(m, lambda k, v: ~k.isin(*keys))
     nodes = docs.select(F.explode("nodes").alias("n")).select(F.element_at("n", F.lit("id")).alias("node_id"), rest("n", "id").alias("attrs")).where("node_id is not null")
     edges = docs.select(F.explode("edges").alias("e")).select(F.element_at("e", F.lit("source")).alias("source"), F.element_at("e", F.lit("target")).alias("target"), rest("e", "source", "target").alias("attrs"))
@@ -89,21 +92,12 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return nodes, both
 
 
-def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, max_rows: int = 100_000) -> str:
-    """Write a graph: up to ``max_rows`` nodes and edges as one document, ``path/document``; a larger one as tables under ``path``.
-
-    Returns which of ``document`` and ``tables`` was written.
-    """
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Write a graph of any size as lines, each a document with one node or one edge, for ``read_graph_json`` with ``lines``."""
     as_map = lambda first, attrs: F.map_concat(F.create_map(*first), F.coalesce(attrs, F.create_map().cast("map<string,string>")))
-    n = nodes.select(as_map([F.lit("id"), F.col("node_id")], F.col("attrs")).alias("x"))
-    e = edges.select(as_map([F.lit("source"), F.col("source"), F.lit("target"), F.col("target")], F.col("attrs")).alias("x"))
-    if n.limit(max_rows + 1).count() + e.limit(max_rows + 1).count() > max_rows:
-        nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        edges.write.mode("overwrite").parquet(f"{path}/edges")
-        return "tables"
-    one = n.agg(F.collect_list("x").alias("nodes")).crossJoin(e.agg(F.collect_list("x").alias("edges")))
-    one.coalesce(1).write.mode("overwrite").json(f"{path}/document")
-    return "document"
+    n = nodes.select(F.array(as_map([F.lit("id"), F.col("node_id")], F.col("attrs"))).alias("nodes"))
+    e = edges.select(F.array(as_map([F.lit("source"), F.col("source"), F.lit("target"), F.col("target")], F.col("attrs"))).alias("edges"))
+    n.unionByName(e, allowMissingColumns=True).write.mode("overwrite").json(path)
 
 
 def _yaml_documents(text: str):
@@ -155,18 +149,17 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """Documents with ``seq``: an order by file and place that is the same in every run."""
-    from pyspark.sql import Window
+    """Documents with ``seq``: an order by file and place that is the same in every run.
 
-    order = F.dense_rank().over(Window.orderBy("file"))
-    files = documents.select("file").distinct().withColumn("__f", order)
-    return documents.join(files, "file").withColumn("seq", F.col("__f").cast("long") * (1 << 20) + F.col("doc_seq")).drop("__f")
+    Files are sorted in ranges and numbered range by range; no task gets all names.
+    """
+    files = in_order(documents.select("file").distinct(), "file", name="__f")
+    return documents.join(files.withColumnRenamed("file", "__file"), F.col("file") == F.col("__file")).withColumn("seq", F.col("__f") * (1 << 20) + F.col("doc_seq")).drop("__f", "__file")
 
 
 def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The documents of all YAML files under a folder, and the files that can't be read with their errors."""
-    files = read_files(spark, path).where(F.col("file").rlike(r"\.ya?ml$"))
-    loaded = load_documents(files)
+    """The documents of all YAML files under a folder, and the files that can't be read with their errors; other files aren't opened."""
+    loaded = load_documents(read_files(spark, path, MANIFEST_FILES))
     return numbered(loaded.where("error is null")), loaded.where("error is not null").select("file", "error")
 
 

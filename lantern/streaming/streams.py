@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from lantern.operators import logs as L
 from lantern.operators import metrics as A
 from lantern.operators import prom as P
 from lantern.operators import remediation as E
-from lantern.sources.sinks import for_each_result
+from lantern.sources.sinks import epochs, for_each_result, to_epochs
 
 ANOMALY = "pattern_name string, service string, seq long, ts timestamp, count long, score double, severity int, n_late long"
 
@@ -28,10 +29,12 @@ def _score(count: int, expected: float) -> float:
 def stream_pattern_anomalies(logs: DataFrame, patterns: Sequence[L.LogPattern] = L.DEFAULT_PATTERNS, delay: str | None = None, by: Sequence[str] = ("pattern_name",)) -> DataFrame:
     """Anomalies of lines as they come: the exact trailing count of each line's pattern, and its score.
 
-    The state of a pattern is the times of the lines in its window; older ones go with every batch.
+    A line counts those of its pattern in [t - window, t] that have come up to it; lines of one batch come
+    in the order of time and ``seq``. The state of a pattern is the distinct times, in order, of the
+    lines that a later one may count, with their numbers: those from a window before the watermark on.
     A line older than the watermark, by default the longest window behind, is dropped and counted in
-    ``n_late`` of the next anomaly. ``by`` may add the service for more parallel keys, which makes
-    the counts per service.
+    ``n_late`` of the next anomaly; state has no timeout, as Spark would drop such lines unseen. ``by``
+    may add the service for more parallel keys, which makes the counts per service.
     """
     known = {p.name: p for p in patterns}
     wait = delay or f"{max(p.window_seconds for p in patterns)} seconds"
@@ -39,33 +42,29 @@ def stream_pattern_anomalies(logs: DataFrame, patterns: Sequence[L.LogPattern] =
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p = known[key[0]]
-        times, late = state.get if state.exists else ([], 0)
-        times = list(times)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        mark = state.getCurrentWatermarkMs() * 1000
+        times, numbers, late = state.get if state.exists else ([], [], 0)
+        times, numbers = np.array(times, dtype=np.int64), np.array(numbers, dtype=np.int64)
+        mark, window = state.getCurrentWatermarkMs() * 1000, p.window_seconds * 1_000_000
         pdf = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        stamps = (pdf["ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
-        out, start = [], 0
-        for (_, row), us in zip(pdf.iterrows(), stamps, strict=True):
-            if us < mark:
-                late += 1
-                continue
-            times.append(int(us))
-            while times[start] < us - p.window_seconds * 1_000_000:
-                start += 1
-            n = min(len(times) - start, L.MAX_HISTORY + 1)
-            if (s := _score(n, p.threshold)) > 0:
-                out.append((p.name, row["service"], int(row["seq"]), row["ts"], n, s, p.severity, late))
-                late = 0
-        times = times[start:][-(L.MAX_HISTORY + 1) :]
-        state.update((times, late))
-        if times:
-            state.setTimeoutTimestamp(max(int(times[-1] // 1000) + p.window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["pattern_name", "service", "seq", "ts", "count", "score", "severity", "n_late"])
-
-    return rows.groupBy(*by).applyInPandasWithState(count, ANOMALY, "times array<long>, late long", "append", GroupStateTimeout.EventTimeTimeout)
+        us = ((pdf["ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)).to_numpy(dtype=np.int64)
+        late += int((us < mark).sum())
+        pdf, us = pdf[us >= mark], us[us >= mark]
+        before = np.concatenate([[0], np.cumsum(numbers)])
+        old = before[np.searchsorted(times, us, "right")] - before[np.searchsorted(times, us - window, "left")]
+        own = np.arange(1, len(us) + 1) - np.searchsorted(us, us - window, "left")
+        n = np.minimum(old + own, L.MAX_HISTORY + 1)
+        score = np.array([_score(int(x), p.threshold) for x in n])
+        out = pdf[["service", "seq", "ts"]].assign(pattern_name=p.name, count=n, score=score, severity=p.severity, n_late=0)[score > 0]
+        if len(out):
+            out.iloc[0, out.columns.get_loc("n_late")] = late
+            late = 0
+        times, place = np.unique(np.concatenate([times, us]), return_inverse=True)
+        numbers = np.bincount(place, np.concatenate([numbers, np.ones(len(us))]), minlength=len(times)).astype(np.int64)
+        stays = times >= mark - window
+        state.update((times[stays].tolist(), numbers[stays].tolist(), late))
+        yield out[["pattern_name", "service", "seq", "ts", "count", "score", "severity", "n_late"]]
+
+    return rows.groupBy(*by).applyInPandasWithState(count, ANOMALY, "times array<long>, numbers array<long>, late long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_pattern_counts(logs: DataFrame, patterns: Sequence[L.LogPattern] = L.DEFAULT_PATTERNS, window: str = "300 seconds", slide: str = "30 seconds", delay: str = "300 seconds") -> DataFrame:
@@ -92,9 +91,8 @@ def health_batch(batch: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def stream_health(samples: DataFrame, names: dict[str, str], path: str, checkpoint: str, trigger: dict | None = None):
-    """Health of services batch by batch, appended to ``path``; every minute unless a trigger is given."""
-    write = lambda batch, epoch: health_batch(batch, names).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
-    return for_each_result(samples, write, checkpoint=checkpoint, trigger=trigger or {"processingTime": "60 seconds"})
+    """Health of services batch by batch, in ``path`` by ``epoch``; every minute unless a trigger is given."""
+    return for_each_result(samples, to_epochs(path, lambda batch: health_batch(batch, names)), checkpoint=checkpoint, trigger=trigger or {"processingTime": "60 seconds"})
 
 
 def incident_batch(flagged: DataFrame, actions: DataFrame, confidence: DataFrame) -> DataFrame:
@@ -106,21 +104,24 @@ def incident_batch(flagged: DataFrame, actions: DataFrame, confidence: DataFrame
 
 
 def stream_incidents(flagged: DataFrame, actions: DataFrame, confidence: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Incidents of flagged rows batch by batch, appended to ``path``."""
-    write = lambda batch, epoch: incident_batch(batch, actions, confidence).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
-    return for_each_result(flagged, write, checkpoint=checkpoint, trigger=trigger)
+    """Incidents of flagged rows batch by batch, in ``path`` by ``epoch``."""
+    return for_each_result(flagged, to_epochs(path, lambda batch: incident_batch(batch, actions, confidence)), checkpoint=checkpoint, trigger=trigger)
 
 
 def count_late(rows: DataFrame, delay: str, path: str, checkpoint: str):
-    """Append ``n, n_late`` of each batch to ``path``: rows older than ``delay`` before the newest row so far are late."""
-    newest: dict[str, object] = {"ts": None}
+    """``n, n_late, newest`` of each batch in ``path`` by ``epoch``: rows older than ``delay`` before the newest row of earlier batches are late.
+
+    The newest row so far is read from the batches before, one row each, so it outlives a restart, and
+    a batch that is run again counts the same.
+    """
+    spark = rows.sparkSession
 
     def run(batch: DataFrame, epoch: int) -> None:
-        top = batch.agg(F.max("ts").alias("t")).first()["t"]
-        mark = newest["ts"]
+        mark = None
+        if epoch > 0 and (folders := epochs(spark, path, epoch)):
+            mark = spark.read.parquet(*folders).agg(F.max("newest").alias("t")).first()["t"]
         late = F.lit(False) if mark is None else F.col("ts") < F.lit(mark) - F.expr(f"interval {delay}")
-        batch.agg(F.count("*").alias("n"), F.count_if(late).alias("n_late")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
-        if top is not None and (mark is None or top > mark):
-            newest["ts"] = top
+        counted = batch.agg(F.count("*").alias("n"), F.count_if(late).alias("n_late"), F.max("ts").alias("newest"))
+        to_epochs(path)(counted, epoch)
 
     return for_each_result(rows, run, checkpoint=checkpoint)
