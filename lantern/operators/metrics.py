@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,17 +27,23 @@ def metric_key(name: Column, kind: Column, service: Column, dimensions: Column |
 
 
 def training_window(points: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = MAX_POINTS, least: int = MIN_POINTS) -> DataFrame:
-    """The newest ``most`` rows of each key, of keys with ``least`` rows at least."""
+    """The newest ``most`` rows of each key, of keys with ``least`` rows at least; a null key is a key."""
     newest = points.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= most).drop("__n")
     enough = points.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") >= least).drop("__rows")
-    return newest.join(enough, list(keys), "left_semi")
+    return newest.join(enough.toDF(*[f"__k{i}" for i in range(len(keys))]), same_keys(keys), "left_semi")
+
+
+def same_keys(keys: Sequence[str]) -> Column:
+    """Whether the columns ``keys`` equal ``__k0`` and so on, nulls among them."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
 
 
 def standardise(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """``standardised``: the value less its key's mean over its population deviation; a deviation of 0 counts as 1."""
-    stats = points.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
+    """``standardised``: the value less its key's mean over its population deviation; a deviation of 0 counts as 1, a null key is a key, null values stay null."""
+    stats = points.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std")).toDF(*[f"__k{i}" for i in range(len(keys))], "__mean", "__std")
     scale = F.when(F.col("__std") == 0, 1.0).otherwise(F.col("__std"))
-    return points.join(stats, list(keys)).withColumn("standardised", (F.col(value) - F.col("__mean")) / scale).drop("__mean", "__std")
+    joined = points.join(stats, same_keys(keys))
+    return joined.select(*points.columns, ((F.col(value) - F.col("__mean")) / scale).alias("standardised"))
 
 
 def expected_value(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", last: int = 10) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lantern.operators.metrics import same_keys
+from lantern.runtime import in_order
+
 #: Fixed: rows that a tree is grown on, trees, share of outliers.
 TREE_ROWS, TREES, CONTAMINATION = 256, 100, 0.05
 
@@ -73,11 +76,11 @@ def _apply_models(rows: DataFrame, models: DataFrame, key: str, score, column: s
     """``rows`` with ``column`` from ``score(model, x)``; ``models`` are ``__key, __model``, one per key.
 
     A key's rows are dealt to as many salts as it has ``rows_per_task`` rows; each salt's task gets its
-    rows and one copy of the model.
+    rows and one copy of the model. A null key is a key.
     """
     counts = rows.groupBy(F.col(key).alias("__k")).agg(F.ceil(F.count("*") / rows_per_task).alias("__salts"))
-    dealt = rows.join(counts, F.col(key) == F.col("__k")).withColumn("__salt", F.pmod(F.xxhash64("__x", F.monotonically_increasing_id()), F.col("__salts"))).drop("__k", "__salts")
-    copies = models.join(counts, F.col("__key") == F.col("__k")).select("__key", "__model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"))
+    dealt = rows.join(counts, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__salt", F.pmod(F.xxhash64("__x", F.monotonically_increasing_id()), F.col("__salts"))).drop("__k", "__salts")
+    copies = models.join(counts, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"))
     fields = [f for f in rows.schema.fields if f.name != "__x"]
 
     def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +107,7 @@ def isolation_forest(points: DataFrame, key: str, features: Column, contaminatio
 
     Each key's trees are grown on at most ``train_rows`` rows of the least hash, in its own task. Outliers
     are the share ``contamination`` of highest scores per key; ``reference`` mode takes 0.5 plus the score
-    above 0.7.
+    above 0.7. Rows with a null key are rows of one key.
     """
     rows = points.withColumn("__x", features)
     models = _model_rows(rows, key, train_rows, lambda x: grow_trees(x, seed))
@@ -112,30 +115,53 @@ def isolation_forest(points: DataFrame, key: str, features: Column, contaminatio
     if score_mode == "reference":
         return scored.withColumn("iso_outlier", 0.5 + F.col("iso_score") > 0.7)
     cuts = scored.groupBy(F.col(key).alias("__k")).agg(F.percentile_approx("iso_score", 1 - contamination, 10_000).alias("__cut"))
-    return scored.join(cuts, F.col(key) == F.col("__k")).withColumn("iso_outlier", F.col("iso_score") > F.col("__cut")).drop("__k", "__cut")
-
-
-def lof_1d(points: DataFrame, keys: Sequence[str], value: str = "value", tie: Sequence[str] = (), k: int = 20) -> DataFrame:
+    return scored.join(cuts, F.col(key).eqNullSafe(F.col("__k"))).withColumn("iso_outlier", F.col("iso_score") > F.col("__cut")).drop("__k", "__cut")
+
+
+def _lof_of_run(v: np.ndarray, k: int) -> np.ndarray:
+    """Outlier factors of sorted numbers against each other; right from place 3 * ``k`` on to as far before the end."""
+    n, most = len(v), min(k, len(v) - 1)
+    if most < 1:
+        return np.full(n, np.nan)
+    place = np.arange(n)[:, None] + np.concatenate([np.arange(-k, 0), np.arange(1, k + 1)])[None]
+    inside = (place >= 0) & (place < n)
+    place = np.clip(place, 0, n - 1)
+    away = np.where(inside, np.abs(v[place] - v[:, None]), np.inf)
+    order = np.argsort(away, axis=1, kind="stable")[:, :most]
+    near, d = np.take_along_axis(place, order, 1), np.take_along_axis(away, order, 1)
+    reach = np.maximum(d, d[:, -1][near]).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        density = np.where(reach > 0, most / reach, np.inf)
+        return np.where(np.isinf(density), 1.0, (density[near] / density[:, None]).mean(axis=1))
+
+
+def lof_1d(points: DataFrame, keys: Sequence[str], value: str = "value", tie: Sequence[str] = (), k: int = 20, cell_rows: int = 20_000) -> DataFrame:
     """``lof`` of numbers per key: the mean reach density of the ``k`` nearest over the row's own; near 1 for inliers.
 
-    In order of value the nearest lie within ``k`` rows on either side, so windows of rows find them,
-    then their distances, then their densities. Where all distances are 0 the factor is 1.
+    In order of value the nearest of a row lie within ``k`` places, what their distances need within
+    2 ``k``, and their densities within 3 ``k``. So rows are sorted by key and value in ranges, numbered,
+    and cut into cells of ``cell_rows`` that hold the 3 ``k`` places before and after too; no task gets
+    a key. Where all distances are 0 the factor is 1. A null key is a key, whose only row has a null
+    factor; rows with a null or NaN value have a null factor and are no neighbours.
     """
-    order = Window.partitionBy(*keys).orderBy(value, *tie)
-    near = order.rowsBetween(-k, k)
-    place = F.row_number().over(order)
-    rows = points.withColumn("__i", place).withColumn("__near", F.collect_list(F.struct(F.col("__i").alias("i"), F.col(value).alias("v"))).over(near.rowsBetween(-k, k)))
-    ranked = F.slice(F.array_sort(F.transform(F.filter("__near", lambda n: n["i"] != F.col("__i")), lambda n: F.struct(F.abs(n["v"] - F.col(value)).alias("d"), n["i"].alias("i")))), 1, k)
-    rows = rows.withColumn("__nn", ranked).withColumn("__kd", F.try_element_at("__nn", F.lit(-1))["d"]).drop("__near")
-    # The distance and density of neighbours come from the same windows, looked up by place.
-    wide = Window.partitionBy(*keys).orderBy("__i").rowsBetween(-k, k)
-    rows = rows.withColumn("__kds", F.map_from_entries(F.collect_list(F.struct("__i", "__kd")).over(wide)))
-    reach = F.transform("__nn", lambda n: F.greatest(n["d"], F.element_at("__kds", n["i"])))
-    rows = rows.withColumn("__lrd", F.try_divide(F.size("__nn").cast("double"), F.aggregate(reach, F.lit(0.0), lambda s, x: s + x))).drop("__kds")
-    rows = rows.withColumn("__lrds", F.map_from_entries(F.collect_list(F.struct("__i", F.coalesce("__lrd", F.lit(float("inf"))).alias("l"))).over(wide)))
-    own = F.coalesce("__lrd", F.lit(float("inf")))
-    ratios = F.transform("__nn", lambda n: F.when(own == float("inf"), 1.0).otherwise(F.element_at("__lrds", n["i"]) / own))
-    return rows.withColumn("lof", F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda s, x: s + x), F.size("__nn").cast("double"))).drop("__i", "__nn", "__kd", "__lrd", "__lrds")
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    numbered = in_order(points.where(known), *keys, value, *tie, name="__i")
+    own = [f"__k{i}" for i in range(len(keys))]
+    starts = numbered.groupBy(*keys).agg(F.min("__i").alias("__first"), F.count("*").alias("__rows")).toDF(*own, "__first", "__rows")
+    placed = numbered.join(starts, same_keys(keys)).withColumn("__i", F.col("__i") - F.col("__first")).drop("__first")
+    cell, last = F.floor(F.col("__i") / cell_rows), F.floor((F.col("__rows") - 1) / cell_rows)
+    reach = 3 * k
+    cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("__i") - reach) / cell_rows)), F.least(last, F.floor((F.col("__i") + reach) / cell_rows)))
+    dealt = placed.withColumn("__home", cell).withColumn("__cell", F.explode(cells)).drop("__rows")
+    fields = [*points.schema.fields, T.StructField("lof", T.DoubleType())]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        pdf["lof"] = _lof_of_run(pdf[value].to_numpy(dtype=float), k)
+        return pdf[pdf["__home"] == pdf["__cell"]][[f.name for f in fields]]
+
+    found = dealt.groupBy(*own, "__cell").applyInPandas(run, T.StructType(fields))
+    return found.unionByName(points.where(~known | F.col(value).isNull()).withColumn("lof", F.lit(None).cast("double")))
 
 
 def _nearest(a: np.ndarray, x: np.ndarray, k: int, skip: bool, block: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
@@ -181,31 +207,36 @@ def dbscan_outliers(points: DataFrame, key: str, features: Column, eps: float =
     """``is_noise``: whether no core point of the row's key lies within ``eps``; a core point has ``least`` rows within ``eps``, itself included.
 
     Rows are folded by equal vectors with their counts, and dealt to slabs of width ``eps`` along the
-    first coordinate; a row meets its own and the two neighbouring slabs only.
+    first coordinate; a row meets its own and the two neighbouring slabs only. A null key is a key; rows
+    whose vector is null or holds null are noise.
     """
     rows = points.withColumn("__x", F.transform(features, lambda v: v.cast("double")))
     folded = rows.groupBy(F.col(key).alias("__k"), F.col("__x").alias("__v")).agg(F.count("*").alias("__n")).withColumn("__slab", F.floor(F.get("__v", 0) / eps))
     other = folded.select(F.col("__k").alias("__k2"), F.col("__v").alias("__y"), F.col("__n").alias("__m"), F.col("__slab").alias("__slab2"))
     dealt = folded.withColumn("__at", F.explode(F.array(F.col("__slab") - 1, "__slab", F.col("__slab") + 1)))
     square = F.aggregate(F.zip_with("__v", "__y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    close = dealt.join(other, (F.col("__k") == F.col("__k2")) & (F.col("__at") == F.col("__slab2"))).where(square <= eps * eps)
+    close = dealt.join(other, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__at") == F.col("__slab2"))).where(square <= eps * eps)
     core = close.groupBy("__k", "__v").agg(F.sum("__m").alias("__near")).where(F.col("__near") >= least).select(F.col("__k").alias("__ck"), F.col("__v").alias("__cv"))
-    reached = close.join(core, (F.col("__k2") == F.col("__ck")) & (F.col("__y") == F.col("__cv"))).select("__k", "__v").distinct().withColumn("__ok", F.lit(True))
-    return rows.join(reached, (F.col(key) == F.col("__k")) & (F.col("__x") == F.col("__v")), "left").withColumn("is_noise", F.col("__ok").isNull()).select(*points.columns, "is_noise")
+    reached = close.join(core, F.col("__k2").eqNullSafe(F.col("__ck")) & (F.col("__y") == F.col("__cv"))).select("__k", "__v").distinct().withColumn("__ok", F.lit(True))
+    return rows.join(reached, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__x") == F.col("__v")), "left").withColumn("is_noise", F.col("__ok").isNull()).select(*points.columns, "is_noise")
 
 
 def cluster_outlier_factor(points: DataFrame, features: Sequence[str], clusters: int = 3, large: float = 0.1, seed: int = 42) -> DataFrame:
-    """``cblof``: the distance of a row to the centre of the nearest large cluster, one with a tenth of all rows or more."""
+    """``cblof``: the distance of a row to the centre of the nearest large cluster, one with a tenth of all rows or more; null where a feature is null or NaN."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="skip").transform(points)
-    model = KMeans(k=clusters, seed=seed, featuresCol="__v", predictionCol="__c").fit(rows)
+    # Rows with gaps aren't clustered; they stay, and their distance is null.
+    whole = VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="skip").transform(points)
+    if whole.isEmpty():
+        return points.withColumn("cblof", F.lit(None).cast("double"))
+    model = KMeans(k=clusters, seed=seed, featuresCol="__v", predictionCol="__c").fit(whole)
     sizes = model.summary.clusterSizes
     total = sum(sizes)
     centres = [c for c, n in zip(model.clusterCenters(), sizes, strict=True) if n >= large * total] or model.clusterCenters()
     away = [F.sqrt(sum(((F.col(f) - float(c[j])) ** 2 for j, f in enumerate(features)), F.lit(0.0))) for c in centres]
-    return rows.withColumn("cblof", F.least(*away) if len(away) > 1 else away[0]).drop("__v")
+    nearest = F.least(*away) if len(away) > 1 else away[0]
+    return points.withColumn("cblof", F.when(~F.isnan(nearest), nearest))
 
 
 def log_features(logs: DataFrame, message: str = "message", terms: int = 100, components: int = 10) -> DataFrame:
@@ -254,6 +285,30 @@ def reconstruction_error(rows: DataFrame, features: str = "features", components
     return scored.crossJoin(F.broadcast(cut)).withColumn("recon_outlier", F.col("recon_error") > F.col("__cut")).drop("__cut")
 
 
+def above_quantile(rows: DataFrame, key: str, score: str, name: str, contamination: float = CONTAMINATION) -> DataFrame:
+    """``name``: whether ``score`` is above the key's quantile that leaves the share ``contamination``; a null key is a key."""
+    cuts = rows.groupBy(F.col(key).alias("__k")).agg(F.percentile_approx(score, 1 - contamination, 10_000).alias("__cut"))
+    return rows.join(cuts, F.col(key).eqNullSafe(F.col("__k"))).withColumn(name, F.coalesce(F.col(score) > F.col("__cut"), F.lit(False))).drop("__k", "__cut")
+
+
+def log_model_scores(rows: DataFrame, key: str, features: str = "features", eps: float = 0.5, least: int = 5) -> DataFrame:
+    """``iso, lof, dbscan, reconstruction`` of every row: what four models of its key say, from 0 to 1.
+
+    Isolation forest and outlier factor score where they are among the highest of the key: 0.5 plus the
+    forest's score, and the logistic of the factor. Noise is 1. The error of reconstruction scores by
+    its logistic where it is among the highest of all rows.
+    """
+    found = isolation_forest(rows, key, F.col(features))
+    found = above_quantile(local_outlier_factor(found, key, F.col(features)), key, "lof", "__lof")
+    found = reconstruction_error(dbscan_outliers(found, key, F.col(features), eps, least), features)
+    logistic = lambda x: 1 / (1 + F.exp(-x))
+    one = lambda flag, x: F.when(flag, F.least(F.lit(1.0), x)).otherwise(0.0)
+    return found.select(
+        *rows.columns, one(F.col("iso_outlier"), 0.5 + F.col("iso_score")).alias("iso"), one(F.col("__lof"), logistic(F.col("lof"))).alias("lof"),
+        F.col("is_noise").cast("double").alias("dbscan"), one(F.col("recon_outlier"), logistic(F.col("recon_error"))).alias("reconstruction"),
+    )
+
+
 def ml_log_anomalies(scored: DataFrame, scores: Sequence[str], cut: float = 0.7) -> DataFrame:
     """Anomalies ``ml_anomaly`` of lines whose highest score is above ``cut``, in the shape of pattern anomalies."""
     rows = scored.withColumn("score", F.greatest(*[F.col(s) for s in scores]) if len(scores) > 1 else F.col(scores[0])).where(F.col("score") > cut)

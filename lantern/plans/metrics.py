@@ -34,10 +34,10 @@ def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a02_training_window",
     """select metric_name, service, seq from (select *, row_number() over (partition by metric_name, service order by ts desc, seq desc) as i,
-       count(*) over (partition by metric_name, service) as n from {metrics}) w where i <= 150 and n >= 100""",
+       count(*) over (partition by metric_name, service) as n from {metrics}) w where i <= 10000 and n >= 100""",
 )
 def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.training_window(relation(spark, sf_dir, "metrics"), ["metric_name", "service"], [F.desc("ts"), F.desc("seq")], most=150)
+    rows = A.training_window(relation(spark, sf_dir, "metrics"), ["metric_name", "service"], [F.desc("ts"), F.desc("seq")])
     return rows.select("metric_name", "service", "seq")
 
 
