@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.operators.graph_algo import articulation_points, cycle_search, degrees, unlisted_cycles, weak_components
+from lantern.runtime import in_order
 
 #: Fixed: parts of kinds and attribute names that the checks look for.
 DATABASE_PARTS = ("db", "database", "sql", "nosql", "redis", "memcached", "cache")
@@ -76,8 +77,11 @@ def orphaned_services(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _fan(nodes: DataFrame, edges: DataFrame, threshold: int, out: bool) -> DataFrame:
     own, other = ("source", "target") if out else ("target", "source")
-    grouped = edges.select("source", "target").distinct().groupBy(F.col(own).alias("node_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(other)).alias("others")).where(F.col("n") >= threshold)
-    rows = nodes.join(grouped, "node_id")
+    # Neighbours are gathered only of the nodes whose issue lists them.
+    distinct = edges.select("source", "target").distinct()
+    high = distinct.groupBy(F.col(own).alias("__node")).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    listed = distinct.join(high, F.col(own) == F.col("__node")).groupBy(F.col("__node").alias("node_id")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(other)).alias("others"))
+    rows = nodes.join(listed, "node_id")
     word, way = ("fanout", "outgoing") if out else ("fanin", "incoming")
     text = F.concat(F.lit(f"High {word} detected: "), _label(), F.lit(" has "), F.col("n").cast("string"), F.lit(f" {way} connections"))
     pair = (lambda x: F.struct(F.col("node_id").alias("source"), x.alias("target"))) if out else (lambda x: F.struct(x.alias("source"), F.col("node_id").alias("target")))
@@ -97,8 +101,10 @@ def high_fanin(nodes: DataFrame, edges: DataFrame, threshold: int = 10) -> DataF
 def network_partitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """An issue for each weak component if there are several, numbered by their first node."""
     parts = weak_components(nodes, edges).join(nodes.select("node_id", "seq"), "node_id")
-    grouped = parts.groupBy("component").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list("node_id")).alias("members"))
-    numbered = grouped.withColumn("i", F.row_number().over(Window.orderBy("first", "component"))).withColumn("parts", F.count("*").over(Window.partitionBy())).where("parts > 1")
+    first = in_order(parts.groupBy(F.col("component").alias("__c")).agg(F.min("seq").alias("first"), F.count("*").alias("n")), "first", "__c", name="i")
+    several = first.agg((F.count("*") > 1).alias("several"))
+    members = parts.groupBy("component").agg(F.array_sort(F.collect_list("node_id")).alias("members"))
+    numbered = members.join(first, F.col("component") == F.col("__c")).crossJoin(F.broadcast(several)).where("several")
     text = F.concat(F.lit("Network partition detected: Component "), F.col("i").cast("string"), F.lit(" with "), F.col("n").cast("string"), F.lit(" services"))
     return _issue(numbered, "network_partition", 3, text, F.col("members"), _meta(component_index=F.col("i") - 1, component_size=F.col("n")))
 

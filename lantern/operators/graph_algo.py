@@ -255,20 +255,41 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 def sequential_groups(events: DataFrame, key: str, ts: str, gap_seconds: int = 300) -> DataFrame:
     """``group_start``: events of a key in order, a new group when one is over ``gap_seconds`` after the group's first.
 
-    The start of a group depends on the group before, so each key is walked in order; a key's events
-    come sorted and only the current start is kept.
+    A group's start tells the next one's: the first event that is over the gap later. So every time of
+    a key points to the start after it, found among the times of the two buckets of the gap's width that
+    follow, and the starts are those that the first time after a longer gap leads to. Pointers double
+    their steps each round, so the rounds grow with the logarithm of the groups without a longer gap
+    between them; times of a key are never gathered. A null key is a key; events without a time have no
+    start.
     """
     from lantern.operators.logs import micros
 
-    rows = events.withColumn("__us", micros(F.col(ts)))
     span = gap_seconds * 1_000_000
-    ordered = Window.partitionBy(key).orderBy("__us")
-    # Gaps longer than the span always start a group; between them, fold over the short stretch.
-    fresh = F.coalesce(F.col("__us") - F.lag("__us").over(ordered) > span, F.lit(True))
-    stretch = rows.withColumn("__fresh", fresh.cast("int")).withColumn("__stretch", F.sum("__fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    times = stretch.groupBy(key, "__stretch").agg(F.array_sort(F.collect_set("__us")).alias("t"))
-    starts = F.aggregate("t", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > span), F.concat(acc, F.array(x))).otherwise(acc))
-    begun = times.select(key, "__stretch", starts.alias("starts"))
-    joined = stretch.join(begun, [key, "__stretch"])
-    start = F.array_max(F.filter("starts", lambda s: s <= F.col("__us")))
-    return joined.withColumn("group_start", F.timestamp_micros(start).cast("timestamp_ntz")).drop("__us", "__fresh", "__stretch", "starts")
+    rows = events.withColumn("__us", micros(F.col(ts))).withColumn("__key", F.struct(F.col(key).alias("k")))
+    times = cut(rows.where("__us is not null").select("__key", F.col("__us").alias("t")).distinct().withColumn("b", F.floor(F.col("t") / span)))
+    ends = times.groupBy("__key", "b").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    around = ends.withColumn("before", F.lag("last").over(Window.partitionBy("__key").orderBy("b")))
+    # A time over the gap after the one before it always starts a group; within a bucket there is none.
+    heads = around.where(F.coalesce(F.col("first") - F.col("before") > span, F.lit(True))).select("__key", F.col("first").alias("t"))
+    # Asked: the first time after t + span, which lies in the next bucket or is the first of the one after.
+    asked = times.select("__key", (F.col("b") + 1).alias("b"), (F.col("t") + span).alias("p"), F.lit(0).alias("is_time"), "t")
+    targets = times.select("__key", "b", F.col("t").alias("p"), F.lit(1).alias("is_time"), "t")
+    later = Window.partitionBy("__key", "b").orderBy("p", F.desc("is_time")).rowsBetween(1, Window.unboundedFollowing)
+    near = asked.union(targets).withColumn("next", F.min(F.when(F.col("is_time") == 1, F.col("t"))).over(later)).where("is_time = 0")
+    second = ends.select(F.col("__key").alias("__k2"), F.col("b").alias("b2"), F.col("first").alias("after"))
+    jump = near.join(second, (F.col("__key") == F.col("__k2")) & (F.col("b") + 1 == F.col("b2")), "left").select("__key", "t", F.coalesce("next", "after").alias("next")).where("next is not null")
+    jump, starts = cut(jump), cut(heads)
+    while True:
+        led = starts.join(jump, ["__key", "t"]).select("__key", F.col("next").alias("t"))
+        grown = cut(starts.union(led).distinct())
+        if grown.count() == starts.count():
+            break
+        starts = grown
+        onward = jump.select(F.col("__key").alias("__k2"), F.col("t").alias("next2"), F.col("next").alias("then"))
+        jump = cut(jump.join(onward, (F.col("__key") == F.col("__k2")) & (F.col("next") == F.col("next2"))).select("__key", "t", F.col("then").alias("next")))
+    # There is one start in a bucket at most, so an event's is that of its own or of the bucket before.
+    begun = starts.select(F.col("__key").alias("__k2"), F.col("t").alias("__start"), F.explode(F.array(F.floor(F.col("t") / span), F.floor(F.col("t") / span) + 1)).alias("__b2"))
+    at = times.join(begun, (F.col("__key") == F.col("__k2")) & (F.col("b") == F.col("__b2")) & (F.col("__start") <= F.col("t")), "left")
+    found = at.groupBy(F.col("__key").alias("__k3"), F.col("t").alias("__t3")).agg(F.max("__start").alias("__start"))
+    joined = rows.join(found, (F.col("__key") == F.col("__k3")) & (F.col("__us") == F.col("__t3")), "left")
+    return joined.select(*events.columns, F.timestamp_micros("__start").cast("timestamp_ntz").alias("group_start"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.runtime import cut
+
 #: Shape of a manifest; what a check doesn't need stays JSON text.
 _CONTAINER = "struct<name: string, image: string, env: array<struct<name: string, value: string>>, command: array<string>, args: array<string>, volumeMounts: array<struct<name: string>>>"
 _VOLUME = "struct<name: string, configMap: struct<name: string>, secret: struct<secretName: string>>"
@@ -145,10 +147,22 @@ def env_name_dependencies(resources: DataFrame, nodes: DataFrame) -> DataFrame:
     return _by_substring(hinted, nodes, "implied-dependency", lower=True)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` letters."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
 def _by_substring(rows: DataFrame, nodes: DataFrame, kind: str, lower: bool) -> DataFrame:
-    services = _services(nodes)
-    inside = F.contains(F.lower("target") if lower else F.col("target"), F.col("__label"))
-    pairs = rows.select(F.col("label").alias("__label")).distinct().join(services, inside)
+    """Labels with the services whose id holds them, joined by each label's rarest run of three letters (the whole of a shorter one)."""
+    rows, services = cut(rows.select("node_id", "seq", "label")), cut(_services(nodes))
+    text = F.lower("target") if lower else F.col("target")
+    index = services.select("target", F.explode(F.concat(*[_grams(text, n) for n in (1, 2, 3)])).alias("__gram"))
+    counts = index.groupBy(F.col("__gram").alias("__g")).agg(F.count("*").alias("__n"))
+    labels = rows.select(F.col("label").alias("__label")).distinct()
+    own = labels.select("__label", F.explode(F.when(F.length("__label") < 3, F.array("__label")).otherwise(_grams(F.col("__label"), 3))).alias("__of"))
+    rarest = own.join(counts, F.col("__of") == F.col("__g"), "left").groupBy("__label").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__of")).alias("r"))
+    pairs = rarest.select("__label", F.col("r.__of").alias("__of")).join(index, F.col("__of") == F.col("__gram")).where(F.contains(text, F.col("__label"))).select("__label", "target")
     return rows.join(pairs, F.col("label") == F.col("__label")).select(F.col("node_id").alias("source"), "target", F.lit(kind).alias("type"), F.col("seq").alias("emit_seq"))
 
 
@@ -164,12 +178,23 @@ def config_dependencies(resources: DataFrame) -> DataFrame:
 
 
 def selector_edges(resources: DataFrame) -> DataFrame:
-    """Edges from services to the workloads whose own labels have every pair of the selector; an empty selector gives none."""
+    """Edges from services to the workloads whose own labels have every pair of the selector; an empty selector gives none.
+
+    A selector is joined by its rarest pair only, and the workloads found are held against all of it; so
+    a label that all have joins nothing unless a selector has no other.
+    """
     services = resources.where("kind = 'Service'").select("seq", "node_id", F.from_json("doc.spec.selector", "map<string,string>").alias("s")).where(F.size("s") > 0)
-    wanted = services.select("seq", "node_id", F.size("s").alias("n"), F.explode("s").alias("k", "v"))
-    labels = resources.where(F.col("kind").isin(*WORKLOADS)).select(F.col("node_id").alias("target"), F.explode("labels").alias("k", "v"))
-    met = wanted.join(labels.distinct(), ["k", "v"]).groupBy("node_id", "target").agg(F.count("*").alias("met"), F.min("n").alias("n"), F.min("seq").alias("emit_seq")).where("met = n")
-    return met.select(F.col("node_id").alias("source"), "target", F.lit("service-selector").alias("type"), "emit_seq")
+    services = cut(services)
+    labelled = resources.where(F.col("kind").isin(*WORKLOADS)).select(F.col("node_id").alias("target"), "labels", F.explode("labels").alias("k", "v"))
+    labelled = cut(labelled)
+    counts = labelled.groupBy(F.col("k").alias("__k"), F.col("v").alias("__v")).agg(F.count("*").alias("n"))
+    wanted = services.select("seq", "node_id", "s", F.explode("s").alias("__wk", "__wv")).join(counts, (F.col("__wk") == F.col("__k")) & (F.col("__wv") == F.col("__v")), "left")
+    pairs = F.array_sort(F.transform(F.map_entries("s"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+    rarest = wanted.groupBy("seq", "node_id", pairs.alias("pairs")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "__wk", "__wv")).alias("r"))
+    met = rarest.join(labelled, (F.col("r.__wk") == F.col("k")) & (F.col("r.__wv") == F.col("v")))
+    met = met.where(F.forall("pairs", lambda e: F.coalesce(F.try_element_at("labels", e["k"]) == e["v"], F.lit(False))))
+    edges = met.groupBy(F.col("node_id").alias("source"), "target").agg(F.min("seq").alias("emit_seq"))
+    return edges.select("source", "target", F.lit("service-selector").alias("type"), "emit_seq")
 
 
 def ingress_edges(resources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.operators.graph_build import WORKLOADS, merge_edges
+from lantern.runtime import cut
 
 SIZE = 64
 
@@ -70,12 +71,24 @@ def _node(nodes: DataFrame) -> Column:
 def embedding_edges(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
     """An edge for each pair of nodes with a cosine above ``threshold``, in the direction of the ladder.
 
-    ``vectors`` are sparse rows ``node_id, pos, weight`` of unit vectors; products are joined by
-    position. For embeddings of very many rows, near-duplicate search over Hamming tables is the way.
+    ``vectors`` are sparse rows ``node_id, pos, weight`` of unit vectors. Places are ordered from the
+    rarest to the most frequent, and a vector is found by its first places only: those without which
+    the rest is shorter than ``threshold``, so that two vectors without one of them in common can't be
+    alike enough. Pairs meet in the first such place that they share and are then held against each
+    other whole, exactly.
     """
-    left = vectors.select(F.col("node_id").alias("x"), "pos", F.col("weight").alias("wx"))
-    right = vectors.select(F.col("node_id").alias("y"), "pos", F.col("weight").alias("wy"))
-    cosine = left.join(right, "pos").where("x < y").groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("cosine")).where(F.col("cosine") > threshold)
+    often = vectors.groupBy(F.col("pos").alias("__p")).agg(F.count("*").alias("__n"))
+    rows = vectors.join(F.broadcast(often), F.col("pos") == F.col("__p"))  # one row per place, of which there are 64
+    own = rows.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("__n", "pos", "weight"))).alias("v"))
+    # What is left of the squared length from each place on; a place is needed while this reaches the threshold's square.
+    left_of = lambda v, i: F.aggregate(F.slice(v, i + 1, F.size(v)), F.lit(0.0), lambda t, x: t + x["weight"] * x["weight"])
+    prefix = F.transform(F.filter("v", lambda x, i: left_of(F.col("v"), i) > threshold * threshold - 1e-9), lambda x: x["pos"])
+    own = cut(own.select("node_id", prefix.alias("first"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["pos"], x["weight"]))).alias("w")))
+    left = own.select(F.col("node_id").alias("x"), F.col("first").alias("fx"), F.col("w").alias("wx"), F.explode("first").alias("at"))
+    right = own.select(F.col("node_id").alias("y"), F.col("first").alias("fy"), F.col("w").alias("wy"), F.explode("first").alias("at"))
+    met = left.join(right, "at").where("x < y").where(F.get(F.array_intersect("fx", "fy"), 0) == F.col("at"))
+    product = F.aggregate(F.map_entries("wx"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("wy", e["key"]), F.lit(0.0)))
+    cosine = met.select("x", "y", product.alias("cosine")).where(F.col("cosine") > threshold)
     known = nodes.select(_node(nodes).alias("n"))
     pairs = cosine.join(known.select(F.col("n").alias("p")), F.col("x") == F.col("p.node_id")).join(known.select(F.col("n").alias("q")), F.col("y") == F.col("q.node_id"))
     first = F.col("p.seq") <= F.col("q.seq")

@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lantern.runtime import cut
+
 #: Fixed: most earlier lines of a pattern that count, and most anomalies that are kept.
 MAX_HISTORY, MAX_ANOMALIES = 10_000, 1_000
 
@@ -94,9 +96,17 @@ def windowed_count(matches: DataFrame, windows: Sequence[int] = (300,), ts: str
     count = F.count("*").over(trailing) - F.count("*").over(same) + F.row_number().over(same.orderBy(seq))
     out = dealt.withColumn("n_in_window", count.cast("long"))
     if samples:
-        ordered = Window.partitionBy(*key).orderBy("__us").rangeBetween(-span, 0)
-        texts = F.transform(F.array_sort(F.collect_list(F.struct("__us", seq, message)).over(ordered)), lambda x: x[message])
-        out = out.withColumn("log_samples", F.slice(texts, 1, 10))
+        # Lines of a bucket are numbered; a window is a run of numbers, of which ten are looked up.
+        up_to = Window.partitionBy(*key).orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
+        whole = F.count("*").over(trailing)
+        out = cut(out.withColumns({"__in": whole, "__start": F.count("*").over(up_to) - whole + 1, "__place": F.row_number().over(Window.partitionBy(*key).orderBy("__us", seq))}))
+        starts = out.where("__bucket = __home").groupBy(*key, "__start").agg(F.max(F.least("__in", F.lit(10))).alias("__ten"))
+        wanted = starts.select(F.col("pattern_name").alias("__p"), F.col("__bucket").alias("__b"), F.col("__start").alias("__s"), F.posexplode(F.sequence(F.col("__start"), F.col("__start") + F.col("__ten") - 1)).alias("__i", "__at"))
+        texts = out.select(F.col("pattern_name").alias("__tp"), F.col("__bucket").alias("__tb"), F.col("__place").alias("__tat"), F.col(message).alias("__text"))
+        found = wanted.join(texts, F.expr("__p = __tp and __b = __tb and __at = __tat")).groupBy("__p", "__b", "__s").agg(F.array_sort(F.collect_list(F.struct("__i", "__text"))).alias("__t"))
+        joined = out.where("__bucket = __home").join(found, F.expr("pattern_name = __p and __bucket = __b and __start = __s"))
+        some = F.slice(F.transform("__t", lambda x: x["__text"]), F.lit(1), F.least(F.col("__in"), F.lit(10)).cast("int"))
+        out = joined.withColumn("log_samples", some).drop("__in", "__start", "__place", "__p", "__b", "__s", "__t")
     return out.where("__bucket = __home").drop("__us", "__home", "__bucket")
 
 

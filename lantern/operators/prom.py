@@ -8,24 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.logs import micros
+from lantern.operators.metrics import same_keys
 
 #: Fixed: kinds of nodes that get metrics.
 METRIC_KINDS = ("Service", "Deployment", "Pod")
 MEGABYTE = 1 << 20
 
 
-def increases(samples: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", tie: Sequence[str] = ()) -> DataFrame:
-    """``increase`` of each sample over the one before in its series; after a reset the value itself; null for the first."""
-    order = Window.partitionBy(*series).orderBy(ts, *tie)
-    before = F.lag(value).over(order)
-    return samples.withColumn("increase", F.when(before.isNull(), None).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+def increases(samples: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", tie: Sequence[str] = (), bucket_seconds: int = 3600) -> DataFrame:
+    """``increase`` of each sample over the one before in its series; after a reset the value itself; null for the first.
+
+    A series is cut into time buckets, so a long one is many tasks' work; the first sample of a bucket
+    follows the last of the bucket before, from a table of one row per bucket. A null label is a label.
+    """
+    timed = samples.withColumn("__bucket", F.floor(micros(F.col(ts)) / (bucket_seconds * 1_000_000)))
+    order = Window.partitionBy(*series, "__bucket").orderBy(ts, *tie)
+    names = [f"__k{i}" for i in range(len(series))]
+    ends = timed.groupBy(*series, "__bucket").agg(F.max_by(F.struct(value), F.struct(ts, *tie)).alias("__end")).toDF(*names, "__b", "__end")
+    carried = ends.withColumn("__carried", F.lag("__end").over(Window.partitionBy(*names).orderBy("__b"))).drop("__end")
+    joined = timed.join(carried, same_keys(series) & F.col("__bucket").eqNullSafe(F.col("__b")))
+    before = F.coalesce(F.lag(F.struct(value)).over(order), F.col("__carried"))[value]
+    grown = joined.withColumn("increase", F.when(before.isNull(), None).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+    return grown.select(*samples.columns, "increase")
 
 
 def counter_rate(samples: DataFrame, series: Sequence[str], seconds: int = 300, ts: str = "ts", value: str = "value", tie: Sequence[str] = ()) -> DataFrame:
-    """``rate``: increase per second over the trailing ``seconds``, ends included, without extrapolation."""
+    """``rate``: increase per second over the trailing ``seconds``, ends included, without extrapolation.
+
+    Each sample is dealt to the bucket of ``seconds`` that it lies in and to the next, where it is only
+    counted.
+    """
+    span = seconds * 1_000_000
     grown = increases(samples, series, ts, value, tie).withColumn("__us", micros(F.col(ts)))
-    trailing = Window.partitionBy(*series).orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
-    return grown.withColumn("rate", F.coalesce(F.sum("increase").over(trailing), F.lit(0.0)) / seconds).drop("__us")
+    dealt = grown.withColumn("__home", F.floor(F.col("__us") / span)).withColumn("__bucket", F.explode(F.array("__home", F.col("__home") + 1)))
+    trailing = Window.partitionBy(*series, "__bucket").orderBy("__us").rangeBetween(-span, 0)
+    rated = dealt.withColumn("rate", F.coalesce(F.sum("increase").over(trailing), F.lit(0.0)) / seconds)
+    return rated.where("__bucket = __home").drop("__us", "__home", "__bucket")
 
 
 def matches(column: Column, regex: str) -> Column:

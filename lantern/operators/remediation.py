@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lantern.runtime import cut
+from lantern.runtime import cut, lookup
 
 POLICY = """name string, action string, command string, service string, timeout_seconds int, max_retries int, cooldown_seconds int,
     issue_types array<string>, anomaly_patterns array<string>, services array<string>, min_severity int, min_score double, enabled boolean"""
@@ -39,32 +39,33 @@ def render(command: Column, **values: Column) -> Column:
     return command
 
 
-def _in(items: Column, value: Column) -> Column:
-    """Membership, anything for a null list."""
-    return items.isNull() | F.array_contains(items, value)
+_ANY = "*"
 
 
-def _policies(policies: DataFrame) -> DataFrame:
-    return policies.select(*[F.col(c).alias(f"p_{c}") for c in policies.columns])
+def _by_key(rows: DataFrame, key: str, policies: DataFrame, listed: str) -> DataFrame:
+    """``rows`` with the enabled policies whose list ``p_<listed>`` holds the row's ``key``, or that have no list.
 
+    Policies are exploded by what they list, one without a list under a key of its own that every row
+    has too, so the join is one of equality at any number of policies.
+    """
+    p = policies.where("enabled").select(*[F.col(c).alias(f"p_{c}") for c in policies.columns])
+    keyed = p.withColumn("__p", F.explode(F.when(F.col(f"p_{listed}").isNull(), F.array(F.struct(F.lit(True).alias("any"), F.lit(_ANY).alias("of")))).otherwise(F.transform(F.array_distinct(f"p_{listed}"), lambda x: F.struct(F.lit(False).alias("any"), x.alias("of"))))))
+    asked = rows.withColumn("__r", F.explode(F.array(F.struct(F.lit(True).alias("any"), F.lit(_ANY).alias("of")), F.struct(F.lit(False).alias("any"), F.col(key).alias("of")))))
+    return lookup(asked, keyed, "__r.any = __p.any and __r.of = __p.of", how="inner")
 
-def match_issue_policies(issues: DataFrame, policies: DataFrame) -> DataFrame:
-    """``issue_id, policy``: enabled policies whose types hold the issue's, severe enough, and, if both are set, for the service.
 
-    Policies are a small catalogue; it is exploded by type for an equality join where types are listed.
-    """
-    p = _policies(policies.where("enabled"))
-    fits = _in(F.col("p_issue_types"), F.col("type")) & (F.col("severity") >= F.col("p_min_severity"))
+def match_issue_policies(issues: DataFrame, policies: DataFrame) -> DataFrame:
+    """``issue_id, policy``: enabled policies whose types hold the issue's, severe enough, and, if both are set, for the service."""
+    found = _by_key(issues, "type", policies, "issue_types").where(F.col("severity") >= F.col("p_min_severity"))
     scope = F.col("p_services").isNull() | F.col("p_service").isNull() | F.array_contains("p_services", F.col("p_service"))
-    return issues.join(p, fits & scope).select("issue_id", F.col("p_name").alias("policy"))
+    return found.where(scope).select("issue_id", F.col("p_name").alias("policy"))
 
 
 def match_anomaly_policies(anomalies: DataFrame, policies: DataFrame) -> DataFrame:
     """``seq, policy``: as for issues, by pattern, severity and score, and the anomaly's service if the policy lists services."""
-    p = _policies(policies.where("enabled"))
-    fits = _in(F.col("p_anomaly_patterns"), F.col("pattern_name")) & (F.col("severity") >= F.col("p_min_severity")) & (F.col("score") >= F.col("p_min_score"))
+    found = _by_key(anomalies, "pattern_name", policies, "anomaly_patterns").where((F.col("severity") >= F.col("p_min_severity")) & (F.col("score") >= F.col("p_min_score")))
     scope = F.col("p_services").isNull() | F.col("service").isNull() | F.array_contains("p_services", F.col("service"))
-    return anomalies.join(p, fits & scope).select("seq", F.col("p_name").alias("policy"))
+    return found.where(scope).select("seq", F.col("p_name").alias("policy"))
 
 
 def attempt_plan(attempts: DataFrame, max_retries: Column, cooldown: Column, keys: tuple[str, ...] = ("item", "policy")) -> DataFrame:

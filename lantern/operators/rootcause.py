@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ FEATURES = (
 )
 
 
-def newest_per_node(rows: DataFrame, most: int = 100, ts: str = "ts") -> DataFrame:
-    """The newest ``most`` rows of each node."""
-    n = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc(ts)))
+def newest_per_node(rows: DataFrame, most: int = 100, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
+    """The newest ``most`` rows of each node; of one instant those of the greatest ``tie``."""
+    n = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc(ts), *[F.desc(c) for c in tie]))
     return rows.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
 
 

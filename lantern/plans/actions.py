@@ -69,17 +69,16 @@ for _name, _type in (("r02_spof_advice", "single_point_of_failure"), ("r06_fanin
 
 @query(
     "r03_weakest_cycle_edge",
-    f"""with recursive {CYCLES}, cyc as (select array_to_string(nodes, '|') as cycle, nodes from p join t on t.source = p.at and t.target = nodes[1]),
+    f"""with recursive {CYCLES}, cyc as (select array_to_string(nodes, '|') as cycle, nodes from p join t on t.source = p.at and t.target = nodes[1] where len(nodes) <= 4),
         e as (select cycle, i as pos, nodes[i] as source, nodes[case when i = len(nodes) then 1 else i + 1 end] as target from (select *, unnest(generate_series(1, len(nodes))) as i from cyc) x),
-        w as (select source, target, 1 as n from t union all select a.source, a.target, count(*) from t a join t b on a.target = b.source and b.target <> a.source group by 1, 2
-              union all select b.source, b.target, count(*) from t a join t b on a.target = b.source and b.target <> a.source group by 1, 2),
-        im as (select source, target, sum(n) as impact from w group by 1, 2)
+        sp as (select [source, target] as nodes, target as at from t union all select list_append(nodes, t.target), t.target from sp join t on t.source = sp.at where len(nodes) < 4 and not list_contains(nodes, t.target)),
+        im as (select nodes[i] as source, nodes[i + 1] as target, count(*) as impact from (select nodes, unnest(generate_series(1, len(nodes) - 1)) as i from sp) z group by 1, 2)
         select cycle, source, target, cast(impact as bigint) as impact from (select e.*, im.impact, row_number() over (partition by cycle order by impact, pos) as r from e join im using (source, target)) y where r = 1""",
 )
 def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = relation(spark, sf_dir, "trade_edges")
-    issues = D.circular_dependencies(edges, 3)[0].select(F.array_join("affected_nodes", "|").alias("cycle"), F.posexplode("affected_edges").alias("at", "e")).select("cycle", "at", "e.source", "e.target")
-    return R.weakest_cycle_edge(edges, issues, 3).withColumn("impact", F.col("impact").cast("long"))
+    issues = D.circular_dependencies(edges)[0].select(F.array_join("affected_nodes", "|").alias("cycle"), F.posexplode("affected_edges").alias("at", "e")).select("cycle", "at", "e.source", "e.target")
+    return R.weakest_cycle_edge(edges, issues).withColumn("impact", F.col("impact").cast("long"))
 
 
 @query(
@@ -118,11 +117,11 @@ def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.partition_links(parts)
 
 
-# Problems sit on the nations of the trade graph; every event belongs to one by its user.
+# Problems sit on the nations of the trade graph, each kind on nodes of its own; every event belongs to one of them.
 PROBLEMS = """nd as (select node_id, seq, 1 - (seq % 10) / 20.0 as health from {trade_nodes}),
-    an as (select n.node_id, a.score, a.severity, a.ts, a.seq from {anomalies} a join {trade_nodes} n on n.seq = a.seq % 75 and n.seq % 3 = 0),
-    iss as (select n.node_id, i.severity, i.detected_at as ts from {issues} i join {trade_nodes} n on n.seq = i.issue_id % 100 and n.seq % 4 = 1),
-    mt as (select n.node_id, round(m.value / 500, 6) as score, m.ts from {metrics} m join {trade_nodes} n on n.seq = m.seq % 200 and n.seq % 5 = 2)"""
+    an as (select n.node_id, a.score, a.severity, a.ts, a.seq from {anomalies} a join {trade_nodes} n on n.seq = a.seq % 9 * 3),
+    iss as (select n.node_id, i.severity, i.detected_at as ts from {issues} i join {trade_nodes} n on n.seq = i.issue_id % 6 * 4 + 1),
+    mt as (select n.node_id, round(m.value / 500, 6) as score, m.ts from {metrics} m join {trade_nodes} n on n.seq = m.seq % 5 * 5 + 2)"""
 TABLES = ("trade_nodes", "trade_edges", "anomalies", "issues", "metrics")
 
 
@@ -148,9 +147,9 @@ def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.problem_nodes(e["an"], e["iss"], e["mt"])
 
 
-@query("c01_newest_per_node", f"with {PROBLEMS} select node_id, seq from (select *, row_number() over (partition by node_id order by ts desc) as i from an) x where i <= 5")
+@query("c01_newest_per_node", f"with {PROBLEMS} select node_id, seq from (select *, row_number() over (partition by node_id order by ts desc, seq desc) as i from an) x where i <= 100")
 def c01_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.newest_per_node(evidence(spark, sf_dir)["an"], 5).select("node_id", "seq")
+    return C.newest_per_node(evidence(spark, sf_dir)["an"], tie=["seq"]).select("node_id", "seq")
 
 
 @query("c02_problem_subgraph", f"with {SQL_C} select source, target from ie")
@@ -202,28 +201,37 @@ def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.node_features(e["nd"], e["edges"], e["an"], e["iss"], e["mt"]).select("node_id", *[F.round(c, 6).alias(c) for c in C.FEATURES])
 
 
-def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of suppliers and customers from their own records, and a root-cause label."""
-    nodes, edges = relation(spark, sf_dir, "geo_nodes"), relation(spark, sf_dir, "geo_edges")
-    key = F.xxhash64("node_id")
-    an = nodes.where("seq % 3 = 0").select("node_id", (F.pmod(key, F.lit(100)) / 100).alias("score"), F.lit(4).alias("severity"))
-    iss = nodes.where("seq % 4 = 0").select("node_id", (1 + F.pmod(key, F.lit(5))).cast("int").alias("severity"))
-    mt = nodes.where("seq % 5 = 0").select("node_id", (F.pmod(key, F.lit(50)) / 50).alias("score"))
+def observed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of customers from their orders up to a day, and as label what their later orders show.
+
+    Large orders are log anomalies, urgent ones issues, open ones metric anomalies; a root cause is a
+    customer with two urgent failed orders or more afterwards. Features never see the later orders.
+    """
+    nodes, edges = relation(spark, sf_dir, "geo_nodes").where("kind in ('Function', 'Pod')"), relation(spark, sf_dir, "geo_edges")
+    of = nodes.select("node_id", F.substring_index("name", "-", -1).cast("long").alias("k"))
+    orders = relation(spark, sf_dir, "orders").join(of, F.col("o_custkey") == F.col("k"))
+    before, after = orders.where("o_orderdate < timestamp'1998-05-01'"), orders.where("o_orderdate >= timestamp'1998-05-01'")
+    severity = (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("severity")
+    an = before.where("o_totalprice > 200000").select("node_id", F.least(F.lit(1.0), F.col("o_totalprice") / 500_000).alias("score"), severity)
+    iss = before.where("o_orderpriority in ('1-URGENT', '2-HIGH')").select("node_id", severity)
+    mt = before.where("o_orderstatus = 'O'").select("node_id", F.least(F.lit(1.0), F.col("o_totalprice") / 500_000).alias("score"))
     rows = C.node_features(nodes.select("node_id"), edges, an, iss, mt)
-    return rows.withColumn("is_root_cause", (F.col("mean_severity") + F.col("mean_anomaly") > 0.9).cast("int"))
+    seen = after.groupBy(F.col("node_id").alias("n")).agg((F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")) >= 2).cast("int").alias("is_root_cause"))
+    return rows.join(seen, F.col("node_id") == F.col("n")).drop("n")
 
 
 @query("c08_train_root_cause_model")
 def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = C.train_root_cause_model(labelled_features(spark, sf_dir))
+    _, found = C.train_root_cause_model(observed_features(spark, sf_dir))
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
 
 @query("c09_ml_scores")
 def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled_features(spark, sf_dir)
-    model, _ = C.train_root_cause_model(rows)
-    return C.ml_scores(model, rows)
+    rows = observed_features(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("node_id"), F.lit(2)))
+    # Each half is scored by the model of the other.
+    scored = [C.ml_scores(C.train_root_cause_model(rows.where(F.col("fold") == 1 - i))[0], rows.where(F.col("fold") == i)) for i in (0, 1)]
+    return scored[0].union(scored[1])
 
 
 @query(

@@ -129,9 +129,9 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return featured(spark, sf_dir).select("seq", "service", F.posexplode("features").alias("i", "value"))
 
 
-@query("t02_training_set", "select service, seq from (select *, row_number() over (partition by service order by ts desc, seq desc) as i, count(*) over (partition by service) as n from {logs}) x where i <= 500 and n >= 100")
+@query("t02_training_set", "select service, seq from (select *, row_number() over (partition by service order by ts desc, seq desc) as i, count(*) over (partition by service) as n from {logs}) x where i <= 10000 and n >= 100")
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.training_window(relation(spark, sf_dir, "logs"), ["service"], [F.desc("ts"), F.desc("seq")], most=500).select("service", "seq")
+    return A.training_window(relation(spark, sf_dir, "logs"), ["service"], [F.desc("ts"), F.desc("seq")]).select("service", "seq")
 
 
 @query("t03_isolation_forest")
@@ -164,8 +164,8 @@ def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t07_ml_log_anomalies")
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = T.isolation_forest(featured(spark, sf_dir), "service", F.col("features"))
-    return T.ml_log_anomalies(scored.withColumn("score", F.when(F.col("iso_outlier"), F.lit(1.0)).otherwise(0.0)), ["score"]).select("pattern_name", "service", "seq", "score", "severity", "is_anomaly")
+    scored = T.log_model_scores(featured(spark, sf_dir), "service")
+    return T.ml_log_anomalies(scored, ["iso", "lof", "dbscan", "reconstruction"]).select("pattern_name", "service", "seq", "score", "severity", "is_anomaly")
 
 
 @query("a04_isolation_forest")
@@ -322,16 +322,16 @@ def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x02_temporal_groups",
-    """with recursive e as (select service, ts, row_number() over (partition by service order by ts) as i from (select distinct service, ts from {logs} where level = 'ERROR') d),
+    """with recursive e as (select service, ts, row_number() over (partition by service order by ts) as i from (select distinct service, ts from {logs}) d),
        g as (select service, ts, i, ts as group_start from e where i = 1 union all select e.service, e.ts, e.i, case when e.ts - g.group_start > interval 300 second then e.ts else g.group_start end from g join e on e.service = g.service and e.i = g.i + 1)
-       select l.seq, cast(epoch(g.group_start) as bigint) as group_start from {logs} l join g on g.service = l.service and g.ts = l.ts where l.level = 'ERROR'""",
+       select l.seq, cast(epoch(g.group_start) as bigint) as group_start from {logs} l join g on g.service = l.service and g.ts = l.ts""",
 )
 def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.temporal_groups(relation(spark, sf_dir, "logs").where("level = 'ERROR'"), "service")
+    out = X.temporal_groups(relation(spark, sf_dir, "logs"), "service")
     return out.select("seq", F.unix_timestamp(F.col("group_start").cast("timestamp")).alias("group_start"))
 
 
-NODE_EVENTS = "select n.node_id, date_trunc('day', a.ts) as group_start from {anomalies} a join {trade_nodes} n on n.seq = a.seq % 75"
+NODE_EVENTS = "select n.node_id, date_trunc('day', a.ts) as group_start from {anomalies} a join {trade_nodes} n on n.seq = a.seq % 25"
 
 
 @query(
