@@ -137,8 +137,8 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.terraform_references(I.terraform_blocks(terraform_files(spark, sf_dir)))
 
 
-CFN = """select c_custkey as k, 'stack' || (c_custkey % 30) as stack, 'R' || c_custkey as id, case c_custkey % 3 when 0 then 'AWS::EC2::Instance' when 1 then 'AWS::SQS::Queue' else 'AWS::Own::Thing' end as t,
-    case when c_custkey >= 30 then 'R' || (c_custkey - 30) end as up from {customer}"""
+CFN = """select c_custkey as k, 'stack' || cast(floor(c_custkey / 1000) as bigint) as stack, 'R' || c_custkey as id, case c_custkey % 3 when 0 then 'AWS::EC2::Instance' when 1 then 'AWS::SQS::Queue' else 'AWS::Own::Thing' end as t,
+    case when c_custkey >= 30 then 'R' || (c_custkey - 30) end as up, 'stack' || cast(floor((c_custkey - 30) / 1000) as bigint) as up_stack from {customer}"""
 
 
 def cloudformation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def g15_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g16_cloudformation_references",
-    f"select stack || '/' || id as source, stack || '/' || up as target, 'ref' as type from ({CFN}) x where up is not null union all select stack || '/' || id, stack || '/' || up, 'getatt.arn' from ({CFN}) x where up is not null and k % 2 = 0",
+    f"select stack || '/' || id as source, up_stack || '/' || up as target, 'ref' as type from ({CFN}) x where up is not null union all select stack || '/' || id, up_stack || '/' || up, 'getatt.arn' from ({CFN}) x where up is not null and k % 2 = 0",
 )
 def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.cloudformation_references(cloudformation(spark, sf_dir))

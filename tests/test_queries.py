@@ -6,9 +6,6 @@ import pytest
 import lantern.plans.base as base
 import __spark_entry__  # noqa: F401  registers the plans
 
-#: Loops over joins and trained models take long; a few stand for all here, the compare tool runs all of them.
-SLOW = {"d10_detect_issues", "r01_resolve_issues", "r07_partition_links", "c08_train_root_cause_model", "c09_ml_scores", "x07_page_rank", "x08_fitted_q", "x07_graph_features", "c05_graph_scores", "t06_reconstruction_error", "t07_ml_log_anomalies"}
-
 
 def plain(rows):
     return sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
@@ -23,7 +20,7 @@ def duck(small):
     return db
 
 
-@pytest.mark.parametrize("name", sorted(n for n in base.SQL if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(base.SQL))
 def test_same_as_sql(spark, small, duck, name):
     found = base.QUERIES[name](spark, small)
     columns = sorted(found.columns)
