@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.runtime import cut
+
 
 def usable(vector: Column) -> Column:
     """True for vectors that are not null and hold finite components only."""
@@ -111,7 +113,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, qu
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    rows = vectors.select("vec_id", "ints").distinct()
+    # Rows are read twice for each chunk of queries.
+    rows = cut(vectors.select("vec_id", "ints").distinct())
     asked = queries.groupBy("vec_id").agg(F.min("ints").alias("ints"))
     shape = asked.agg(F.count("*").alias("n"), F.max(F.size("ints")).alias("dim")).union(rows.agg(F.count("*"), F.max(F.size("ints")))).collect()
     count, dim = shape[0]["n"], max(x["dim"] or 0 for x in shape)
