@@ -123,7 +123,8 @@ def _lof_of_run(v: np.ndarray, k: int) -> np.ndarray:
     n, most = len(v), min(k, len(v) - 1)
     if most < 1:
         return np.full(n, np.nan)
-    place = np.arange(n)[:, None] + np.concatenate([np.arange(-k, 0), np.arange(1, k + 1)])[None]
+    # Of rows as far away the nearer in place come first, so the nearest of equal values lie within k places too.
+    place = np.arange(n)[:, None] + (np.arange(1, k + 1)[:, None] * np.array([-1, 1])).reshape(1, -1)
     inside = (place >= 0) & (place < n)
     place = np.clip(place, 0, n - 1)
     away = np.where(inside, np.abs(v[place] - v[:, None]), np.inf)
@@ -138,7 +139,7 @@ def _lof_of_run(v: np.ndarray, k: int) -> np.ndarray:
 def lof_1d(points: DataFrame, keys: Sequence[str], value: str = "value", tie: Sequence[str] = (), k: int = 20, cell_rows: int = 20_000) -> DataFrame:
     """``lof`` of numbers per key: the mean reach density of the ``k`` nearest over the row's own; near 1 for inliers.
 
-    In order of value the nearest of a row lie within ``k`` places, what their distances need within
+    In order of value, of rows as far away the nearer in place first, the nearest of a row lie within ``k`` places, what their distances need within
     2 ``k``, and their densities within 3 ``k``. So rows are sorted by key and value in ranges, numbered,
     and cut into cells of ``cell_rows`` that hold the 3 ``k`` places before and after too; no task gets
     a key. Where all distances are 0 the factor is 1. A null key is a key, whose only row has a null

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.graph_algo import degrees, reachability, shortest_paths
+from lantern.runtime import cut
 
 FEATURES = (
     "health", "n_issues", "mean_severity", "n_anomalies", "mean_anomaly", "n_metric_anomalies", "mean_metric", "in_degree", "out_degree", "degree_ratio", "total_degree",
@@ -87,17 +88,17 @@ def node_features(nodes: DataFrame, edges: DataFrame, anomalies: DataFrame, issu
 
 
 def train_root_cause_model(features: DataFrame, label: str = "is_root_cause", seed: int = 42):
-    """A forest of 100 trees of depth 10 on four fifths of the rows, and its precision, recall and F1 on the rest."""
+    """A forest of 100 trees of depth 10 on four fifths of the rows, and its precision, recall and F1 on the rest; without root causes there, no figures."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features.withColumn("label", F.col(label).cast("double")))
+    rows = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features.withColumn("label", F.col(label).cast("double"))))
     train, test = rows.randomSplit([0.8, 0.2], seed)
     model = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(train)
     scored = model.transform(test)
     found = {}
-    if not scored.isEmpty():
+    if not scored.where("label = 1").isEmpty():
         for name in ("precisionByLabel", "recallByLabel", "fMeasureByLabel"):
             found[name] = MulticlassClassificationEvaluator(metricName=name, metricLabel=1.0).evaluate(scored)
     return model, found

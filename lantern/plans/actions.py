@@ -13,6 +13,7 @@ from lantern.operators import rootcause as C
 from lantern.operators import suggest as R
 from lantern.plans.base import query, relation
 from lantern.plans.graphs import ALL_SQL, CYCLES, geo
+from lantern.runtime import cut
 
 
 def _advice_sql() -> str:
@@ -181,7 +182,16 @@ def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.graph_scores(e["nd"], e["edges"], e["an"], e["iss"], e["mt"]).select("node_id", F.round("score", 6).alias("score"))
 
 
-@query("c06_propagation_paths")
+@query(
+    "c06_propagation_paths",
+    f"""with recursive {SQL_C}, rv as (select target as s, source as t from ie),
+        hops as (select pr.node_id as root, rv.t as n, 1 as d from pr join rv on rv.s = pr.node_id union select h.root, rv.t, h.d + 1 from hops h join rv on rv.s = h.n where h.d < 25),
+        far as (select root, n, min(d) as d from hops group by 1, 2),
+        par as (select f.root, f.n, min(case when f.d = 1 then f.root else p.n end) as up from far f left join rv on rv.t = f.n left join far p on p.root = f.root and p.n = rv.s and p.d = f.d - 1 where f.n <> f.root and (f.d = 1 or p.n is not null) group by 1, 2),
+        walk as (select root, n, 0 as k, n as at_node from par union all select w.root, w.n, w.k + 1, par.up from walk w join par on par.root = w.root and par.n = w.at_node where w.at_node <> w.root),
+        pos as (select n, at_node, min(row(root, k)) as f from walk group by 1, 2)
+        select n as node_id, string_agg(at_node, '>' order by f) as path from pos group by n""",
+)
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evidence(spark, sf_dir)
     problems = C.problem_nodes(e["an"], e["iss"], e["mt"])
@@ -228,7 +238,7 @@ def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c09_ml_scores")
 def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observed_features(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("node_id"), F.lit(2)))
+    rows = cut(observed_features(spark, sf_dir)).withColumn("fold", F.pmod(F.xxhash64("node_id"), F.lit(2)))
     # Each half is scored by the model of the other.
     scored = [C.ml_scores(C.train_root_cause_model(rows.where(F.col("fold") == 1 - i))[0], rows.where(F.col("fold") == i)) for i in (0, 1)]
     return scored[0].union(scored[1])

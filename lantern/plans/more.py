@@ -173,9 +173,16 @@ def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.isolation_forest(relation(spark, sf_dir, "metrics"), "metric_name", F.array("value")).select("seq", "metric_name", "iso_score", "iso_outlier")
 
 
-@query("a05_local_outlier_factor")
+@query(
+    "a05_local_outlier_factor",
+    """with r as (select seq, metric_name as m, service as s, value as v, row_number() over (partition by metric_name, service order by value, seq) as i from {metrics}),
+       nn as (select m, s, i, j, d from (select a.m, a.s, a.i, b.i as j, abs(a.v - b.v) as d, row_number() over (partition by a.m, a.s, a.i order by abs(a.v - b.v), abs(a.i - b.i), b.i) as k from r a join r b on a.m = b.m and a.s = b.s and a.i <> b.i) z where k <= 20),
+       kd as (select m, s, i, max(d) as kd from nn group by 1, 2, 3), dens as (select nn.m, nn.s, nn.i, case when sum(greatest(d, kd)) > 0 then count(*) / sum(greatest(d, kd)) else cast('infinity' as double) end as l from nn join kd on kd.m = nn.m and kd.s = nn.s and kd.i = nn.j group by 1, 2, 3),
+       f as (select nn.m, nn.s, nn.i, case when max(own.l) = cast('infinity' as double) then 1.0 else avg(other.l / own.l) end as lof from nn join dens own on own.m = nn.m and own.s = nn.s and own.i = nn.i join dens other on other.m = nn.m and other.s = nn.s and other.i = nn.j group by 1, 2, 3)
+       select r.seq, r.m as metric_name, round(f.lof, 5) as lof from r left join f on f.m = r.m and f.s = r.s and f.i = r.i""",
+)
 def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.lof_1d(relation(spark, sf_dir, "metrics"), ["metric_name", "service"], tie=["seq"]).select("seq", "metric_name", "lof")
+    return T.lof_1d(relation(spark, sf_dir, "metrics"), ["metric_name", "service"], tie=["seq"]).select("seq", "metric_name", F.round("lof", 5).alias("lof"))
 
 
 @query("a06_cluster_outlier_factor")
@@ -387,17 +394,39 @@ def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node_id", F.col("in_degree").cast("long").alias("in_degree"), F.col("out_degree").cast("long").alias("out_degree"), F.round("clustering", 6).alias("clustering"), F.round("density", 6).alias("density"))
 
 
-@query("x07_page_rank")
+@query(
+    "x07_page_rank",
+    """with recursive st as (select distinct source, target from {geo_edges}), od as (select source, count(*) as n from st group by 1), c as (select count(*) as n from {geo_nodes}),
+       pr as (select 0 as i, node_id, 1.0e0 / c.n as rank from {geo_nodes}, c
+              union all select i + 1, node_id, rank from (
+                  select r.i, r.node_id, 0.15e0 / max(c.n) + 0.85e0 * max(l.lost) / max(c.n) + 0.85e0 * coalesce(sum(s.rank / od.n), 0) as rank
+                  from pr r cross join c cross join (select coalesce(sum(rank), 0) as lost from pr where node_id not in (select source from od)) l
+                  left join st on st.target = r.node_id left join pr s on s.node_id = st.source left join od on od.source = st.source
+                  where r.i < 30 group by r.i, r.node_id) z)
+       select node_id, round(rank, 9) as rank from pr where i = 30""",
+)
 def x07_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.operators.graph_algo import page_rank
 
-    return page_rank(*geo(spark, sf_dir))
+    return page_rank(*geo(spark, sf_dir)).select("node_id", F.round("rank", 9).alias("rank"))
 
 
-@query("x08_fitted_q")
+MOVES = "select o_orderpriority as state, o_orderstatus as action, o_totalprice / 500000 as reward, lead(o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_state from {orders}"
+
+
+@query(
+    "x08_fitted_q",
+    f"""with recursive g as (select state, action, next_state, sum(reward) as r, count(*) as n from ({MOVES}) m group by 1, 2, 3),
+        qv as (select 0 as i, state, action, 0.0e0 as q, 1.0e9 as change from (select distinct state, action from g) s
+               union all select i + 1, state, action, nq, max(abs(nq - q)) over () from (
+                   select v.i, v.state, v.action, v.q, sum(g.r + 0.9e0 * g.n * coalesce(b.best, 0)) / sum(g.n) as nq
+                   from qv v join g on g.state = v.state and g.action = v.action left join (select state as ns, max(q) as best from qv group by state) b on b.ns = g.next_state
+                   where v.change >= 1e-4 and v.i < 200 group by 1, 2, 3, 4) z)
+        select state, action, round(q, 6) as q from qv where i = (select max(i) from qv)""",
+)
 def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, sf_dir, "orders").selectExpr("o_orderpriority as state", "o_orderstatus as action", "o_totalprice / 500000 as reward", "lead(o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_state")
-    return X.fitted_q(rows)
+    rows = spark.sql(MOVES, orders=relation(spark, sf_dir, "orders"))
+    return X.fitted_q(rows).withColumn("q", F.round("q", 6))
 
 
 @query("x09_calendar_baselines", "select metric_name, cast(hour(ts) as integer) as hour, cast(dayofweek(ts) + 1 as integer) as weekday, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, count(*) as n from {metrics} group by 1, 2, 3")

@@ -17,11 +17,12 @@ from lantern.sources import readers as S
 
 
 def brute_lof(x, k):
-    """Against each other, nearest by distance and then by place in order; x are rows in that order."""
+    """Against each other, nearest by distance, then by how near in place, then by place; x are rows in that order."""
     x = np.asarray(x, dtype=float).reshape(len(x), -1)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    i = np.arange(len(x))
+    near = np.array([np.lexsort((i, np.abs(i - j), d[j])) for j in i])[:, : min(k, len(x) - 1)]
     kd = np.take_along_axis(d, near, 1)[:, -1]
     reach = np.maximum(np.take_along_axis(d, near, 1), kd[near]).sum(1)
     density = np.where(reach > 0, near.shape[1] / np.where(reach > 0, reach, 1), np.inf)
