@@ -49,14 +49,14 @@ def _cycle_issues(cycles: DataFrame) -> DataFrame:
     return _issue(cycles, "circular_dependency", 3, text, F.col("nodes"), _meta(cycle_length=F.size("nodes")), ring)
 
 
-def circular_dependencies(edges: DataFrame, max_length: int = 4) -> tuple[DataFrame, bool]:
-    """An issue for each simple cycle of 2 to ``max_length`` nodes; and whether longer ones may exist."""
+def circular_dependencies(edges: DataFrame, max_length: int | None = None) -> tuple[DataFrame, bool]:
+    """An issue for each simple cycle, or for those of 2 to ``max_length`` nodes; and whether longer ones may exist."""
     cycles, paths, _, _ = cycle_search(edges, max_length)
     return _cycle_issues(cycles), not paths.isEmpty()
 
 
-def all_circular_dependencies(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> DataFrame:
-    """The issues of ``circular_dependencies``, and one for each strong component that holds longer cycles, with all its nodes.
+def all_circular_dependencies(edges: DataFrame, max_length: int | None = None, max_paths: int = 5_000_000) -> DataFrame:
+    """The issues of ``circular_dependencies``, and one for each strong component that holds cycles beyond its bounds, with all its nodes.
 
     ``listed_to`` in such an issue's metadata is the length up to which cycles have issues of their own.
     """
@@ -145,8 +145,8 @@ def missing_autoscaling(nodes: DataFrame) -> DataFrame:
     return _issue(rows, "missing_autoscaling", 2, text, F.array("node_id"), _meta())
 
 
-def detect_issues(nodes: DataFrame, edges: DataFrame, max_cycle: int = 4, threshold: int = 10) -> DataFrame:
-    """The issues of all nine checks, in their order by ``check``; cycles longer than ``max_cycle`` by their component."""
+def detect_issues(nodes: DataFrame, edges: DataFrame, max_cycle: int | None = None, threshold: int = 10) -> DataFrame:
+    """The issues of all nine checks, in their order by ``check``; cycles longer than a given ``max_cycle`` by their component."""
     checks = [
         single_points_of_failure(nodes, edges), all_circular_dependencies(edges, max_cycle), orphaned_services(nodes, edges), high_fanout(nodes, edges, threshold),
         high_fanin(nodes, edges, threshold), network_partitions(nodes, edges), database_single_instance(nodes), missing_health_checks(nodes), missing_autoscaling(nodes),

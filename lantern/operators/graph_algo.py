@@ -118,12 +118,12 @@ def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.countDistinct("block").alias("n")).where("n > 1").select("node_id")
 
 
-def cycle_search(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def cycle_search(edges: DataFrame, max_length: int | None = None, max_paths: int = 5_000_000) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """``nodes`` of every simple directed cycle of 2 to ``listed`` nodes, the open paths of one node more, the edges that may be in cycles, and ``listed``.
 
     Nodes without a way in or out can't be in a cycle and go first, round by round. Paths then grow
-    from their least node, so each longer cycle begins with an open path. More than ``max_paths`` open
-    paths end the search before ``max_length``.
+    from their least node, so each longer cycle begins with an open path. Without ``max_length`` the
+    search ends when no path is open; more than ``max_paths`` open paths end it before.
     """
     live = cut(edges.where("source <> target").select("source", "target").distinct())
     while True:
@@ -134,19 +134,19 @@ def cycle_search(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_0
             break
     step = live.select(F.col("source").alias("at"), F.col("target").alias("next"))
     paths = live.where("source < target").select(F.array("source", "target").alias("nodes"), F.col("target").alias("at"))
-    found = None
-    for length in range(2, max_length + 1):
+    found, length = None, 1
+    while length == 1 or ((max_length is None or length < max_length) and 0 < open_paths <= max_paths):
+        length += 1
         closing = paths.join(step, "at").where("next = nodes[0]").select("nodes")
         found = closing if found is None else found.union(closing)
         grown = paths.join(step, "at").where("next > nodes[0] and not array_contains(nodes, next)")
         paths = cut(grown.select(F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("at")))
-        if paths.count() > max_paths:
-            break
-    return found, paths, live, length
+        open_paths = paths.count()
+    return cut(found), paths, live, length
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 4, max_paths: int = 5_000_000) -> tuple[DataFrame, bool]:
-    """``nodes`` of every simple directed cycle of 2 to ``max_length`` nodes, from its least node on; and whether longer ones may exist.
+def simple_cycles(edges: DataFrame, max_length: int | None = None, max_paths: int = 5_000_000) -> tuple[DataFrame, bool]:
+    """``nodes`` of every simple directed cycle, or of those of 2 to ``max_length`` nodes, from its least node on; and whether longer ones may exist.
 
     The number of cycles grows exponentially with the length in the worst case: the bound is part of
     the result, and more than ``max_paths`` open paths end the search. ``unlisted_cycles`` tells where

@@ -90,22 +90,26 @@ def resolve_issues(issues: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def weakest_cycle_edge(edges: DataFrame, cycle_edges: DataFrame, max_length: int = 4) -> DataFrame:
+def weakest_cycle_edge(edges: DataFrame, cycle_edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """``cycle, source, target, impact``: of each cycle's edges (``cycle, at, source, target``) the one on the fewest simple paths, the first on ties.
 
-    Paths of up to ``max_length`` nodes are counted; their number grows exponentially with the length,
-    so the bound is part of the result.
+    All simple paths are counted, or those of up to ``max_length`` nodes: their number grows
+    exponentially with the length, so graphs with many of them need the bound.
     """
     step = cut(edges.where("source <> target").select("source", "target").distinct())
     nxt = step.select(F.col("source").alias("at"), F.col("target").alias("next"))
     paths = step.select(F.array("source", "target").alias("nodes"), F.col("target").alias("at"))
     counts = None
-    for length in range(2, max_length + 1):
+    length = 1
+    while (max_length is None or length < max_length) and not paths.isEmpty():
+        length += 1
         pairs = paths.select(F.explode(F.zip_with(F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.slice("nodes", F.lit(2), F.size("nodes") - 1), lambda a, b: F.struct(a.alias("source"), b.alias("target")))).alias("e"))
         one = pairs.groupBy("e.source", "e.target").agg(F.count("*").alias("n"))
         counts = one if counts is None else counts.union(one)
-        if length < max_length:
+        if max_length is None or length < max_length:
             paths = cut(paths.join(nxt, "at").where("not array_contains(nodes, next)").select(F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("at")))
+    if counts is None:
+        return cycle_edges.select("cycle", "source", "target", F.lit(0).cast("long").alias("impact")).limit(0)
     impact = counts.groupBy("source", "target").agg(F.sum("n").alias("impact"))
     scored = cycle_edges.join(impact, ["source", "target"], "left").withColumn("impact", F.coalesce("impact", F.lit(0)))
     return scored.groupBy("cycle").agg(F.min_by(F.struct("source", "target", "impact"), F.struct("impact", "at")).alias("e")).select("cycle", "e.*")

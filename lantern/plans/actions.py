@@ -78,8 +78,8 @@ for _name, _type in (("r02_spof_advice", "single_point_of_failure"), ("r06_fanin
 )
 def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = relation(spark, sf_dir, "trade_edges")
-    issues = D.circular_dependencies(edges)[0].select(F.array_join("affected_nodes", "|").alias("cycle"), F.posexplode("affected_edges").alias("at", "e")).select("cycle", "at", "e.source", "e.target")
-    return R.weakest_cycle_edge(edges, issues).withColumn("impact", F.col("impact").cast("long"))
+    issues = D.circular_dependencies(edges, 4)[0].select(F.array_join("affected_nodes", "|").alias("cycle"), F.posexplode("affected_edges").alias("at", "e")).select("cycle", "at", "e.source", "e.target")
+    return R.weakest_cycle_edge(edges, issues, 4).withColumn("impact", F.col("impact").cast("long"))
 
 
 @query(

@@ -338,7 +338,7 @@ SQL_LONGER = "select 'circular_dependency', 3, 'Circular dependency detected: cy
 
 @query("d02_circular_dependencies", f"with recursive {CYCLES}, {LONGER} {SQL_D2} union all {SQL_LONGER}")
 def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(D.all_circular_dependencies(relation(spark, sf_dir, "trade_edges")))
+    return _issues(D.all_circular_dependencies(relation(spark, sf_dir, "trade_edges"), 4))
 
 
 @query("d03_orphaned_services", SQL_D3)

@@ -231,5 +231,33 @@ def test_cycles_of_any_length_are_reported(spark):
     from lantern.operators import checks as D
 
     ring = [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("x", "y"), ("y", "x")]
-    found = D.all_circular_dependencies(spark.createDataFrame(ring, "source string, target string")).collect()
-    assert sorted(tuple(r["affected_nodes"]) for r in found) == [("r0", "r1", "r2", "r3", "r4", "r5"), ("x", "y")]
+    edges = spark.createDataFrame(ring, "source string, target string")
+    want = [("r0", "r1", "r2", "r3", "r4", "r5"), ("x", "y")]
+    for bound, links in ((None, 6), (4, 0)):
+        found = D.all_circular_dependencies(edges, bound).collect()
+        assert sorted(tuple(r["affected_nodes"]) for r in found) == want
+        assert max(len(r["affected_edges"]) for r in found if len(r["affected_nodes"]) == 6) == links
+
+
+def test_weakest_edge_over_all_paths(spark):
+    from lantern.operators import suggest as R
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("c", "x"), ("x", "d"), ("y", "a")]
+    out = defaultdict(list)
+    for s, t in pairs:
+        out[s].append(t)
+    count = defaultdict(int)
+
+    def walk(path):
+        for t in out[path[-1]]:
+            if t not in path:
+                for e in zip(path, path[1:] + [t], strict=True):
+                    count[e] += 1
+                walk(path + [t])
+
+    for n in {x for p in pairs for x in p}:
+        walk([n])
+    cycle = [("c1", i, *p) for i, p in enumerate(pairs[:5])]
+    found = R.weakest_cycle_edge(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame(cycle, "cycle string, at int, source string, target string")).collect()
+    best = min(cycle, key=lambda r: (count[r[2], r[3]], r[1]))
+    assert [tuple(r) for r in found] == [("c1", best[2], best[3], count[best[2], best[3]])]
