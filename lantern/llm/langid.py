@@ -169,18 +169,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit_languages(docs: DataFrame, per_language: int = 600, chars: int = 800, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet:
-    """A net fitted on a bounded sample: of each language at most ``per_language`` documents, and of each ``chars`` characters from a hashed place.
+def fit_languages(docs: DataFrame, per_language: int = 600, chars: int = 200, pieces: int = 4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet:
+    """A net fitted on a bounded sample: of each language at most ``per_language`` documents, and of each all, or ``pieces`` of ``chars`` characters.
+
+    A longer text is cut into ``pieces`` equal parts, each with a piece from a hashed place in it, so the whole text may be learnt from.
 
     Only documents that aren't held out and have a text and a language are learnt from.
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
+    part = F.floor(F.length("text") / pieces)
+    place = lambda i: (i * part + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), part - chars + 1))).cast("int") + 1
+    taken = F.concat_ws(" ", *[F.substr("text", place(i), F.lit(chars)) for i in range(pieces)])
+    drawn = F.when(F.length("text") <= pieces * chars, F.col("text")).otherwise(taken)
     some = (
         lookup(known, cut(counts), "lang = of", how="inner")
         .where(uniform(F.col("doc_id")) < F.lit(1.3 * per_language + 20) / F.col("n"))
-        .select("doc_id", "lang", F.substr("text", start, F.lit(chars)).alias("text"))
+        .select("doc_id", "lang", drawn.alias("text"))
     )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = some.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).orderBy("lang", "i").toPandas()
