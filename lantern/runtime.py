@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -36,6 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             current = tempfile.mkdtemp(prefix="lantern-checkpoint-")
+            atexit.register(shutil.rmtree, current, ignore_errors=True)
         context.setCheckpointDir(current)
     return current
 

@@ -111,17 +111,17 @@ def stream_incidents(flagged: DataFrame, actions: DataFrame, confidence: DataFra
 def count_late(rows: DataFrame, delay: str, path: str, checkpoint: str):
     """``n, n_late, newest`` of each batch in ``path`` by ``epoch``: rows older than ``delay`` before the newest row of earlier batches are late.
 
-    The newest row so far is read from the batches before, one row each, so it outlives a restart, and
-    a batch that is run again counts the same.
+    ``newest`` is that of all batches so far and is read from the one before, so it outlives a restart,
+    and a batch that is run again counts the same.
     """
     spark = rows.sparkSession
 
     def run(batch: DataFrame, epoch: int) -> None:
         mark = None
         if epoch > 0 and (folders := epochs(spark, path, epoch)):
-            mark = spark.read.parquet(*folders).agg(F.max("newest").alias("t")).first()["t"]
+            mark = spark.read.parquet(folders[-1]).first()["newest"]
         late = F.lit(False) if mark is None else F.col("ts") < F.lit(mark) - F.expr(f"interval {delay}")
-        counted = batch.agg(F.count("*").alias("n"), F.count_if(late).alias("n_late"), F.max("ts").alias("newest"))
+        counted = batch.agg(F.count("*").alias("n"), F.count_if(late).alias("n_late"), F.greatest(F.max("ts"), F.lit(mark)).alias("newest") if mark is not None else F.max("ts").alias("newest"))
         to_epochs(path)(counted, epoch)
 
     return for_each_result(rows, run, checkpoint=checkpoint)
