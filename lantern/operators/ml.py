@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.operators.metrics import same_keys
-from lantern.runtime import in_order
+from lantern.runtime import cut, in_order
 
 #: Fixed: rows that a tree is grown on, trees, share of outliers.
 TREE_ROWS, TREES, CONTAMINATION = 256, 100, 0.05
@@ -282,8 +282,8 @@ def reconstruction_error(rows: DataFrame, features: str = "features", components
     projected = model.transform(centred)
     square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
     scored = projected.withColumn("recon_error", F.sqrt(F.greatest(F.lit(0.0), square("__c") - square("__p")))).drop("__v", "__c", "__p")
-    cut = scored.agg(F.percentile_approx("recon_error", 1 - contamination, 10_000).alias("__cut"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("recon_outlier", F.col("recon_error") > F.col("__cut")).drop("__cut")
+    limit = scored.agg(F.percentile_approx("recon_error", 1 - contamination, 10_000).alias("__cut"))
+    return scored.crossJoin(F.broadcast(limit)).withColumn("recon_outlier", F.col("recon_error") > F.col("__cut")).drop("__cut")
 
 
 def above_quantile(rows: DataFrame, key: str, score: str, name: str, contamination: float = CONTAMINATION) -> DataFrame:
@@ -299,9 +299,10 @@ def log_model_scores(rows: DataFrame, key: str, features: str = "features", eps:
     forest's score, and the logistic of the factor. Noise is 1. The error of reconstruction scores by
     its logistic where it is among the highest of all rows.
     """
-    found = isolation_forest(rows, key, F.col(features))
-    found = above_quantile(local_outlier_factor(found, key, F.col(features)), key, "lof", "__lof")
-    found = reconstruction_error(dbscan_outliers(found, key, F.col(features), eps, least), features)
+    # Each model reads its rows several times.
+    found = cut(isolation_forest(cut(rows), key, F.col(features)))
+    found = above_quantile(cut(local_outlier_factor(found, key, F.col(features))), key, "lof", "__lof")
+    found = reconstruction_error(cut(dbscan_outliers(cut(found), key, F.col(features), eps, least)), features)
     logistic = lambda x: 1 / (1 + F.exp(-x))
     one = lambda flag, x: F.when(flag, F.least(F.lit(1.0), x)).otherwise(0.0)
     return found.select(
