@@ -42,6 +42,26 @@ def reachability(edges: DataFrame, roots: DataFrame, max_depth: int | None = Non
     return found
 
 
+def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node_id, reached, reaching``: the other nodes that a node reaches, and those that reach it.
+
+    The nodes of a strong component reach the same, so each component is one place with a size, and
+    one search over the places answers both counts.
+    """
+    every = nodes.select("node_id").union(edges.select("source")).union(edges.select("target")).distinct()
+    parts = cut(every.join(strong_components(edges), F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("part")))
+    of = lambda column: parts.select(F.col("node_id").alias(column), F.col("part").alias(f"{column}_part"))
+    steps = edges.join(of("source"), "source").join(of("target"), "target").where("source_part <> target_part")
+    steps = cut(steps.select(F.col("source_part").alias("source"), F.col("target_part").alias("target")).distinct())
+    sizes = cut(parts.groupBy("part").agg(F.count("*").alias("size")))
+    met = cut(reachability(steps, sizes.select(F.col("part").alias("node_id"))).select("root", "node_id"))
+    reached = met.join(sizes, F.col("node_id") == F.col("part")).groupBy(F.col("root").alias("part")).agg(F.sum("size").alias("reached"))
+    reaching = met.join(sizes, F.col("root") == F.col("part")).groupBy(F.col("node_id").alias("part")).agg(F.sum("size").alias("reaching"))
+    found = sizes.join(reached, "part", "left").join(reaching, "part", "left").fillna(0)
+    found = found.select("part", (F.col("reached") + F.col("size") - 1).alias("reached"), (F.col("reaching") + F.col("size") - 1).alias("reaching"))
+    return parts.join(found, "part").select("node_id", "reached", "reaching")
+
+
 def shortest_paths(reached: DataFrame) -> DataFrame:
     """``root, node_id, dist, path``: the nodes of one shortest path, both ends included, from the parents that ``reachability`` keeps."""
     parents = reached.select("root", F.col("node_id").alias("__n"), F.col("parent").alias("__p"))
@@ -156,13 +176,26 @@ def simple_cycles(edges: DataFrame, max_length: int | None = None, max_paths: in
     return found, not paths.isEmpty()
 
 
+def _on_ways(edges: DataFrame) -> DataFrame:
+    """The edges of nodes that keep both an edge in and an edge out, the only ones that cycles can have."""
+    rows = edges.count()
+    while rows:
+        entered, left = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
+        edges = cut(edges.join(entered, "source", "left_semi").join(left, "target", "left_semi").select("source", "target"))
+        before, rows = rows, edges.count()
+        if rows == before:
+            break
+    return edges
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of the nodes that are in a directed cycle with others.
 
-    Each round gives every node the least node that reaches it; those that reach that one in turn, along
-    nodes of the same least node, are its component and leave. Every round takes one at least.
+    Nodes that nothing enters or leaves are taken off until none is left. Then each round gives every
+    node the least node that reaches it; those that reach that one in turn, along nodes of the same
+    least node, are its component and leave. Every round takes one at least.
     """
-    left, done = cut(edges.where("source <> target").select("source", "target").distinct()), None
+    left, done = _on_ways(cut(edges.where("source <> target").select("source", "target").distinct())), None
     while not left.isEmpty():
         labels = cut(left.select(F.col("source").alias("node")).union(left.select("target")).distinct().withColumn("component", F.col("node")))
         while True:
@@ -180,7 +213,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             taken = cut(taken.union(frontier))
         done = taken if done is None else done.union(taken)
         gone = taken.select(F.col("node").alias("g"))
-        left = cut(left.join(gone, F.col("source") == F.col("g"), "left_anti").join(gone, F.col("target") == F.col("g"), "left_anti"))
+        left = _on_ways(cut(left.join(gone, F.col("source") == F.col("g"), "left_anti").join(gone, F.col("target") == F.col("g"), "left_anti")))
     if done is None:
         return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
     several = done.groupBy(F.col("component").alias("c")).count().where("count > 1").select("c")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.runtime import in_cells
+
 #: Fixed: newest samples of a key that are trained on, and the least numbers for each model.
 MAX_POINTS, MIN_POINTS = 10_000, 100
 #: Fixed: limits of the simple flags.
@@ -48,8 +50,9 @@ def standardise(points: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 def expected_value(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", last: int = 10) -> DataFrame:
     """``expected_value``: the mean of the last ten values of the key, this one included."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - last, 0)
-    return points.withColumn("expected_value", F.avg(value).over(frame))
+    rows = in_cells(points, keys, order, last - 1)
+    frame = Window.partitionBy(*keys, "__cell").orderBy("__i").rowsBetween(1 - last, 0)
+    return rows.withColumn("expected_value", F.avg(value).over(frame)).where("__own").select(*points.columns, "expected_value")
 
 
 def best_model(scored: DataFrame, scores: Sequence[str], cut: float = 0.7) -> DataFrame:

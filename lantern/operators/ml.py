@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from io import BytesIO
 
 import numpy as np
 import pandas as pd
@@ -68,23 +68,47 @@ def isolation_scores(trees: list[dict], x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-(total / len(trees)) / max(1e-9, float(_average_path(trees[0]["rows"]))))
 
 
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """A model as bytes: named arrays of numbers, nothing that runs when it is read."""
+    out = BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _unpacked(model: bytes) -> dict[str, np.ndarray]:
+    with np.load(BytesIO(model), allow_pickle=False) as found:
+        return {name: found[name] for name in found.files}
+
+
+def _forest_arrays(trees: list[dict]) -> dict[str, np.ndarray]:
+    """The trees one after another, with where each ends."""
+    joined = {c: np.concatenate([t[c] for t in trees]) for c in ("column", "value", "left", "end")}
+    return joined | {"ends": np.cumsum([len(t["column"]) for t in trees]), "rows": np.array([t["rows"] for t in trees])}
+
+
+def _forest_trees(arrays: dict[str, np.ndarray]) -> list[dict]:
+    parts = {c: np.split(arrays[c], arrays["ends"][:-1]) for c in ("column", "value", "left", "end")}
+    return [{c: parts[c][i] for c in parts} | {"rows": int(n)} for i, n in enumerate(arrays["rows"])]
+
+
 def _matrix(rows: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=float) for x in rows])
 
 
 def _apply_models(rows: DataFrame, models: DataFrame, key: str, score, column: str, rows_per_task: int = 50_000) -> DataFrame:
-    """``rows`` with ``column`` from ``score(model, x)``; ``models`` are ``__key, __model``, one per key.
+    """``rows`` with ``column`` from ``score(model, x)``; ``models`` are ``key, model``, one per key.
 
     A key's rows are dealt to as many salts as it has ``rows_per_task`` rows; each salt's task gets its
-    rows and one copy of the model. A null key is a key.
+    rows and one copy of the model. A null key is a key; rows of a key without a model get null.
     """
     counts = rows.groupBy(F.col(key).alias("__k")).agg(F.ceil(F.count("*") / rows_per_task).alias("__salts"))
     dealt = rows.join(counts, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__salt", F.pmod(F.xxhash64("__x", F.monotonically_increasing_id()), F.col("__salts"))).drop("__k", "__salts")
-    copies = models.join(counts, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"))
+    named = models.select(F.col("key").alias("__key"), F.col("model").alias("__model"))
+    copies = named.join(counts, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"))
     fields = [f for f in rows.schema.fields if f.name != "__x"]
 
     def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        found = score(pickle.loads(model["__model"].iloc[0]), _matrix(own["__x"])) if len(own) and len(model) else np.zeros(len(own))  # our own bytes, from the stage before
+        found = score(_unpacked(model["__model"].iloc[0]), _matrix(own["__x"])) if len(own) and len(model) else [None] * len(own)
         return own[[f.name for f in fields]].assign(**{column: found})
 
     schema = T.StructType([*fields, T.StructField(column, T.DoubleType())])
@@ -92,26 +116,33 @@ def _apply_models(rows: DataFrame, models: DataFrame, key: str, score, column: s
 
 
 def _model_rows(rows: DataFrame, key: str, most: int, fit) -> DataFrame:
-    """``__key, __model`` fitted on the at most ``most`` rows of each key with the least hash."""
+    """``key, model`` fitted on the at most ``most`` rows of each key with the least hash."""
     kind = rows.schema[key].dataType.simpleString()
     sample = rows.select(key, "__x").withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("__x")))).where(F.col("__i") <= most)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"__key": [pdf[key].iloc[0]], "__model": [pickle.dumps(fit(_matrix(pdf["__x"])))]})
+        return pd.DataFrame({"key": [pdf[key].iloc[0]], "model": [_packed(fit(_matrix(pdf["__x"])))]})
 
-    return sample.groupBy(key).applyInPandas(run, f"__key {kind}, __model binary")
+    return sample.groupBy(key).applyInPandas(run, f"key {kind}, model binary")
 
 
-def isolation_forest(points: DataFrame, key: str, features: Column, contamination: float = CONTAMINATION, seed: int = 42, score_mode: str = "quantile", train_rows: int = 10_000) -> DataFrame:
-    """``iso_score, iso_outlier`` of every row, by a forest of its key.
+def fit_forests(points: DataFrame, key: str, features: Column, seed: int = 42, train_rows: int = 10_000) -> DataFrame:
+    """``key, model``: a forest for each key, grown in its own task on at most ``train_rows`` rows of the least hash. The table can be saved."""
+    return _model_rows(points.withColumn("__x", features), key, train_rows, lambda x: _forest_arrays(grow_trees(x, seed)))
 
-    Each key's trees are grown on at most ``train_rows`` rows of the least hash, in its own task. Outliers
-    are the share ``contamination`` of highest scores per key; ``reference`` mode takes 0.5 plus the score
-    above 0.7. Rows with a null key are rows of one key.
+
+def isolation_forest(
+    points: DataFrame, key: str, features: Column, contamination: float = CONTAMINATION, seed: int = 42, score_mode: str = "quantile", train_rows: int = 10_000, models: DataFrame | None = None
+) -> DataFrame:
+    """``iso_score, iso_outlier`` of every row, by a forest of its key: that of ``models`` if given, else of ``fit_forests``.
+
+    Outliers are the share ``contamination`` of highest scores per key; ``reference`` mode takes 0.5 plus
+    the score above 0.7. Rows with a null key are rows of one key; those of a key that ``models`` lacks
+    have nulls.
     """
     rows = points.withColumn("__x", features)
-    models = _model_rows(rows, key, train_rows, lambda x: grow_trees(x, seed))
-    scored = _apply_models(rows, models, key, isolation_scores, "iso_score")
+    models = fit_forests(points, key, features, seed, train_rows) if models is None else models
+    scored = _apply_models(rows, models, key, lambda model, x: isolation_scores(_forest_trees(model), x), "iso_score")
     if score_mode == "reference":
         return scored.withColumn("iso_outlier", 0.5 + F.col("iso_score") > 0.7)
     cuts = scored.groupBy(F.col(key).alias("__k")).agg(F.percentile_approx("iso_score", 1 - contamination, 10_000).alias("__cut"))
@@ -179,29 +210,34 @@ def _nearest(a: np.ndarray, x: np.ndarray, k: int, skip: bool, block: int = 1_00
     return np.concatenate(ds), np.concatenate(ids)
 
 
-def local_outlier_factor(points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000) -> DataFrame:
-    """``lof`` of every row against the ``most`` rows of its key that have the least hash, scored as new rows.
-
-    A key's training rows with their distances and densities are one bounded model. A key with one row
-    gets 1.
-    """
+def fit_neighbours(points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000) -> DataFrame:
+    """``key, model``: of each key the ``most`` rows of the least hash, with their distances and densities. The table can be saved."""
 
-    def fit(x: np.ndarray):
+    def fit(x: np.ndarray) -> dict[str, np.ndarray]:
         if len(x) < 2:
-            return x, np.zeros(len(x)), np.ones(len(x))
+            return {"x": x, "reach": np.zeros(len(x)), "density": np.ones(len(x)), "k": np.array(k)}
         d, i = _nearest(x, x, k, True)
         kd = d[:, -1]
-        return x, kd, 1 / np.maximum(np.maximum(d, kd[i]).mean(1), 1e-12)
+        return {"x": x, "reach": kd, "density": 1 / np.maximum(np.maximum(d, kd[i]).mean(1), 1e-12), "k": np.array(k)}
+
+    return _model_rows(points.withColumn("__x", features), key, most, fit)
+
+
+def local_outlier_factor(points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000, models: DataFrame | None = None) -> DataFrame:
+    """``lof`` of every row against the rows of its key in ``models``, or else in those of ``fit_neighbours``, scored as new rows.
 
-    def score(model, a: np.ndarray) -> np.ndarray:
-        x, kd, density = model
+    A key whose model has one row gets 1, one without a model null.
+    """
+
+    def score(model: dict[str, np.ndarray], a: np.ndarray) -> np.ndarray:
+        x, kd, density, k = model["x"], model["reach"], model["density"], int(model["k"])
         if len(x) < 2:
             return np.ones(len(a))
         d, i = _nearest(a, x, k, False)
         return density[i].mean(1) * np.maximum(np.maximum(d, kd[i]).mean(1), 1e-12)
 
-    rows = points.withColumn("__x", features)
-    return _apply_models(rows, _model_rows(rows, key, most, fit), key, score, "lof")
+    models = fit_neighbours(points, key, features, k, most) if models is None else models
+    return _apply_models(points.withColumn("__x", features), models, key, score, "lof")
 
 
 def dbscan_outliers(points: DataFrame, key: str, features: Column, eps: float = 0.5, least: int = 5) -> DataFrame:
@@ -222,19 +258,28 @@ def dbscan_outliers(points: DataFrame, key: str, features: Column, eps: float =
     return rows.join(reached, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__x") == F.col("__v")), "left").withColumn("is_noise", F.col("__ok").isNull()).select(*points.columns, "is_noise")
 
 
-def cluster_outlier_factor(points: DataFrame, features: Sequence[str], clusters: int = 3, large: float = 0.1, seed: int = 42) -> DataFrame:
-    """``cblof``: the distance of a row to the centre of the nearest large cluster, one with a tenth of all rows or more; null where a feature is null or NaN."""
+def fit_centres(points: DataFrame, features: Sequence[str], clusters: int = 3, large: float = 0.1, seed: int = 42) -> DataFrame:
+    """``centre`` of each large cluster, one with a tenth of all rows or more, of all clusters if none is; ``clusters`` rows at most, none without whole rows. The table can be saved."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    # Rows with gaps aren't clustered; they stay, and their distance is null.
+    # Rows with gaps aren't clustered.
     whole = VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="skip").transform(points)
     if whole.isEmpty():
-        return points.withColumn("cblof", F.lit(None).cast("double"))
+        return points.sparkSession.createDataFrame([], "centre array<double>")
     model = KMeans(k=clusters, seed=seed, featuresCol="__v", predictionCol="__c").fit(whole)
     sizes = model.summary.clusterSizes
     total = sum(sizes)
     centres = [c for c, n in zip(model.clusterCenters(), sizes, strict=True) if n >= large * total] or model.clusterCenters()
+    return points.sparkSession.createDataFrame([([float(x) for x in c],) for c in centres], "centre array<double>")
+
+
+def cluster_outlier_factor(points: DataFrame, features: Sequence[str], clusters: int = 3, large: float = 0.1, seed: int = 42, centres: DataFrame | None = None) -> DataFrame:
+    """``cblof``: the distance of a row to the nearest of ``centres``, or else of those of ``fit_centres``; null where a feature is null or NaN."""
+    found = fit_centres(points, features, clusters, large, seed) if centres is None else centres
+    centres = [r["centre"] for r in found.collect()]  # as many as there are clusters
+    if not centres:
+        return points.withColumn("cblof", F.lit(None).cast("double"))
     away = [F.sqrt(sum(((F.col(f) - float(c[j])) ** 2 for j, f in enumerate(features)), F.lit(0.0))) for c in centres]
     nearest = F.least(*away) if len(away) > 1 else away[0]
     return points.withColumn("cblof", F.when(~F.isnan(nearest), nearest))
@@ -270,20 +315,41 @@ def log_features(logs: DataFrame, message: str = "message", terms: int = 100, co
     return out.withColumn("features", vector_to_array("__p")).drop("__all", "__tf", "__idf", "__t", "__s", "__z", "__p")
 
 
-def reconstruction_error(rows: DataFrame, features: str = "features", components: int = 3, contamination: float = CONTAMINATION) -> DataFrame:
-    """``recon_error, recon_outlier``: how far a row is from its projection on the leading directions; the highest share are outliers."""
+def fit_directions(rows: DataFrame, features: str = "features", components: int = 3, contamination: float = CONTAMINATION) -> DataFrame:
+    """One row, ``mean, directions, limit``: the mean, the leading directions, and the error that the share ``contamination`` of the rows exceed. The table can be saved."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
+
+    schema = "mean array<double>, directions array<array<double>>, limit double"
+    vectors = rows.where(F.col(features).isNotNull()).select(F.col(features), array_to_vector(features).alias("__v"))
+    first = vectors.first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    scaler = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(vectors)
+    model = PCA(k=min(components, len(first["__v"])), inputCol="__c", outputCol="__p").fit(scaler.transform(vectors))
+    known = ([float(x) for x in scaler.mean], [[float(x) for x in d] for d in model.pc.toArray().T])
+    limit = vectors.agg(F.percentile_approx(_error_of(features, *known), 1 - contamination, 10_000)).first()[0]
+    return rows.sparkSession.createDataFrame([(*known, limit)], schema)
+
+
+def _error_of(features: str, mean: Sequence[float], directions: Sequence[Sequence[float]]) -> Column:
+    """How far a vector is from its projection on the directions through the mean."""
+    fixed = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    centred = F.zip_with(F.col(features), fixed(mean), lambda x, m: x - m)
+    return F.sqrt(F.greatest(F.lit(0.0), dot(centred, centred) - sum((dot(centred, fixed(d)) ** 2 for d in directions), F.lit(0.0))))
 
-    vectors = rows.withColumn("__v", array_to_vector(features))
-    centred = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(vectors).transform(vectors)
-    first = centred.select(F.size(vector_to_array("__c")).alias("n")).first()
-    model = PCA(k=min(components, first["n"]), inputCol="__c", outputCol="__p").fit(centred)
-    projected = model.transform(centred)
-    square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
-    scored = projected.withColumn("recon_error", F.sqrt(F.greatest(F.lit(0.0), square("__c") - square("__p")))).drop("__v", "__c", "__p")
-    limit = scored.agg(F.percentile_approx("recon_error", 1 - contamination, 10_000).alias("__cut"))
-    return scored.crossJoin(F.broadcast(limit)).withColumn("recon_outlier", F.col("recon_error") > F.col("__cut")).drop("__cut")
+
+def reconstruction_error(rows: DataFrame, features: str = "features", components: int = 3, contamination: float = CONTAMINATION, model: DataFrame | None = None) -> DataFrame:
+    """``recon_error, recon_outlier``: how far a row is from its projection on the leading directions, and whether that is above the limit.
+
+    Both are of ``model`` if given, else of ``fit_directions``. Rows without features have nulls.
+    """
+    found = (fit_directions(rows, features, components, contamination) if model is None else model).first()
+    if found is None:
+        return rows.withColumn("recon_error", F.lit(None).cast("double")).withColumn("recon_outlier", F.lit(None).cast("boolean"))
+    scored = rows.withColumn("recon_error", _error_of(features, found["mean"], found["directions"]))
+    return scored.withColumn("recon_outlier", F.col("recon_error") > found["limit"])
 
 
 def above_quantile(rows: DataFrame, key: str, score: str, name: str, contamination: float = CONTAMINATION) -> DataFrame:

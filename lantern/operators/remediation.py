@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lantern.runtime import cut, lookup
+from lantern.runtime import cut, lookup, sum_before
 
 POLICY = """name string, action string, command string, service string, timeout_seconds int, max_retries int, cooldown_seconds int,
     issue_types array<string>, anomaly_patterns array<string>, services array<string>, min_severity int, min_score double, enabled boolean"""
@@ -74,9 +74,7 @@ def attempt_plan(attempts: DataFrame, max_retries: Column, cooldown: Column, key
     The retry count is the failures before; at ``max_retries`` an attempt is skipped. A failure with
     retries left is due again ``cooldown`` seconds later. Nothing is run.
     """
-    before = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    count = F.coalesce(F.sum(F.col("failed").cast("int")).over(before), F.lit(0))
-    rows = attempts.withColumn("retry_count", count)
+    rows = sum_before(attempts, keys, ["ts", "seq"], F.col("failed").cast("int"), "retry_count")
     skipped = F.col("retry_count") >= max_retries
     status = F.when(skipped, "skipped").when(F.col("failed"), "failed").otherwise("succeeded")
     again = ~skipped & F.col("failed") & (F.col("retry_count") + 1 < max_retries)

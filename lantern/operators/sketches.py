@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.operators.graph_algo import clustering, degrees, page_rank, reachability, sequential_groups, weak_components
-from lantern.runtime import cut
+from lantern.operators.graph_algo import clustering, degrees, page_rank, reach_counts, sequential_groups, weak_components
+from lantern.runtime import cut, in_cells
 
 
 def rolling_scores(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", rows: int = 100, z: float = 3.0, mad: float = 3.0, iqr: float = 1.5) -> DataFrame:
     """``rolling_z, is_z, is_iqr, is_mad`` over the last ``rows`` values of a key, this one included."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
-    out = points.withColumns({
+    frame = Window.partitionBy(*keys, "__cell").orderBy("__i").rowsBetween(1 - rows, 0)
+    out = in_cells(points, keys, order, rows - 1).withColumns({
         "__m": F.avg(value).over(frame), "__s": F.stddev_samp(value).over(frame), "__q1": F.percentile(value, F.lit(0.25)).over(frame), "__q2": F.percentile(value, F.lit(0.5)).over(frame),
         "__q3": F.percentile(value, F.lit(0.75)).over(frame), "__all": F.collect_list(value).over(frame),
     })
@@ -27,7 +27,7 @@ def rolling_scores(points: DataFrame, keys: Sequence[str], order: Sequence[str],
         "is_z": F.coalesce(F.abs("rolling_z") > z, F.lit(False)),
         "is_iqr": (F.col(value) < F.col("__q1") - spread) | (F.col(value) > F.col("__q3") + spread),
         "is_mad": F.coalesce(F.try_divide(F.abs(F.col(value) - F.col("__q2")), median) > mad, F.lit(False)),
-    }).drop("__m", "__s", "__q1", "__q2", "__q3", "__all")
+    }).where("__own").select(*points.columns, "rolling_z", "is_z", "is_iqr", "is_mad")
 
 
 def temporal_groups(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 300) -> DataFrame:
@@ -52,9 +52,7 @@ def spatial_groups(grouped: DataFrame, edges: DataFrame, group: str = "group_sta
 
 def criticality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """0.4 in-degree times out-degree, and 0.3 each of the nodes that are reached and that reach."""
-    backward = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    count = lambda e, name: reachability(e, nodes).where("root <> node_id").groupBy(F.col("root").alias("node_id")).agg(F.count("*").alias(name))
-    rows = degrees(nodes, edges).join(count(edges, "reached"), "node_id", "left").join(count(backward, "reaching"), "node_id", "left").fillna(0)
+    rows = degrees(nodes, edges).join(reach_counts(nodes, edges), "node_id", "left").fillna(0)
     return rows.select("node_id", (0.4 * F.col("in_degree") * F.col("out_degree") + 0.3 * F.col("reached") + 0.3 * F.col("reaching")).alias("criticality"))
 
 

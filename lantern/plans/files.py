@@ -11,7 +11,7 @@ from lantern.operators import graph_build as G
 from lantern.operators import infrastructure as I
 from lantern.plans.base import query, relation
 from lantern.plans.graphs import manifests
-from lantern.runtime import ensure_checkpoint_dir
+from lantern.runtime import cut, ensure_checkpoint_dir
 from lantern.sources import readers as S
 from lantern.sources import sinks
 
@@ -201,6 +201,19 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.load_model(spark, path, "confidence")["confidence"].withColumn("confidence", F.round("confidence", 6))
 
 
+@query("s13_saved_forest", "select metric_name, count(*) as n, 0 as n_changed from {metrics} group by metric_name")
+def s13_saved_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.operators.ml import fit_forests, isolation_forest
+
+    points, path = relation(spark, sf_dir, "metrics").select("seq", "metric_name", "value"), staged(spark)
+    models = cut(fit_forests(points, "metric_name", F.array("value")))
+    sinks.save_model({"forests": models}, path)
+    again = sinks.load_model(spark, path, "forests")["forests"]
+    score = lambda m, name: isolation_forest(points, "metric_name", F.array("value"), score_mode="reference", models=m).select("seq", "metric_name", F.col("iso_score").alias(name))
+    both = score(models, "before").join(score(again, "after").drop("metric_name"), "seq")
+    return both.groupBy("metric_name").agg(F.count("*").alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).cast("int").alias("n_changed"))
+
+
 @query("s14_result_sink", "select service, count(*) as n from {logs} where level = 'ERROR' group by service")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged(spark)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Sequence
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,6 +83,32 @@ def in_order(df: DataFrame, *order: str, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("__start") + F.col("__in") + 1).drop("__at", "__in", "__range", "__start")
 
 
+def in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, cell_rows: int = 50_000) -> DataFrame:
+    """``df`` dealt to ``__cell``s of ``cell_rows`` rows in order of keys and ``order``, numbered by ``__i``; ``__own`` marks a row in its own cell.
+
+    A cell also gets the ``before`` rows ahead of it. So a frame of that many rows before a row, over
+    the keys and the cell, is the row's frame over its key, and no task gets a key.
+    """
+    numbered = in_order(df, *keys, *order, name="__i")
+    home, last = F.floor(F.col("__i") / cell_rows), F.floor((F.col("__i") + before) / cell_rows)
+    return numbered.withColumn("__home", home).withColumn("__cell", F.explode(F.sequence(home, last))).withColumn("__own", F.col("__home") == F.col("__cell")).drop("__home")
+
+
+def sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, cell_rows: int = 50_000) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the key before this one, 0 for the first; nulls count as 0, a null key is a key.
+
+    Cells of consecutive rows are summed, and the sums of a key's cells, a row each, are carried on.
+    """
+    rows = in_cells(df.withColumn("__v", F.coalesce(value, F.lit(0))), keys, order, 0, cell_rows)
+    carried = rows.groupBy(*keys, "__cell").agg(F.sum("__v").alias("__s"))
+    carried = carried.withColumn("__s", F.coalesce(F.sum("__s").over(Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = [f"__k{i}" for i in range(len(keys))]
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)], F.col("__cell") == F.col("__c"))
+    inside = Window.partitionBy(*keys, "__cell").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carried.toDF(*own, "__c", "__s"), on)
+    return joined.withColumn(name, F.col("__s") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).select(*df.columns, name)
+
+
 def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Rows of long texts go to Python in batches of at most ``rows``, so that a worker's memory doesn't follow the text's length times thousands.
 

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from lantern.operators import checks, graph_algo, graph_build
@@ -155,3 +156,22 @@ def test_four_documents(spark, tmp_path):
 def test_self_loop_is_no_orphan(spark):
     nodes, edges = graph(spark, 3, [(0, 0)])
     assert {r["affected_nodes"][0] for r in checks.orphaned_services(nodes, edges).collect()} == {"n01", "n02"}
+
+
+def test_reach_counts(spark):
+    """Counts of a random graph with cycles, a chain and a lone node, against a search from every node."""
+    rng = np.random.default_rng(3)
+    pairs = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, 30, size=(38, 2)).tolist()} | {("c0", "c1"), ("c1", "c2"), ("c2", "c3"), ("n1", "c0")}
+    names = sorted({x for p in pairs for x in p} | {"lone"})
+    reach = {}
+    for root in names:
+        seen, todo = set(), [root]
+        while todo:
+            at = todo.pop()
+            new = {b for a, b in pairs if a == at} - seen
+            seen |= new
+            todo += new
+        reach[root] = seen - {root}
+    nodes = spark.createDataFrame([(n,) for n in names], "node_id string")
+    found = {r["node_id"]: (r["reached"], r["reaching"]) for r in graph_algo.reach_counts(nodes, spark.createDataFrame(sorted(pairs), "source string, target string")).collect()}
+    assert found == {n: (len(reach[n]), sum(n in own for own in reach.values())) for n in names}

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lantern.operators import graph_algo as G
@@ -13,7 +14,9 @@ from lantern.operators import metrics as A
 from lantern.operators import ml as T
 from lantern.operators import rootcause as C
 from lantern.operators import sketches as X
+from lantern.runtime import in_cells, sum_before
 from lantern.sources import readers as S
+from lantern.sources import sinks
 
 
 def brute_lof(x, k):
@@ -261,3 +264,46 @@ def test_weakest_edge_over_all_paths(spark):
     found = R.weakest_cycle_edge(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame(cycle, "cycle string, at int, source string, target string")).collect()
     best = min(cycle, key=lambda r: (count[r[2], r[3]], r[1]))
     assert [tuple(r) for r in found] == [("c1", best[2], best[3], count[best[2], best[3]])]
+
+
+def test_models_are_saved(spark, tmp_path):
+    """Models that were written and read again say what they said before; rows of keys without one get null."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "k", rng.normal(size=3).tolist()) for i in range(150)], "i long, key string, features array<double>")
+    v = F.col("features")
+    sinks.save_model({"forests": T.fit_forests(rows, "key", v), "neighbours": T.fit_neighbours(rows, "key", v, k=4), "directions": T.fit_directions(rows, components=2)}, f"{tmp_path}/m")
+    m = sinks.load_model(spark, f"{tmp_path}/m", "forests", "neighbours", "directions")
+    both = [
+        (T.isolation_forest(rows, "key", v), T.isolation_forest(rows, "key", v, models=m["forests"]), "iso_score"),
+        (T.local_outlier_factor(rows, "key", v, k=4), T.local_outlier_factor(rows, "key", v, models=m["neighbours"]), "lof"),
+        (T.reconstruction_error(rows, components=2), T.reconstruction_error(rows, model=m["directions"]), "recon_error"),
+    ]
+    for direct, loaded, column in both:
+        assert {r["i"]: r[column] for r in direct.collect()} == {r["i"]: r[column] for r in loaded.collect()}
+    other = T.isolation_forest(rows.withColumn("key", F.lit("new")), "key", v, models=m["forests"]).collect()
+    assert len(other) == 150 and all(r["iso_score"] is None and r["iso_outlier"] is None for r in other)
+    points = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "i long, v double")
+    sinks.save_model({"centres": T.fit_centres(points, ["v"])}, f"{tmp_path}/c")
+    centres = sinks.load_model(spark, f"{tmp_path}/c", "centres")["centres"]
+    assert sorted(map(tuple, T.cluster_outlier_factor(points, ["v"], centres=centres).collect())) == sorted(map(tuple, T.cluster_outlier_factor(points, ["v"]).collect()))
+    assert T.reconstruction_error(rows.limit(0)).count() == 0
+
+
+def test_cells_hold_the_rows_before(spark):
+    """Frames over cells equal frames over whole keys, a hot one and a null one among them."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [None, "hot", "hot", "hot", "b"][int(rng.integers(5))], int(rng.integers(40)), None if i % 11 == 0 else int(rng.integers(9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "seq long, key string, ts long, v long").repartition(6)
+    before = defaultdict(list)
+    want = {}
+    for seq, key, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        before[key].append(v)
+        known = [x for x in before[key][-5:] if x is not None]
+        want[seq] = (sum(known) if known else None, sum(x or 0 for x in before[key][:-1]))
+    frame = Window.partitionBy("key", "__cell").orderBy("__i").rowsBetween(-4, 0)
+    for cell_rows in (3, 50, 1_000):
+        last = in_cells(df, ["key"], ["ts", "seq"], 4, cell_rows).withColumn("s", F.sum("v").over(frame)).where("__own")
+        assert {r["seq"]: r["s"] for r in last.collect()} == {k: s for k, (s, _) in want.items()}
+        total = sum_before(df, ["key"], ["ts", "seq"], F.col("v"), "t", cell_rows).collect()
+        assert len(total) == 400 and {r["seq"]: r["t"] for r in total} == {k: t for k, (_, t) in want.items()}
+    assert sum_before(df.limit(0), ["key"], ["ts", "seq"], F.col("v"), "t").count() == 0
