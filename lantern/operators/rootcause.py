@@ -74,9 +74,11 @@ def graph_scores(nodes: DataFrame, edges: DataFrame, anomalies: DataFrame, issue
 def propagation_paths(edges: DataFrame, problems: DataFrame) -> DataFrame:
     """``node_id, path``: shortest paths from each node to all problems that it reaches, one after the other, every node once."""
     reached = reachability(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), problems)
-    paths = shortest_paths(reached).where("root <> node_id").select("node_id", "root", F.reverse("path").alias("path"))
-    joined = paths.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("root", "path"))).alias("p"))
-    return joined.select("node_id", F.array_distinct(F.flatten(F.transform("p", lambda x: x["path"]))).alias("path"))
+    steps = shortest_paths(reached).where("root <> node_id").select("node_id", "root", F.posexplode(F.reverse("path")).alias("k", "at"))
+    # Of each node on the paths only its first place is gathered, so a group is no longer than what it gives.
+    first = steps.groupBy("node_id", "at").agg(F.min(F.struct("root", "k")).alias("place"))
+    gathered = first.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("p"))
+    return gathered.select("node_id", F.transform("p", lambda x: x["at"]).alias("path"))
 
 
 def node_features(nodes: DataFrame, edges: DataFrame, anomalies: DataFrame, issues: DataFrame, metric_anomalies: DataFrame) -> DataFrame:

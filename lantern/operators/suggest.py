@@ -131,9 +131,13 @@ def fanout_groups(nodes: DataFrame, edges: DataFrame, threshold: int = 10, named
     out = edges.select("source", "target").distinct()
     high = out.groupBy("source").agg(F.count("*").alias("c")).where(F.col("c") >= threshold).select("source")
     kinds = nodes.select(F.col("node_id").alias("target"), F.coalesce("name", "node_id").alias("name"), F.coalesce("kind", F.lit("unknown")).alias("kind"), "seq")
-    rows = out.join(high, "source").join(kinds, "target").groupBy(F.col("source").alias("node_id"), "kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("s")).where("n > 1")
+    called = out.join(high, "source").join(kinds, "target").select(F.col("source").alias("node_id"), "kind", "seq", "name")
+    counts = called.groupBy("node_id", "kind").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("node_id", "kind").orderBy("seq", "name"))
+    first = called.withColumn("place", place).where(F.col("place") <= named).groupBy("node_id", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("s"))
+    rows = counts.join(first, ["node_id", "kind"])
     more = F.when(F.col("n") > named, F.concat(F.lit(" and "), (F.col("n") - named).cast("string"), F.lit(" more"))).otherwise("")
-    text = F.concat(F.lit("Group "), F.col("n").cast("string"), F.lit(" "), "kind", F.lit(" services: "), F.array_join(F.slice(F.transform("s", lambda x: x["name"]), 1, named), ", "), more)
+    text = F.concat(F.lit("Group "), F.col("n").cast("string"), F.lit(" "), "kind", F.lit(" services: "), F.array_join(F.transform("s", lambda x: x["name"]), ", "), more)
     return rows.select("node_id", "kind", "n", text.alias("text"))
 
 

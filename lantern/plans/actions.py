@@ -93,16 +93,21 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.orphan_connections(orphans, nodes)
 
 
-@query(
-    "r05_fanout_groups",
-    """with o as (select distinct source, target from {trade_edges}), h as (select source from o group by source having count(*) >= 3),
-       g as (select o.source, n.kind, count(*) as n, list(n.name order by n.seq, n.name) as names from o join h using (source) join {trade_nodes} n on n.node_id = o.target group by 1, 2 having count(*) > 1)
-       select source as node_id, kind, n, 'Group ' || n || ' ' || kind || ' services: ' || array_to_string(names[1:3], ', ') || case when n > 3 then ' and ' || (n - 3) || ' more' else '' end as text from g""",
-)
+FANOUT = """with o as (select distinct source, target from {trade_edges}), h as (select source from o group by source having count(*) >= 3),
+    g as (select o.source, n.kind, count(*) as n, list(n.name order by n.seq, n.name) as names from o join h using (source) join {trade_nodes} n on n.node_id = o.target group by 1, 2 having count(*) > 1)
+    select source as node_id, kind, n, 'Group ' || n || ' ' || kind || ' services: ' || array_to_string(names[1:3], ', ') || case when n > 3 then ' and ' || (n - 3) || ' more' else '' end as text from g"""
+
+
+@query("r05_fanout_groups", FANOUT)
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fanout_groups(relation(spark, sf_dir, "trade_nodes"), relation(spark, sf_dir, "trade_edges"), 3)
 
 
+@query("r05_fanout_groups_orders", FANOUT.replace("trade_nodes", "geo_nodes").replace("trade_edges", "order_edges").replace("count(*) >= 3", "count(*) >= 10"))
+def r05_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fanout_groups(relation(spark, sf_dir, "geo_nodes"), relation(spark, sf_dir, "order_edges"), 10)
+
+
 @query("r06_fanin_counts", "select target as node_id, cast(count(*) as bigint) as incoming_connections from (select distinct source, target from {geo_edges}) e group by target having count(*) >= 10")
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fanin_counts(*geo(spark, sf_dir))

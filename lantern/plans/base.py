@@ -81,6 +81,11 @@ RELATIONS = {
         union all
         select n.node_id, r.node_id, 'belongs', cast(null as double), n.seq
         from {geo_nodes} n join {nation} on n.name = 'nation-' || n_nationkey join {geo_nodes} r on r.name = 'region-' || n_regionkey""",
+    # customers and the suppliers that they order from; grows with the orders
+    "order_edges": """
+        select distinct 'ns' || c.n_regionkey || '/customer-' || o_custkey as source, 'ns' || s.n_regionkey || '/supplier-' || l_suppkey as target
+        from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {nation} c on c_nationkey = c.n_nationkey
+        join {supplier} on l_suppkey = s_suppkey join {nation} s on s_nationkey = s.n_nationkey""",
     # manifests: a service per nation, a deployment per supplier, config and secret per region
     "svc": """
         select n_nationkey as k, cast(n_nationkey as bigint) as seq, 'ns' || n_regionkey as namespace, 'nation-' || n_nationkey as name,

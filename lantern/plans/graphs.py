@@ -351,6 +351,11 @@ def d04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(D.high_fanout(relation(spark, sf_dir, "trade_nodes"), relation(spark, sf_dir, "trade_edges"), 3))
 
 
+@query("d04_high_fanout_orders", _fan("source", "target", "fanout", "outgoing", "{geo_nodes}", "{order_edges}", 10))
+def d04_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(D.high_fanout(geo(spark, sf_dir)[0], relation(spark, sf_dir, "order_edges"), 10))
+
+
 @query("d05_high_fanin", SQL_D5)
 def d05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(D.high_fanin(*geo(spark, sf_dir)))
