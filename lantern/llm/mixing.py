@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm.common import lookup, uniform, word_count
-from lantern.runtime import cut
+from lantern.runtime import cut, in_order, sum_before
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], most: float) -> list[float]:
@@ -36,30 +36,25 @@ def rates(sizes: DataFrame, weights: Sequence[int], most: float) -> DataFrame:
 
     Sources are ordered by code point, null last, and weigh ``weights`` in turn. The fill is
     solved without gathering sources: the share per unit of weight is found from the caps sorted
-    by size over weight, where capped sources always come first.
+    by size over weight, where capped sources always come first. Sources are numbered and summed in
+    cells, so that they may be as many as there are hosts.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    # One row per source: a table of names, far smaller than the corpus.
+    names = in_order(sizes.withColumn("__null", F.col("source").isNull()), "__null", "source", name="__place")
     kinds = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(kinds, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    by_level = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
-    before, everything = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # Level i is the share per weight if exactly the sources before i were capped.
-    level = (F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
+    weight = F.element_at(kinds, (F.pmod(F.col("__place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = cut(names.select("source", "source_size", "__null", weight.alias("weight")))
+    filled = ranked.where("source_size > 0").withColumn("__full", F.col("source_size") / F.col("weight"))
+    by_level = ["__full", "__null", "source"]
+    filled = sum_before(filled, [], by_level, F.col("source_size"), "__sizes")
+    filled = sum_before(filled, [], by_level, F.col("weight"), "__weights")
+    total = ranked.where("source_size > 0").agg(F.sum("source_size").alias("__all"), F.sum("weight").alias("__heavy"))  # one row
+    # The share per weight if exactly the sources before a source were capped.
+    level = (F.col("__all") - most * F.col("__sizes")) / (F.col("__heavy") - F.col("__weights"))
     # It rises while sources under it are set apart and falls afterwards: the highest is the share.
-    level_of = ranked.where("source_size > 0").withColumn("level", level)
-    share = F.max("level").over(Window.partitionBy())
-    filled = level_of.withColumn("share", share).select(
-        "source", F.least(F.lit(float(most)) * F.col("source_size"), F.col("share") * F.col("weight")).alias("target")
-    )
-    return (
-        ranked.alias("r")
-        .join(filled.alias("f"), F.expr("r.source <=> f.source"), "left")
-        .select("r.source", "r.source_size", F.coalesce("f.target", F.lit(0.0)).alias("target"))
-        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    )
+    share = filled.crossJoin(F.broadcast(total)).agg(F.max(level).alias("share"))  # one row
+    target = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)) * F.col("source_size"), F.col("share") * F.col("weight"))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return ranked.crossJoin(F.broadcast(share)).withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
 def copies(rate: Column, draw: Column) -> Column:

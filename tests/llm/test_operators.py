@@ -266,6 +266,18 @@ def test_mix(spark, docs, rows, empty):
     assert mixing.mix_counts(empty).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """Targets of sources as uneven as hosts are, blank and null ones among them, are those of the plain fill."""
+    rng = random.Random(4)
+    sizes = {f"host-{i:03d}": int(rng.paretovariate(0.7) * 50) if i % 9 else 0 for i in range(240)} | {None: 700}
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    want = dict(zip(names, mixing.water_fill([sizes[x] for x in names], [(1, 2, 3)[i % 3] for i in range(len(names))], 3.0), strict=True))
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    found = mixing.rates(table, (1, 2, 3), 3.0).collect()
+    assert len(found) == len(sizes) and all(r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]] for r in found)
+    assert all(r["rate"] == pytest.approx(want[r["source"]] / r["source_size"] if r["source_size"] else 0) for r in found)
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(1, 200), f"s{min(i % 40, 3)}") for i in range(3000)]
