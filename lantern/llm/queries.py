@@ -16,8 +16,12 @@ from lantern.llm.neardup import near_duplicates
 from lantern.llm.ngram_join import jaccard_components
 from lantern.llm.packing import pack
 from lantern.llm.quality import fit_quality, score_quality
+from lantern.llm.runs import find_runs, planted, run_digest
+from lantern.llm.secrets import scan_secrets, span_digest
 from lantern.llm.sharding import assign_shards, topology
+from lantern.llm.spelling import group_variants, word_counts
 from lantern.llm.topk import integer_vectors, top_k
+from lantern.llm.twins import RUNS_SQL, SPELLING_SQL, secrets_sql
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +71,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), license_templates(), families=FAMILIES, spdx=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(find_runs(table(spark, sf_dir, "documents"), edit=planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -99,4 +115,7 @@ def oracle_sql() -> dict[str, str]:
             reach as (select doc_id as n, doc_id as m from documents union select r.n, l.b from reach r join links l on l.a = r.m),
             c as (select n, min(m) as component_id from reach group by n)
             select s.doc_id, len(s.s) as n_shingles, c.component_id from sets s join c on c.n = s.doc_id""",
+        "op11_spelling_variants": SPELLING_SQL,
+        "op12_secret_scan": secrets_sql(),
+        "op13_periodic_runs": RUNS_SQL,
     }
