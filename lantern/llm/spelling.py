@@ -16,11 +16,12 @@ LOSES = 97
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Marks around a word, so that its first and last letters are in as many grams as others.
 BEGIN, END = "\x02", "\x03"
-#: Lengths of grams. With a word of 5 letters, 6 grams and at most 5 of them under one letter, one always outlives an edit.
-SHORTEST, LONGEST = 2, 5
+#: Least code points of a word; lengths of grams. A word of n letters has n + 1 grams, at most LONGEST of them over one
+#: letter, so of a word of 5 two grams at least outlive any edit.
+LEAST_WORD, SHORTEST, LONGEST = 5, 2, 4
 
 
-def word_counts(docs: DataFrame, shortest: int = LONGEST, least: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, shortest: int = LEAST_WORD, least: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``word, n`` of the letter runs of whole texts: those of ``shortest`` code points that occur ``least`` times.
 
     Runs are lower-cased in A-Z only. Where 97 divides the checksum of the row's id and the run, the run
@@ -45,7 +46,7 @@ def _grams(word: Column, length: int) -> Column:
 
 
 def gram_dictionary(words: DataFrame, prefixes: int = 50_000, least: int = 32) -> dict[str, int]:
-    """The grams that are too frequent to stand alone, with their counts in ``words``; any other gram that begins like one belongs to the dictionary too.
+    """The frequent grams with their counts in ``words``; a gram that is one letter longer than one of them belongs to the dictionary too.
 
     A gram of ``SHORTEST`` letters is in the dictionary; a longer one, up to ``LONGEST``, if the gram
     without its last letter is frequent, that is in more than ``least`` places and in more than one in
@@ -53,7 +54,7 @@ def gram_dictionary(words: DataFrame, prefixes: int = 50_000, least: int = 32) -
     driver gets and sends, whatever the number of words.
     """
     places = words.agg(F.sum(F.length("word") + 1).alias("n")).first()["n"] or 0
-    grams = F.flatten(F.array(*(_grams(F.col("word"), k) for k in range(SHORTEST, LONGEST))))
+    grams = F.flatten(F.array(*(_grams(F.col("word"), k) for k in range(SHORTEST, LONGEST + 1))))
     counts = words.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     return {r["gram"]: r["n"] for r in counts.where(F.col("n") > max(least, places // prefixes)).toLocalIterator()}
 
@@ -70,49 +71,50 @@ def decompose(word: str, frequent: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def affected(grams: list[tuple[str, int]]) -> int:
-    """The most grams that one edit can change: those over one letter.
+def outliving(order: list[tuple[str, int]], before: int, behind: int, most: int = 2) -> tuple[tuple[int, bool], ...]:
+    """The first grams of ``order`` that end by ``before`` or begin from ``behind`` on, by number, and whether they lie behind.
 
     Which gram begins at a place depends on no letter outside it, as a gram ends where it stops being
-    frequent, so an edit changes only grams that hold the letter or the gap.
+    frequent. So an edit changes only the grams over its letter or its gap, and these are not them.
     """
-    last = grams[-1][1] + 1
-    over = [0] * (last + 2)
-    for gram, at in grams:
-        over[at] += 1
-        over[at + len(gram)] -= 1
-    most = total = 0
-    for at in range(last):
-        total += over[at]
-        if at:  # the mark in front is no letter
-            most = max(most, total)
-    return most
+    found = []
+    for i, (gram, at) in enumerate(order):
+        if at >= behind or at + len(gram) <= before:
+            found.append((i, at >= behind))
+            if len(found) == most:
+                break
+    return tuple(found)
 
 
 def keys(word: str, frequent: dict[str, int]) -> tuple[list[str], list[str]]:
-    """The index lists that a word is on, and those in which it looks for others.
+    """The index lists that a word is on, and those in which it looks for others of its length or one letter less.
 
-    Of a pair one edit apart, grams before the edit have one place in both words, and grams behind it one
-    place from the end. At most ``affected`` grams of a word are lost, so the rarest that outlives is
-    among the ``affected`` + 1 rarest of either word; it meets under its place, the side it is counted
-    from, and the shorter word's length. Words of one length meet by places from the start alone.
+    For each edit the grams that it can't affect are known, and the same grams, in the same order of
+    rarity, outlive it in the other word. Those before the edit keep their place from the start, those
+    behind it their place from the end. So both words know the two rarest that outlive, and meet where
+    their two lists do: a key is the two grams with their places and the shorter word's length. A word
+    has one key for each kind of edit and pair of grams, far fewer than edits.
     """
-    grams = decompose(word, frequent)
-    rarest = sorted(grams, key=lambda g: (frequent.get(g[0], 0), g[0], g[1]))[: affected(grams) + 1]
-    n, on, looks = len(word), [], []
-    for gram, at in rarest:
-        back = n + 2 - at
-        on += [f"{n}={at} {gram}", f"{n}<{at} {gram}", f"{n}>{back} {gram}"]
-        looks += [f"{n}={at} {gram}", f"{n - 1}<{at} {gram}", f"{n - 1}>{back} {gram}"]
-    return on, looks
+    order = sorted(decompose(word, frequent), key=lambda g: (frequent.get(g[0], 0), g[0], g[1]))
+    n = len(word)
+    # A letter replaced or lost, and a letter put between two others.
+    letters = {outliving(order, i, i + 1) for i in range(1, n + 1)}
+    gaps = {outliving(order, i + 1, i + 1) for i in range(n + 1)}
+
+    def apart(length: int, found: tuple[tuple[int, bool], ...]) -> str:
+        return f"{length}|" + "".join(f">{n + 2 - order[i][1]}{order[i][0]}" if behind else f"<{order[i][1]}{order[i][0]}" for i, behind in found)
+
+    same = list({f"{n}=" + "".join(f"{order[i][1]}{order[i][0]}" for i, _ in found) for found in letters})
+    return same + [apart(n, x) for x in gaps], same + [apart(n - 1, x) for x in letters]
 
 
 def near_words(words: DataFrame, prefixes: int = 50_000, least: int = 32) -> DataFrame:
     """``a, n_a, b, n_b``: each pair of ``words`` (``word, n``, of 5 or more code points) that differ by one inserted, deleted or replaced code point, once.
 
-    The frequency-pruned dictionary is built over all words; every word is decomposed and put on the
-    lists of its rarest grams, by place and length; lists are merged by a join, whose heavy keys the
-    adaptive plan splits, and every pair that meets is verified. No pair is lost, as ``keys`` shows.
+    The frequency-pruned dictionary is built over all words; every word is decomposed, and for each edit
+    put where the lists of the two rarest grams that outlive it merge. Lists are met by a join, whose
+    heavy keys the adaptive plan splits, and every pair that meets is verified. No pair is lost, as
+    ``keys`` shows.
     """
     spark = words.sparkSession
     frequent = spark.sparkContext.broadcast(gram_dictionary(words, prefixes, least))
