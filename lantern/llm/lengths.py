@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -16,6 +17,8 @@ from lantern.runtime import cut, small_batches
 #: Fixed: how byte-level BPE of this vocabulary cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed: the blanks of ``PATTERN``'s ``\\s``, in runs that its matcher would have to go back over one by one.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _encodings: dict[str, object] = {}
 
 
@@ -29,6 +32,22 @@ def _encoding(ranks: bytes):
     return _encodings[key]
 
 
+def count_tokens(encoding, text: str) -> int:
+    """Number of tokens of a whole text, with any runs of blanks.
+
+    The pattern's ``\\s+(?!\\S)`` goes back from the end of a run, which overflows its matcher's stack at
+    about a million blanks. It gives a run of two or more as one piece but for its last blank, which
+    goes with what follows, and all of a run that ends the text. So a text can be parted there: what
+    lies between long runs is encoded as it is, and a run's piece is merged without the pattern.
+    """
+    total, at = 0, 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def token_counter(docs: DataFrame, vocabulary: str = VOCABULARY):
     """A column function from texts to their numbers of tokens, 0 for null.
 
@@ -39,9 +58,9 @@ def token_counter(docs: DataFrame, vocabulary: str = VOCABULARY):
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoding(sent.value).encode_ordinary
+        encoding = _encoding(sent.value)
         for texts in batches:
-            yield texts.map(lambda t: 0 if t is None else len(encode(t))).astype("int64")
+            yield texts.map(lambda t: 0 if t is None else count_tokens(encoding, t)).astype("int64")
 
     return count
 

@@ -513,3 +513,19 @@ def test_sparse_sites_shrink(spark):
     model = quality.fit_quality(docs, labels)
     found = {r["source"]: r for r in quality.score_quality(docs, model, F.col("source"), F.col("lang")).select("row.source", "host_p", "path_p").dropDuplicates(["source"]).collect()}
     assert found["x"]["host_p"] > 0.8 > found["z"]["host_p"] > 0.2 > found["y"]["host_p"]
+
+
+def test_tokens_of_long_blank_runs(spark):
+    encoding = lengths._encoding(open(lengths.VOCABULARY, "rb").read())
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = [rng.choice(["a", "Wort", "x1", "'s", "!?", " ", "\n", "\x1c", "\u3000"]) + rng.choice([" ", "\n", " \n", "\t\xa0", "\u2003"]) * rng.choice([0, 1, 999, 1000, 1001, 2500]) for _ in range(rng.randrange(6))]
+        text = "".join(parts)
+        assert lengths.count_tokens(encoding, text) == len(encoding.encode_ordinary(text)), repr(text)
+    half = {blank: lengths.count_tokens(encoding, f"a{blank * 200_000}b") for blank in " \n"}
+    assert half == {blank: len(encoding.encode_ordinary(f"a{blank * 200_000}b")) for blank in " \n"}
+    docs = spark.createDataFrame([(0, " " * 3_000_000), (1, "\n" * 3_000_000), (2, "a" + " " * 3_000_001 + "b"), (3, "x")], "doc_id long, text string")
+    found = {r["length"]: r["n_docs"] for r in lengths.length_histogram(docs).collect()}
+    # One token a blank and one for two line breaks, as in shorter runs.
+    assert found == Counter({3_000_000: 1, 1_500_000: 1, 3_000_002: 1, 1: 1})
+    assert packing.pack(docs, length=lengths.token_counter(docs)(F.col("text"))).agg(F.sum("length")).first()[0] == 3_000_000 + 1_500_000 + 3_000_002 + 1
