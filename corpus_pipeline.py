@@ -22,17 +22,30 @@ from lantern.runtime import cut, ensure_checkpoint_dir
 LANGUAGE_SCORE = 0.4
 
 
+def _as_row(docs: DataFrame) -> DataFrame:
+    """Each row as struct ``row``, so that columns of any name stay apart from those that a stage adds."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality by text, source and language section is more likely good than not; blank and null texts go."""
+    """Documents whose quality by text, source and language section is more likely good than not; blank and null texts go.
+
+    Null sources and sections are keys of their own; repeated rows are scored alike and all stay or go;
+    an empty table gives no rows, and one without labels is judged by the global prior.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, F.col("source"), F.col("lang")).where("quality_keep").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the byte network knows, with a probability of ``LANGUAGE_SCORE`` or more; texts without a letter go."""
+    """Documents in a language that the byte network knows, with a probability of ``LANGUAGE_SCORE`` or more; texts without a letter, and null ones, go.
+
+    Repeated rows are predicted alike and all stay or go; an empty table gives no rows, and where there
+    is nothing to learn from none stay.
+    """
     predict = predictor(docs, fit_languages(docs))
-    found = docs.withColumn("__found", predict(F.col("text")))
-    return found.where((F.col("__found.lang") != UNDETERMINED) & (F.col("__found.score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    found = _as_row(docs).withColumn("found", predict(F.col("row.text")))
+    return found.where((F.col("found.lang") != UNDETERMINED) & (F.col("found.score") >= LANGUAGE_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +58,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = cut(jaccard_rows(docs).where("doc_id is not null"))
     least = cut(rows.where("component is not null").groupBy(F.col("component").alias("__c")).agg(F.min(F.struct("doc_id", "text_key")).alias("stays")))
     copies = lookup(rows.where("component is not null"), least, "component = __c", how="inner").where(F.struct("doc_id", "text_key") != F.col("stays"))
-    gone = cut(copies.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
-    twice = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().where("count > 1").drop("count")
-    twice = cut(twice.join(gone, ["__id", "__key"], "left_anti"))
-    same = "doc_id <=> __id and xxhash64(text) = __key"
-    kept = lookup(docs, gone, same, how="left_anti")
+    gone = cut(copies.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct())
+    twice = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).count().where("count > 1").drop("count")
+    twice = cut(twice.join(gone, ["id", "key"], "left_anti"))
+    same = "row.doc_id <=> id and xxhash64(row.text) = key"
+    kept = lookup(_as_row(docs), gone, same, how="left_anti")
     if twice.isEmpty():
-        return kept
+        return kept.select("row.*")
     again = lookup(kept, twice, same, how="left_semi")
-    once = again.groupBy("doc_id", "text").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row")).select("row.*")
-    return lookup(kept, twice, same, how="left_anti").unionByName(once)
+    once = again.groupBy(F.col("row.doc_id").alias("id"), F.col("row.text").alias("key")).agg(F.min("row").alias("row")).select("row")
+    return lookup(kept, twice, same, how="left_anti").unionByName(once).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
