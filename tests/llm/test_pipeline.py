@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lantern.llm import lengths
 
@@ -62,3 +64,16 @@ def test_rows_of_one_id_with_unlike_texts_stay(spark, small):
     found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()]
     want = [(1, texts["a"]), (5, texts["b"]), (7, texts["c"]), (7, texts["d"]), (9, None), (9, ""), (None, texts["e"]), (None, texts["e"])]
     assert Counter(found) == Counter(want)
+
+
+def test_columns_of_any_name(spark, small):
+    """Columns that stages might use themselves come out with their own values."""
+    names = ["__id", "__key", "__found", "found", "row", "id", "key", "count", "copy", "n", "component", "stays", "__c", "text_key", "n_copies", "size", "rate", "target", "__t", "quality_keep", "piece", "length", "bucket"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60").select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in names])
+    docs = docs.union(docs.where("doc_id < 3"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in names), name
+    assert {r["doc_id"] for r in corpus_pipeline.packing(spark, docs, small).collect()} == {r["doc_id"] for r in docs.collect()}
