@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.operators.metrics import same_keys
+from lantern.operators.neighbours import Cells, finite, key_text
 from lantern.runtime import cut, in_order
 
 #: Fixed: rows that a tree is grown on, trees, share of outliers.
@@ -102,7 +103,7 @@ def _apply_models(rows: DataFrame, models: DataFrame, key: str, score, column: s
     rows and one copy of the model. A null key is a key; rows of a key without a model get null.
     """
     counts = rows.groupBy(F.col(key).alias("__k")).agg(F.ceil(F.count("*") / rows_per_task).alias("__salts"))
-    dealt = rows.join(counts, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__salt", F.pmod(F.xxhash64("__x", F.monotonically_increasing_id()), F.col("__salts"))).drop("__k", "__salts")
+    dealt = rows.join(counts, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__salt", F.pmod(F.xxhash64(*[c for c in rows.columns if not isinstance(rows.schema[c].dataType, T.MapType)]), F.col("__salts"))).drop("__k", "__salts")
     named = models.select(F.col("key").alias("__key"), F.col("model").alias("__model"))
     copies = named.join(counts, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"))
     fields = [f for f in rows.schema.fields if f.name != "__x"]
@@ -115,10 +116,10 @@ def _apply_models(rows: DataFrame, models: DataFrame, key: str, score, column: s
     return dealt.groupBy(key, "__salt").cogroup(copies.withColumnRenamed("__key", key).groupBy(key, "__salt")).applyInPandas(run, schema)
 
 
-def _model_rows(rows: DataFrame, key: str, most: int, fit) -> DataFrame:
-    """``key, model`` fitted on the at most ``most`` rows of each key with the least hash."""
+def _model_rows(rows: DataFrame, key: str, most: int, fit, order: Sequence[Column] = ()) -> DataFrame:
+    """``key, model`` fitted on at most ``most`` rows of each key, the first by ``order``, or those of the least hash."""
     kind = rows.schema[key].dataType.simpleString()
-    sample = rows.select(key, "__x").withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("__x")))).where(F.col("__i") <= most)
+    sample = rows.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(*order, F.xxhash64("__x")))).where(F.col("__i") <= most).select(key, "__x")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": [pdf[key].iloc[0]], "model": [_packed(fit(_matrix(pdf["__x"])))]})
@@ -126,13 +127,13 @@ def _model_rows(rows: DataFrame, key: str, most: int, fit) -> DataFrame:
     return sample.groupBy(key).applyInPandas(run, f"key {kind}, model binary")
 
 
-def fit_forests(points: DataFrame, key: str, features: Column, seed: int = 42, train_rows: int = 10_000) -> DataFrame:
-    """``key, model``: a forest for each key, grown in its own task on at most ``train_rows`` rows of the least hash. The table can be saved."""
-    return _model_rows(points.withColumn("__x", features), key, train_rows, lambda x: _forest_arrays(grow_trees(x, seed)))
+def fit_forests(points: DataFrame, key: str, features: Column, seed: int = 42, train_rows: int = 10_000, order: Sequence[Column] = ()) -> DataFrame:
+    """``key, model``: a forest for each key, grown in its own task on at most ``train_rows`` rows, the first by ``order``, or those of the least hash. The table can be saved."""
+    return _model_rows(points.withColumn("__x", features), key, train_rows, lambda x: _forest_arrays(grow_trees(x, seed)), order)
 
 
 def isolation_forest(
-    points: DataFrame, key: str, features: Column, contamination: float = CONTAMINATION, seed: int = 42, score_mode: str = "quantile", train_rows: int = 10_000, models: DataFrame | None = None
+    points: DataFrame, key: str, features: Column, contamination: float = CONTAMINATION, seed: int = 42, score_mode: str = "quantile", train_rows: int = 10_000, models: DataFrame | None = None, order: Sequence[Column] = ()
 ) -> DataFrame:
     """``iso_score, iso_outlier`` of every row, by a forest of its key: that of ``models`` if given, else of ``fit_forests``.
 
@@ -141,7 +142,7 @@ def isolation_forest(
     have nulls.
     """
     rows = points.withColumn("__x", features)
-    models = fit_forests(points, key, features, seed, train_rows) if models is None else models
+    models = fit_forests(points, key, features, seed, train_rows, order) if models is None else models
     scored = _apply_models(rows, models, key, lambda model, x: isolation_scores(_forest_trees(model), x), "iso_score")
     if score_mode == "reference":
         return scored.withColumn("iso_outlier", 0.5 + F.col("iso_score") > 0.7)
@@ -196,66 +197,81 @@ def lof_1d(points: DataFrame, keys: Sequence[str], value: str = "value", tie: Se
     return found.unionByName(points.where(~known | F.col(value).isNull()).withColumn("lof", F.lit(None).cast("double")))
 
 
-def _nearest(a: np.ndarray, x: np.ndarray, k: int, skip: bool, block: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and places of the ``k`` nearest rows of ``x``, block by block; ``skip`` leaves out a row itself."""
-    ds, ids = [], []
-    for s in range(0, len(a), block):
-        part = a[s : s + block]
-        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T, 0))
-        if skip:
-            d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
-        i = np.argsort(d, axis=1)[:, : min(k, len(x) - skip)]
-        ds.append(np.take_along_axis(d, i, 1))
-        ids.append(i)
-    return np.concatenate(ds), np.concatenate(ids)
+def fit_neighbours(points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000, order: Sequence[Column] = ()) -> DataFrame:
+    """``key, id, x, reach, density, k`` of the training rows: of each key the newest ``most`` by ``order``, or of the least hash without one. The table can be saved.
 
-
-def fit_neighbours(points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000) -> DataFrame:
-    """``key, model``: of each key the ``most`` rows of the least hash, with their distances and densities. The table can be saved."""
-
-    def fit(x: np.ndarray) -> dict[str, np.ndarray]:
-        if len(x) < 2:
-            return {"x": x, "reach": np.zeros(len(x)), "density": np.ones(len(x)), "k": np.array(k)}
-        d, i = _nearest(x, x, k, True)
-        kd = d[:, -1]
-        return {"x": x, "reach": kd, "density": 1 / np.maximum(np.maximum(d, kd[i]).mean(1), 1e-12), "k": np.array(k)}
-
-    return _model_rows(points.withColumn("__x", features), key, most, fit)
-
-
-def local_outlier_factor(points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000, models: DataFrame | None = None) -> DataFrame:
-    """``lof`` of every row against the rows of its key in ``models``, or else in those of ``fit_neighbours``, scored as new rows.
-
-    A key whose model has one row gets 1, one without a model null.
+    ``reach`` is the distance of the ``k``-th nearest other row, ``density`` one over the mean distance of
+    reach to the nearest. Rows without a whole vector are left out; the one row of a key has neither.
     """
+    newest = Window.partitionBy(key).orderBy(*order, F.xxhash64("__x"))
+    rows = points.withColumn("__x", F.transform(features, lambda v: v.cast("double"))).where(finite(F.col("__x"))).select(key, *[c for c in points.columns if c != key], "__x")
+    rows = rows.withColumn("__i", F.row_number().over(newest)).where(F.col("__i") <= most)
+    rows = cut(rows.select(F.col(key).alias("key"), key_text(key).alias("k"), F.col("__i").cast("long").alias("id"), F.col("__x").alias("x")))
+    found = Cells(rows, k + 1).nearest_of(rows.select("k", "x").distinct())
+    own = rows.join(found, ["k", "x"]).withColumn("near", F.slice(F.filter("near", lambda p: p["id"] != F.col("id")), 1, k))
+    own = cut(own.withColumn("reach", F.element_at("near", -1)["d"]).where(F.size("near") > 0))
+    steps = own.select("k", "id", F.explode("near").alias("to")).select("k", "id", F.col("to.id").alias("other"), F.col("to.d").alias("d"))
+    ends = steps.join(own.select("k", F.col("id").alias("other"), "reach"), ["k", "other"])
+    # Sums in one order, so that reruns agree to the last digit.
+    reaches = F.sort_array(F.collect_list(F.greatest("d", "reach")))
+    mean = F.aggregate("ds", F.lit(0.0), lambda s, d: s + d) / F.size("ds")
+    density = ends.groupBy("k", "id").agg(reaches.alias("ds")).select("k", "id", (1 / F.greatest(mean, F.lit(1e-12))).alias("density"))
+    known = own.select("k", "id", "reach").join(density, ["k", "id"])
+    return rows.join(known, ["k", "id"], "left").select("key", "id", "x", "reach", "density", F.lit(k).alias("k"))
+
+
+def local_outlier_factor(
+    points: DataFrame, key: str, features: Column, k: int = 20, most: int = 10_000, models: DataFrame | None = None, order: Sequence[Column] = ()
+) -> DataFrame:
+    """``lof`` of every row against the training rows of its key in ``models``, or else in those of ``fit_neighbours``, scored as new rows.
 
-    def score(model: dict[str, np.ndarray], a: np.ndarray) -> np.ndarray:
-        x, kd, density, k = model["x"], model["reach"], model["density"], int(model["k"])
-        if len(x) < 2:
-            return np.ones(len(a))
-        d, i = _nearest(a, x, k, False)
-        return density[i].mean(1) * np.maximum(np.maximum(d, kd[i]).mean(1), 1e-12)
-
-    models = fit_neighbours(points, key, features, k, most) if models is None else models
-    return _apply_models(points.withColumn("__x", features), models, key, score, "lof")
+    The nearest are found exactly: training rows lie in cells around pivots, and a row meets only the
+    cells that can hold one of its nearest. Equal vectors are scored once; of training rows as far away
+    the newer come first. A key whose model has one row gets 1; one without a model, and a row without
+    a whole vector, null.
+    """
+    models = fit_neighbours(points, key, features, k, most, order) if models is None else models
+    trained = cut(models.withColumn("t", key_text("key")))
+    first = trained.first()
+    k = k if first is None else first["k"]
+    rows = points.withColumn("__x", F.transform(features, lambda v: v.cast("double"))).withColumn("__k", key_text(key))
+    asked = cut(rows.where(finite(F.col("__x"))).select(F.col("__k").alias("k"), F.col("__x").alias("x")).distinct())
+    cells = Cells(trained.where("density is not null").select(F.col("t").alias("k"), "id", "x", "reach", "density"), k, ["reach", "density"])
+    total = lambda of: F.aggregate("near", F.lit(0.0), lambda s, p: s + of(p)) / F.size("near")
+    lof = total(lambda p: p["density"]) * F.greatest(total(lambda p: F.greatest(p["d"], p["reach"])), F.lit(1e-12))
+    found = cells.nearest_of(asked).select(F.col("k").alias("__fk"), F.col("x").alias("__fx"), lof.alias("__lof"))
+    alone = trained.where("density is null").select(F.col("t").alias("__alone")).distinct()
+    scored = rows.join(found, (F.col("__k") == F.col("__fk")) & (F.col("__x") == F.col("__fx")), "left").join(alone, F.col("__k") == F.col("__alone"), "left")
+    factor = F.coalesce("__lof", F.when(F.col("__alone").isNotNull() & finite(F.col("__x")), 1.0))
+    return scored.withColumn("__lof", factor).select(*points.columns, F.col("__lof").alias("lof"))
 
 
 def dbscan_outliers(points: DataFrame, key: str, features: Column, eps: float = 0.5, least: int = 5) -> DataFrame:
     """``is_noise``: whether no core point of the row's key lies within ``eps``; a core point has ``least`` rows within ``eps``, itself included.
 
-    Rows are folded by equal vectors with their counts, and dealt to slabs of width ``eps`` along the
-    first coordinate; a row meets its own and the two neighbouring slabs only. A null key is a key; rows
-    whose vector is null or holds null are noise.
+    Rows are folded by equal vectors with their counts, and fall into boxes whose diagonal is ``eps``. All
+    rows of a box of ``least`` rows are core points, so a dense place is settled by a count. Only the
+    vectors of other boxes look around, in cells around pivots (see ``Cells``): first for their
+    counts and for rows of dense boxes, then for core points among themselves. A null key is a key;
+    rows whose vector is null or holds null, NaN or infinity are noise.
     """
-    rows = points.withColumn("__x", F.transform(features, lambda v: v.cast("double")))
-    folded = rows.groupBy(F.col(key).alias("__k"), F.col("__x").alias("__v")).agg(F.count("*").alias("__n")).withColumn("__slab", F.floor(F.get("__v", 0) / eps))
-    other = folded.select(F.col("__k").alias("__k2"), F.col("__v").alias("__y"), F.col("__n").alias("__m"), F.col("__slab").alias("__slab2"))
-    dealt = folded.withColumn("__at", F.explode(F.array(F.col("__slab") - 1, "__slab", F.col("__slab") + 1)))
-    square = F.aggregate(F.zip_with("__v", "__y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    close = dealt.join(other, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__at") == F.col("__slab2"))).where(square <= eps * eps)
-    core = close.groupBy("__k", "__v").agg(F.sum("__m").alias("__near")).where(F.col("__near") >= least).select(F.col("__k").alias("__ck"), F.col("__v").alias("__cv"))
-    reached = close.join(core, F.col("__k2").eqNullSafe(F.col("__ck")) & (F.col("__y") == F.col("__cv"))).select("__k", "__v").distinct().withColumn("__ok", F.lit(True))
-    return rows.join(reached, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__x") == F.col("__v")), "left").withColumn("is_noise", F.col("__ok").isNull()).select(*points.columns, "is_noise")
+    rows = points.withColumn("__x", F.transform(features, lambda v: v.cast("double"))).withColumn("__k", key_text(key))
+    # A box is a little smaller, so that rounding takes no pair in it beyond eps.
+    box = F.transform("x", lambda v: F.floor(v * F.sqrt(F.size("x")) / F.lit(eps * (1 - 1e-9))))
+    folded = rows.where(finite(F.col("__x"))).groupBy(F.col("__k").alias("k"), F.col("__x").alias("x")).agg(F.count("*").alias("n"))
+    folded = cut(folded.withColumn("box", box).withColumn("id", F.xxhash64("k", "x")))
+    dense = cut(folded.groupBy("k", "box").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("k", "box"))
+    marked = folded.join(dense.withColumn("sure", F.lit(True)), ["k", "box"], "left").withColumn("sure", F.col("sure").isNotNull())
+    marked = cut(marked.select("k", "x", "id", "n", F.when(F.col("sure"), F.col("n")).otherwise(0).alias("dense"), "sure"))
+    open_ = marked.where(~F.col("sure"))
+    around = cut(Cells(marked, 1, ["n", "dense"]).sums_within(open_, eps))
+    settled = around.where((F.col("n") >= least) | (F.col("dense") > 0)).select("k", "x")
+    rest = around.where((F.col("n") < least) & (F.col("dense") == 0)).select("k", "x")
+    core = around.where(F.col("n") >= least).select("k", "x", F.xxhash64("k", "x").alias("id"), F.lit(1).cast("long").alias("cores"))
+    reached = Cells(core, 1, ["cores"]).sums_within(rest, eps).where("cores > 0").select("k", "x")
+    fine = marked.where("sure").select("k", "x").union(settled).union(reached).withColumn("ok", F.lit(True))
+    joined = rows.join(fine.toDF("__fk", "__fx", "__ok"), (F.col("__k") == F.col("__fk")) & (F.col("__x") == F.col("__fx")), "left")
+    return joined.select(*points.columns, F.col("__ok").isNull().alias("is_noise"))
 
 
 def fit_centres(points: DataFrame, features: Sequence[str], clusters: int = 3, large: float = 0.1, seed: int = 42) -> DataFrame:
@@ -358,7 +374,7 @@ def above_quantile(rows: DataFrame, key: str, score: str, name: str, contaminati
     return rows.join(cuts, F.col(key).eqNullSafe(F.col("__k"))).withColumn(name, F.coalesce(F.col(score) > F.col("__cut"), F.lit(False))).drop("__k", "__cut")
 
 
-def log_model_scores(rows: DataFrame, key: str, features: str = "features", eps: float = 0.5, least: int = 5) -> DataFrame:
+def log_model_scores(rows: DataFrame, key: str, features: str = "features", eps: float = 0.5, least: int = 5, order: Sequence[Column] = ()) -> DataFrame:
     """``iso, lof, dbscan, reconstruction`` of every row: what four models of its key say, from 0 to 1.
 
     Isolation forest and outlier factor score where they are among the highest of the key: 0.5 plus the
@@ -366,8 +382,8 @@ def log_model_scores(rows: DataFrame, key: str, features: str = "features", eps:
     its logistic where it is among the highest of all rows.
     """
     # Each model reads its rows several times.
-    found = cut(isolation_forest(cut(rows), key, F.col(features)))
-    found = above_quantile(cut(local_outlier_factor(found, key, F.col(features))), key, "lof", "__lof")
+    found = cut(isolation_forest(cut(rows), key, F.col(features), order=order))
+    found = above_quantile(cut(local_outlier_factor(found, key, F.col(features), order=order)), key, "lof", "__lof")
     found = reconstruction_error(cut(dbscan_outliers(cut(found), key, F.col(features), eps, least)), features)
     logistic = lambda x: 1 / (1 + F.exp(-x))
     one = lambda flag, x: F.when(flag, F.least(F.lit(1.0), x)).otherwise(0.0)

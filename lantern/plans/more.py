@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.operators import logs as L
@@ -125,6 +125,11 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(T.log_features(docs).select("seq", "service", F.expr("timestamp'2024-01-01'").alias("ts"), "features"))
 
 
+def newest() -> list[Column]:
+    """The order of training rows of log lines."""
+    return [F.desc("ts"), F.desc("seq")]
+
+
 @query("t01_log_features")
 def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return featured(spark, sf_dir).select("seq", "service", F.posexplode("features").alias("i", "value"))
@@ -132,17 +137,17 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t02_training_set", "select service, seq from (select *, row_number() over (partition by service order by ts desc, seq desc) as i, count(*) over (partition by service) as n from {logs}) x where i <= 10000 and n >= 100")
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.training_window(relation(spark, sf_dir, "logs"), ["service"], [F.desc("ts"), F.desc("seq")]).select("service", "seq")
+    return A.training_window(relation(spark, sf_dir, "logs"), ["service"], newest()).select("service", "seq")
 
 
 @query("t03_isolation_forest")
 def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.isolation_forest(featured(spark, sf_dir), "service", F.col("features")).select("seq", "service", "iso_score", "iso_outlier")
+    return T.isolation_forest(featured(spark, sf_dir), "service", F.col("features"), order=newest()).select("seq", "service", "iso_score", "iso_outlier")
 
 
 @query("t04_local_outlier_factor")
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.local_outlier_factor(featured(spark, sf_dir), "service", F.col("features")).select("seq", "service", "lof")
+    return T.local_outlier_factor(featured(spark, sf_dir), "service", F.col("features"), order=newest()).select("seq", "service", "lof")
 
 
 POINTS = "select seq, service, region, round(value / 20, 1) as x, cast(seq % 3 as double) / 10 as y from {metrics}"
@@ -166,7 +171,7 @@ def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t07_ml_log_anomalies")
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.log_features(relation(spark, sf_dir, "logs")).select("seq", "service", "ts", "features")
-    scored = T.log_model_scores(rows, "service")
+    scored = T.log_model_scores(rows, "service", order=newest())
     return T.ml_log_anomalies(scored, ["iso", "lof", "dbscan", "reconstruction"]).select("pattern_name", "service", "seq", "score", "severity", "is_anomaly")
 
 
