@@ -4,30 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lantern.operators.graph_algo import clustering, degrees, page_rank, reach_counts, sequential_groups, weak_components
 from lantern.runtime import cut, in_cells
 
 
+def _middle(ordered: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """The value at ``share`` of the first ``n`` of each ordered row, between two by their distance; NaN of no values."""
+    at = np.maximum(n - 1, 0) * share
+    low = np.floor(at).astype(int)
+    a, b = (np.take_along_axis(ordered, i[:, None], 1)[:, 0] for i in (low, np.ceil(at).astype(int)))
+    return a + (b - a) * (at - low)
+
+
+def window_statistics(values: np.ndarray, rows: int) -> dict[str, np.ndarray]:
+    """``mean, std, q1, q2, q3, mad`` of the last ``rows`` values at each place; NaN is no value.
+
+    Windows are views of the one array, sorted a block at a time, so memory follows neither the number
+    of values nor the window. Deviations are from the median, so equal values have none at all.
+    """
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(rows - 1, np.nan), values]), rows)
+    out = {name: np.empty(len(values)) for name in ("mean", "std", "q1", "q2", "q3", "mad")}
+    for s in range(0, len(values), block := max(1, 500_000 // rows)):
+        ordered = np.sort(windows[s : s + block], axis=1)
+        n = (~np.isnan(ordered)).sum(axis=1)
+        q2 = _middle(ordered, n, 0.5)
+        off = ordered - q2[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.nansum(off, axis=1) / n
+            std = np.where(n > 1, np.sqrt(np.nansum((off - mean[:, None]) ** 2, axis=1) / (n - 1)), np.nan)
+        own = {"mean": q2 + mean, "std": std, "q1": _middle(ordered, n, 0.25), "q2": q2, "q3": _middle(ordered, n, 0.75), "mad": _middle(np.sort(np.abs(off), axis=1), n, 0.5)}
+        for name, found in own.items():
+            out[name][s : s + block] = found
+    return out
+
+
 def rolling_scores(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", rows: int = 100, z: float = 3.0, mad: float = 3.0, iqr: float = 1.5) -> DataFrame:
-    """``rolling_z, is_z, is_iqr, is_mad`` over the last ``rows`` values of a key, this one included."""
-    frame = Window.partitionBy(*keys, "__cell").orderBy("__i").rowsBetween(1 - rows, 0)
-    out = in_cells(points, keys, order, rows - 1).withColumns({
-        "__m": F.avg(value).over(frame), "__s": F.stddev_samp(value).over(frame), "__q1": F.percentile(value, F.lit(0.25)).over(frame), "__q2": F.percentile(value, F.lit(0.5)).over(frame),
-        "__q3": F.percentile(value, F.lit(0.75)).over(frame), "__all": F.collect_list(value).over(frame),
-    })
-    out = out.withColumn("rolling_z", F.try_divide(F.col(value) - F.col("__m"), F.col("__s")))
-    away = F.array_sort(F.transform("__all", lambda x: F.abs(x - F.col("__q2"))))
-    n = F.size("__all")
-    median = (F.element_at(away, F.floor((n + 1) / 2).cast("int")) + F.element_at(away, F.ceil((n + 1) / 2).cast("int"))) / 2
-    spread = iqr * (F.col("__q3") - F.col("__q1"))
-    return out.withColumns({
-        "is_z": F.coalesce(F.abs("rolling_z") > z, F.lit(False)),
-        "is_iqr": (F.col(value) < F.col("__q1") - spread) | (F.col(value) > F.col("__q3") + spread),
-        "is_mad": F.coalesce(F.try_divide(F.abs(F.col(value) - F.col("__q2")), median) > mad, F.lit(False)),
-    }).where("__own").select(*points.columns, "rolling_z", "is_z", "is_iqr", "is_mad")
+    """``rolling_z, is_z, is_iqr, is_mad`` over the last ``rows`` values of a key, this one included.
+
+    Keys are cut into cells with the rows before each, and a cell's windows are sorted once for all
+    statistics. Nulls and NaN are no values: such a row has a null score and a null ``is_iqr``, and so
+    has a score where the window's values are equal or one. A null key is a key; an empty table gives no rows.
+    """
+    cells = in_cells(points, keys, order, rows - 1)
+    columns = points.columns
+    added = [T.StructField("rolling_z", T.DoubleType()), *(T.StructField(c, T.BooleanType()) for c in ("is_z", "is_iqr", "is_mad"))]
+
+    def score(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("__i")
+        v = cell[value].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        s = window_statistics(v, rows)
+        gone = np.isnan(v)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(s["std"] > 0, (v - s["mean"]) / s["std"], np.nan)
+            spread = iqr * (s["q3"] - s["q1"])
+            far = (v < s["q1"] - spread) | (v > s["q3"] + spread)
+            from_median = np.where(s["mad"] > 0, np.abs(v - s["q2"]) / s["mad"], 0) > mad
+        found = [pa.array(score, mask=np.isnan(score)), pa.array(np.abs(score) > z), pa.array(far, mask=gone), pa.array(from_median & ~gone)]
+        out = cell.select(columns)
+        for field, column in zip(added, found, strict=True):
+            out = out.append_column(field.name, column)
+        return out.filter(cell["__own"])
+
+    return cells.groupBy(*keys, "__cell").applyInArrow(score, T.StructType([*points.schema.fields, *added]))
 
 
 def temporal_groups(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = 300) -> DataFrame:
