@@ -122,7 +122,9 @@ def _model_rows(rows: DataFrame, key: str, most: int, fit, order: Sequence[Colum
     sample = rows.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(*order, F.xxhash64("__x")))).where(F.col("__i") <= most).select(key, "__x")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [pdf[key].iloc[0]], "model": [_packed(fit(_matrix(pdf["__x"])))]})
+        x = _matrix(pdf["__x"])
+        # In an order of their own, so that draws don't depend on how rows arrive.
+        return pd.DataFrame({"key": [pdf[key].iloc[0]], "model": [_packed(fit(x[np.lexsort(x.T)]))]})
 
     return sample.groupBy(key).applyInPandas(run, f"key {kind}, model binary")
 
@@ -301,6 +303,56 @@ def cluster_outlier_factor(points: DataFrame, features: Sequence[str], clusters:
     return points.withColumn("cblof", F.when(~F.isnan(nearest), nearest))
 
 
+def nearest_centres(x: np.ndarray, clusters: int, seed: int, starts: int = 5, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of at most ``clusters`` clusters and the rows of each: the tightest of several runs, whose first centres are drawn far apart."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        centres = x[[rng.integers(len(x))]]
+        while len(centres) < clusters:
+            away = ((x[:, None] - centres[None]) ** 2).sum(-1).min(1)
+            if away.sum() == 0:
+                break
+            centres = np.concatenate([centres, x[[rng.choice(len(x), p=away / away.sum())]]])
+        for _ in range(rounds):
+            own = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+            moved = np.stack([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        away = ((x[:, None] - centres[None]) ** 2).sum(-1)
+        if best is None or away.min(1).sum() < best[0]:
+            best = (away.min(1).sum(), centres, np.bincount(away.argmin(1), minlength=len(centres)))
+    return best[1], best[2]
+
+
+def fit_key_centres(points: DataFrame, key: str, features: Column, clusters: int = 3, large: float = 0.1, seed: int = 42, train_rows: int = 10_000, order: Sequence[Column] = ()) -> DataFrame:
+    """``key, model``: for each key the centres of its large clusters, those with a tenth of its training rows or more, of all clusters if none is.
+
+    A key's clusters are found in its own task on at most ``train_rows`` whole rows, the first by ``order``.
+    Keys without whole rows have no model. The table can be saved.
+    """
+
+    def fit(x: np.ndarray) -> dict[str, np.ndarray]:
+        centres, sizes = nearest_centres(x, clusters, seed)
+        kept = sizes >= large * len(x)
+        return {"centres": centres[kept] if kept.any() else centres}
+
+    return _model_rows(points.withColumn("__x", features).where(finite(F.col("__x"))), key, train_rows, fit, order)
+
+
+def key_cluster_outlier_factor(
+    points: DataFrame, key: str, features: Column, clusters: int = 3, large: float = 0.1, seed: int = 42, train_rows: int = 10_000, models: DataFrame | None = None, order: Sequence[Column] = ()
+) -> DataFrame:
+    """``cblof``: the distance of a row to the nearest of its own key's centres, in ``models`` or else in those of ``fit_key_centres``.
+
+    So keys of unlike scale don't share clusters. A null key is a key; rows with a null or NaN feature,
+    and those of a key without a model, have null.
+    """
+    models = fit_key_centres(points, key, features, clusters, large, seed, train_rows, order) if models is None else models
+    found = _apply_models(points.withColumn("__x", features), models, key, lambda model, x: np.sqrt(((x[:, None] - model["centres"][None]) ** 2).sum(-1).min(1)), "cblof")
+    return found.withColumn("cblof", F.when(~F.isnan("cblof"), F.col("cblof")))
+
+
 def log_features(logs: DataFrame, message: str = "message", terms: int = 100, components: int = 10) -> DataFrame:
     """``features``, an array: frequencies of the ``terms`` most frequent runs of one to three words, weighted by rarity, scaled, and projected to ``components``.
 

@@ -175,9 +175,17 @@ def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ml_log_anomalies(scored, ["iso", "lof", "dbscan", "reconstruction"]).select("pattern_name", "service", "seq", "score", "severity", "is_anomaly")
 
 
+def keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics under their key of service and metric, and the newest of each key that has enough to train on."""
+    rows = relation(spark, sf_dir, "metrics").withColumn("metric_key", F.concat_ws("_", "metric_name", "service"))
+    return rows, A.training_window(rows, ["metric_key"], newest())
+
+
 @query("a04_isolation_forest")
 def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.isolation_forest(relation(spark, sf_dir, "metrics"), "metric_name", F.array("value")).select("seq", "metric_name", "iso_score", "iso_outlier")
+    rows, window = keyed(spark, sf_dir)
+    models = T.fit_forests(window, "metric_key", F.array("value"), order=newest())
+    return T.isolation_forest(rows, "metric_key", F.array("value"), models=models).select("seq", "metric_name", "iso_score", "iso_outlier")
 
 
 @query(
@@ -194,7 +202,9 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a06_cluster_outlier_factor")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.cluster_outlier_factor(relation(spark, sf_dir, "metrics"), ["value"]).select("seq", "metric_name", "cblof")
+    rows, window = keyed(spark, sf_dir)
+    models = T.fit_key_centres(window, "metric_key", F.array("value"), order=newest())
+    return T.key_cluster_outlier_factor(rows, "metric_key", F.array("value"), models=models).select("seq", "metric_name", "cblof")
 
 
 @query(

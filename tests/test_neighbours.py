@@ -97,3 +97,24 @@ def test_noise_of_odd_rows(spark):
     found = Counter((r["n"], r["is_noise"]) for r in T.dbscan_outliers(points, "k", F.col("x"), eps=0.5, least=5).collect())
     assert found == Counter([(i, False) for i in range(5)] + [(5, True), (6, True), (7, True), (8, False), (9, True), (9, True)])
     assert T.dbscan_outliers(points.limit(0), "k", F.col("x")).count() == 0
+
+
+def test_factor_by_centres_of_each_key(spark):
+    """Keys of unlike scale have centres of their own: what is far in the small one isn't hidden by the large one."""
+    rng = np.random.default_rng(6)
+    small, large = np.concatenate([rng.normal(size=200) * 0.01, 1 + rng.normal(size=200) * 0.01, [3.0]]), np.concatenate([rng.normal(size=300) * 1000, 1e6 + rng.normal(size=300) * 1000])
+    rows = [(i, None, float(v)) for i, v in enumerate(small)] + [(1_000 + i, "large", float(v)) for i, v in enumerate(large)] + [(5_000, "large", None), (5_001, None, float("nan")), (5_002, "gaps", None)]
+    points = spark.createDataFrame(rows, "i long, key string, v double").repartition(4)
+    found = {r["i"]: r["cblof"] for r in T.key_cluster_outlier_factor(points, "key", F.array("v")).collect()}
+    assert max(found, key=lambda i: found[i] or 0 if i < 1_000 else 0) == 400 and found[400] > 1.9
+    assert max(found[i] for i in range(400)) < 0.1 and max(found[1_000 + i] for i in range(600)) < 1e4
+    assert found[5_000] is None and found[5_001] is None and found[5_002] is None
+    assert T.key_cluster_outlier_factor(points.limit(0), "key", F.array("v")).count() == 0
+
+
+def test_centres():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(50, 2)) + c for c in ((0, 0), (40, 0), (0, 40))])
+    centres, sizes = T.nearest_centres(x, 3, 1)
+    assert sorted(sizes.tolist()) == [50, 50, 50] and np.allclose(sorted(map(tuple, centres)), sorted(tuple(x[i : i + 50].mean(0)) for i in (0, 50, 100)))
+    assert len(T.nearest_centres(np.ones((5, 2)), 3, 1)[0]) == 1
