@@ -145,7 +145,7 @@ def isolation_forest(
     """
     rows = points.withColumn("__x", features)
     models = fit_forests(points, key, features, seed, train_rows, order) if models is None else models
-    scored = _apply_models(rows, models, key, lambda model, x: isolation_scores(_forest_trees(model), x), "iso_score")
+    scored = cut(_apply_models(rows, models, key, lambda model, x: isolation_scores(_forest_trees(model), x), "iso_score"))
     if score_mode == "reference":
         return scored.withColumn("iso_outlier", 0.5 + F.col("iso_score") > 0.7)
     cuts = scored.groupBy(F.col(key).alias("__k")).agg(F.percentile_approx("iso_score", 1 - contamination, 10_000).alias("__cut"))
