@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.operators.graph_build import WORKLOADS, merge_edges
-from lantern.runtime import cut
+from lantern.runtime import cut, pairs_in_blocks
 
 SIZE = 64
 
@@ -68,27 +68,28 @@ def _node(nodes: DataFrame) -> Column:
     return F.struct("node_id", "seq", "name", "category", ports.cast("int").alias("n_ports"))
 
 
-def embedding_edges(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
+def embedding_edges(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.7, block_rows: int = 2_000) -> DataFrame:
     """An edge for each pair of nodes with a cosine above ``threshold``, in the direction of the ladder.
 
     ``vectors`` are sparse rows ``node_id, pos, weight`` of unit vectors. Places are ordered from the
     rarest to the most frequent, and a vector is found by its first places only: those without which
     the rest is shorter than ``threshold``, so that two vectors without one of them in common can't be
-    alike enough. Pairs meet in the first such place that they share and are then held against each
-    other whole, exactly.
+    alike enough. Pairs meet in the first such place that they share. What they share lies from there
+    on, so the lengths that both have left bound their cosine; the others are held against each other
+    whole, exactly. A place of many vectors is joined in blocks of ``block_rows``.
     """
     often = vectors.groupBy(F.col("pos").alias("__p")).agg(F.count("*").alias("__n"))
     rows = vectors.join(F.broadcast(often), F.col("pos") == F.col("__p"))  # one row per place, of which there are 64
     own = rows.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("__n", "pos", "weight"))).alias("v"))
     # What is left of the squared length from each place on; a place is needed while this reaches the threshold's square.
     left_of = lambda v, i: F.aggregate(F.slice(v, i + 1, F.size(v)), F.lit(0.0), lambda t, x: t + x["weight"] * x["weight"])
-    prefix = F.transform(F.filter("v", lambda x, i: left_of(F.col("v"), i) > threshold * threshold - 1e-9), lambda x: x["pos"])
-    own = cut(own.select("node_id", prefix.alias("first"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["pos"], x["weight"]))).alias("w")))
-    left = own.select(F.col("node_id").alias("x"), F.col("first").alias("fx"), F.col("w").alias("wx"), F.explode("first").alias("at"))
-    right = own.select(F.col("node_id").alias("y"), F.col("first").alias("fy"), F.col("w").alias("wy"), F.explode("first").alias("at"))
-    met = left.join(right, "at").where("x < y").where(F.get(F.array_intersect("fx", "fy"), 0) == F.col("at"))
-    product = F.aggregate(F.map_entries("wx"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("wy", e["key"]), F.lit(0.0)))
-    cosine = met.select("x", "y", product.alias("cosine")).where(F.col("cosine") > threshold)
+    needed = F.filter(F.transform("v", lambda x, i: F.struct(x["pos"].alias("pos"), left_of(F.col("v"), i).alias("left"))), lambda x: x["left"] > threshold * threshold - 1e-9)
+    own = cut(own.select("node_id", needed.alias("first"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["pos"], x["weight"]))).alias("w")))
+    postings = own.select("node_id", F.transform("first", lambda x: x["pos"]).alias("places"), "w", F.explode("first").alias("f")).select("node_id", "places", "w", F.col("f.pos").alias("at"), F.col("f.left").alias("left"))
+    met = pairs_in_blocks(postings, ["at"], "p", "q", "node_id", block_rows).where("p.node_id < q.node_id and p.left * q.left > " + repr(threshold * threshold - 1e-9))
+    met = met.where(F.get(F.array_intersect("p.places", "q.places"), 0) == F.col("p.at"))
+    product = F.aggregate(F.map_entries("p.w"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("q.w", e["key"]), F.lit(0.0)))
+    cosine = met.select(F.col("p.node_id").alias("x"), F.col("q.node_id").alias("y"), product.alias("cosine")).where(F.col("cosine") > threshold)
     known = nodes.select(_node(nodes).alias("n"))
     pairs = cosine.join(known.select(F.col("n").alias("p")), F.col("x") == F.col("p.node_id")).join(known.select(F.col("n").alias("q")), F.col("y") == F.col("q.node_id"))
     first = F.col("p.seq") <= F.col("q.seq")
@@ -116,20 +117,19 @@ def traffic_edges(nodes: DataFrame, ratio: float = 0.8) -> DataFrame:
     return pairs.select("source", "target", F.lit("traffic-inferred").alias("type"), alike.alias("confidence"))
 
 
-def error_edges(nodes: DataFrame, least: float = 0.05) -> DataFrame:
-    """Edges from the node with the higher to the one with the lower error rate, of nodes above ``least``."""
-    bad = nodes.where(F.col("error_rate") > least).select("node_id", "error_rate")
-    left = bad.select(F.col("node_id").alias("source"), F.col("error_rate").alias("e1"))
-    right = bad.select(F.col("node_id").alias("target"), F.col("error_rate").alias("e2"))
-    return left.join(right, F.col("e1") > F.col("e2")).select("source", "target", F.lit("error-inferred").alias("type"), F.lit(0.7).alias("confidence"))
+def error_edges(nodes: DataFrame, least: float = 0.05, block_rows: int = 2_000) -> DataFrame:
+    """Edges from the node with the higher to the one with the lower error rate, of nodes above ``least``; all such pairs by definition, joined in blocks."""
+    bad = nodes.where(F.col("error_rate") > least).select("node_id", "error_rate", F.lit(0).alias("all"))
+    pairs = pairs_in_blocks(bad, ["all"], "a", "b", "node_id", block_rows).where("a.error_rate > b.error_rate")
+    return pairs.select(F.col("a.node_id").alias("source"), F.col("b.node_id").alias("target"), F.lit("error-inferred").alias("type"), F.lit(0.7).alias("confidence"))
 
 
-def deployment_edges(nodes: DataFrame) -> DataFrame:
-    """Edges both ways between workloads of a namespace whose names begin with the same part."""
+def deployment_edges(nodes: DataFrame, block_rows: int = 2_000) -> DataFrame:
+    """Edges both ways between workloads of a namespace whose names begin with the same part; all such pairs by definition, joined in blocks."""
     space = F.when(F.contains("node_id", F.lit("/")), F.split_part("node_id", F.lit("/"), F.lit(1))).otherwise(F.lit("default"))
     rows = nodes.where(F.col("kind").isin(*WORKLOADS)).select("node_id", space.alias("ns"), F.split_part("name", F.lit("-"), F.lit(1)).alias("part"))
-    other = rows.select(F.col("node_id").alias("target"), "ns", "part")
-    return rows.join(other, ["ns", "part"]).where("node_id <> target").select(F.col("node_id").alias("source"), "target", F.lit("deployment-inferred").alias("type"), F.lit(0.6).alias("confidence"))
+    pairs = pairs_in_blocks(rows, ["ns", "part"], "a", "b", "node_id", block_rows).where("a.node_id <> b.node_id")
+    return pairs.select(F.col("a.node_id").alias("source"), F.col("b.node_id").alias("target"), F.lit("deployment-inferred").alias("type"), F.lit(0.6).alias("confidence"))
 
 
 def prune_candidates(edges: DataFrame, cut: float = 0.8) -> DataFrame:
