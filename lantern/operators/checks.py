@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.operators.graph_algo import articulation_points, cycle_search, degrees, unlisted_cycles, weak_components
-from lantern.runtime import in_order
+from lantern.runtime import cut, in_order
 
 #: Fixed: parts of kinds and attribute names that the checks look for.
 DATABASE_PARTS = ("db", "database", "sql", "nosql", "redis", "memcached", "cache")
@@ -146,14 +146,19 @@ def missing_autoscaling(nodes: DataFrame) -> DataFrame:
 
 
 def detect_issues(nodes: DataFrame, edges: DataFrame, max_cycle: int | None = None, threshold: int = 10) -> DataFrame:
-    """The issues of all nine checks, in their order by ``check``; cycles longer than a given ``max_cycle`` by their component."""
+    """The issues of all nine checks, in their order by ``check``; cycles longer than a given ``max_cycle`` by their component.
+
+    The graph and each check's issues are cut, so that the driver never plans all checks at once over
+    what the graph was made from.
+    """
+    nodes, edges = cut(nodes), cut(edges)
     checks = [
         single_points_of_failure(nodes, edges), all_circular_dependencies(edges, max_cycle), orphaned_services(nodes, edges), high_fanout(nodes, edges, threshold),
         high_fanin(nodes, edges, threshold), network_partitions(nodes, edges), database_single_instance(nodes), missing_health_checks(nodes), missing_autoscaling(nodes),
     ]
     out = None
     for i, one in enumerate(checks):
-        one = one.withColumn("check", F.lit(i))
+        one = cut(one.withColumn("check", F.lit(i)))
         out = one if out is None else out.unionByName(one)
     return out
 
