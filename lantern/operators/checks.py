@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.operators.cycles import list_cycles
 from lantern.operators.graph_algo import articulation_points, cycle_search, degrees, unlisted_cycles, weak_components
 from lantern.runtime import cut, in_order
 
@@ -55,18 +56,31 @@ def circular_dependencies(edges: DataFrame, max_length: int | None = None) -> tu
     return _cycle_issues(cycles), not paths.isEmpty()
 
 
-def all_circular_dependencies(edges: DataFrame, max_length: int | None = None, max_paths: int = 5_000_000) -> DataFrame:
-    """The issues of ``circular_dependencies``, and one for each strong component that holds cycles beyond its bounds, with all its nodes.
+def _by_component(parts: DataFrame, text: str, **metadata: Column) -> DataFrame:
+    size = F.size("members")
+    told = F.concat(F.lit(f"Circular dependency detected: {text} among "), size.cast("string"), F.lit(" services: "), F.array_join("members", ", "))
+    return _issue(parts, "circular_dependency", 3, told, F.col("members"), _meta(component_size=size, **metadata))
+
 
-    ``listed_to`` in such an issue's metadata is the length up to which cycles have issues of their own.
+def all_circular_dependencies(edges: DataFrame, max_length: int | None = None, max_paths: int = 5_000_000, most: int = 10_000) -> DataFrame:
+    """An issue for each simple cycle, and one for each strong component that holds cycles beyond the bounds, with all its nodes.
+
+    Without ``max_length`` each edge that a cycle begins with lists up to ``most`` cycles of any length
+    (``listed_per_edge`` in the component's issue, which is there only if one was not listed). With it,
+    and in components too large for one task's search, cycles are listed by length: ``listed_to`` is the
+    length up to which they have issues of their own.
     """
-    cycles, paths, live, listed = cycle_search(edges, max_length, max_paths)
-    issues = _cycle_issues(cycles)
+    issues, rest = None, edges
+    if max_length is None:
+        cycles, members, rest = list_cycles(edges, most)
+        issues = _cycle_issues(cycles).unionByName(_by_component(members, f"more than {most} cycles from one edge", listed_per_edge=F.lit(most)))
+        if rest.isEmpty():
+            return issues
+    cycles, paths, live, listed = cycle_search(rest, max_length, max_paths)
+    issues = _cycle_issues(cycles) if issues is None else issues.unionByName(_cycle_issues(cycles))
     if paths.isEmpty():
         return issues
-    size = F.size("members")
-    text = F.concat(F.lit(f"Circular dependency detected: cycles of more than {listed} among "), size.cast("string"), F.lit(" services: "), F.array_join("members", ", "))
-    return issues.unionByName(_issue(unlisted_cycles(paths, live), "circular_dependency", 3, text, F.col("members"), _meta(component_size=size, listed_to=F.lit(listed))))
+    return issues.unionByName(_by_component(unlisted_cycles(paths, live), f"cycles of more than {listed}", listed_to=F.lit(listed)))
 
 
 def orphaned_services(nodes: DataFrame, edges: DataFrame) -> DataFrame:

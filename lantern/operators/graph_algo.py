@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.components import connected_components
-from lantern.runtime import cut
+from lantern.runtime import cut, in_order, lookup
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -42,24 +45,38 @@ def reachability(edges: DataFrame, roots: DataFrame, max_depth: int | None = Non
     return found
 
 
+def _reach_sets(steps: DataFrame, own: DataFrame) -> DataFrame:
+    """``part, word, bits``: the numbers of all nodes that a place reaches, its own included, 64 of them a row."""
+    known = frontier = own
+    while not frontier.isEmpty():
+        met = frontier.withColumnRenamed("part", "target").join(steps, "target").groupBy(F.col("source").alias("part"), "word").agg(F.bit_or("bits").alias("bits"))
+        before = known.select(F.col("part").alias("p"), F.col("word").alias("w"), F.col("bits").alias("had"))
+        fresh = met.join(before, (F.col("part") == F.col("p")) & (F.col("word") == F.col("w")), "left")
+        frontier = cut(fresh.select("part", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0"))
+        known = cut(known.union(frontier).groupBy("part", "word").agg(F.bit_or("bits").alias("bits")))
+    return known
+
+
 def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, reached, reaching``: the other nodes that a node reaches, and those that reach it.
 
-    The nodes of a strong component reach the same, so each component is one place with a size, and
-    one search over the places answers both counts.
+    The nodes of a strong component reach the same, so each component is one place. What a place reaches
+    is a set of bits, 64 consecutive numbers of nodes a row: numbers follow the component without
+    directions and the name, so that nodes reached together lie in few rows. Sets are handed against
+    the steps, only what is new each round, and with them for the second count; no row is a pair.
     """
-    every = nodes.select("node_id").union(edges.select("source")).union(edges.select("target")).distinct()
-    parts = cut(every.join(strong_components(edges), F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("part")))
+    every = nodes.select("node_id").union(edges.select("source")).union(edges.select("target")).where("node_id is not null").distinct()
+    parts = every.join(strong_components(edges), F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("part"))
+    parts = cut(in_order(weak_components(parts, edges).join(parts, "node_id"), "component", "part", "node_id", name="number"))
     of = lambda column: parts.select(F.col("node_id").alias(column), F.col("part").alias(f"{column}_part"))
     steps = edges.join(of("source"), "source").join(of("target"), "target").where("source_part <> target_part")
     steps = cut(steps.select(F.col("source_part").alias("source"), F.col("target_part").alias("target")).distinct())
-    sizes = cut(parts.groupBy("part").agg(F.count("*").alias("size")))
-    met = cut(reachability(steps, sizes.select(F.col("part").alias("node_id"))).select("root", "node_id"))
-    reached = met.join(sizes, F.col("node_id") == F.col("part")).groupBy(F.col("root").alias("part")).agg(F.sum("size").alias("reached"))
-    reaching = met.join(sizes, F.col("root") == F.col("part")).groupBy(F.col("node_id").alias("part")).agg(F.sum("size").alias("reaching"))
-    found = sizes.join(reached, "part", "left").join(reaching, "part", "left").fillna(0)
-    found = found.select("part", (F.col("reached") + F.col("size") - 1).alias("reached"), (F.col("reaching") + F.col("size") - 1).alias("reaching"))
-    return parts.join(found, "part").select("node_id", "reached", "reaching")
+    bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
+    own = cut(parts.groupBy("part", F.floor(F.col("number") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    count = lambda sets, name: sets.groupBy("part").agg((F.sum(F.bit_count("bits")) - 1).alias(name))
+    reached = count(_reach_sets(steps, own), "reached")
+    reaching = count(_reach_sets(steps.select(F.col("target").alias("source"), F.col("source").alias("target")), own), "reaching")
+    return parts.join(reached, "part").join(reaching, "part").select("node_id", "reached", "reaching")
 
 
 def shortest_paths(reached: DataFrame) -> DataFrame:
@@ -76,65 +93,147 @@ def shortest_paths(reached: DataFrame) -> DataFrame:
             return done
 
 
-def spanning_forest(nodes: DataFrame, both: DataFrame) -> DataFrame:
-    """``node_id, root, depth, parent``: breadth-first trees from the least node of every component; roots have a null parent."""
-    labels = connected_components(both, "u", "v")
-    seen = cut(labels.where("node = component").select(F.col("node").alias("node_id"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    frontier, depth = seen, 0
-    while not frontier.isEmpty():
-        depth += 1
-        near = frontier.join(both, F.col("node_id") == F.col("u")).groupBy(F.col("v").alias("n")).agg(F.min("root").alias("root"), F.min("node_id").alias("parent"))
-        frontier = cut(near.join(seen.select(F.col("node_id").alias("n")), "n", "left_anti").select(F.col("n").alias("node_id"), "root", F.lit(depth).alias("depth"), "parent"))
-        seen = seen.union(frontier)
-        if depth % 4 == 0:
-            seen = cut(seen)
-    return seen
+def _joins(parent: dict, pdf: pd.DataFrame) -> list[bool]:
+    """Whether each edge joins what those before it, and ``parent``, have not joined."""
+    keep = []
+    for a, b in zip(pdf["u"], pdf["v"], strict=True):
+        ends = []
+        for x in (a, b):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            ends.append(x)
+        keep.append(ends[0] != ends[1])
+        parent[max(ends)] = min(ends)
+    return keep
+
+
+def _forest_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pdf[_joins({}, pdf)]
+
+
+def _whole_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict = {}
+    kept = [pdf[_joins(parent, pdf)] for pdf in frames]
+    for pdf in kept:
+        roots = []
+        for x in pdf["u"]:
+            while parent[x] != x:
+                x = parent[x]
+            roots.append(x)
+        yield pdf.assign(tree=roots)
+
+
+def spanning_forest(pairs: DataFrame, most: int = 200_000) -> DataFrame:
+    """``u, v, tree``: the edges of a spanning forest of distinct ``pairs`` with u < v, and the name of their tree.
+
+    A batch's superfluous edges go first; up to ``most`` edges are then joined by one task. Beyond that,
+    each round every tree takes the least of its edges to
+    others, by a hash, and the trees that are so joined become one, found by pointers that double their
+    steps: the rounds grow with the logarithm of the nodes, whatever the depth.
+    """
+    kind = pairs.schema["u"].dataType.simpleString()
+    near = cut(pairs.mapInPandas(_forest_edges, f"u {kind}, v {kind}"))
+    if near.limit(most + 1).count() <= most:
+        return cut(near.coalesce(1).mapInPandas(_whole_forest, f"u {kind}, v {kind}, tree {kind}"))
+    links = cut(near.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct(F.xxhash64("u", "v").alias("w"), "u", "v").alias("e")))
+    forest, names = None, None
+    while not links.isEmpty():
+        ways = links.union(links.select("b", "a", "e"))
+        taken = cut(ways.groupBy("a").agg(F.min(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.e").alias("e")))
+        new = taken.select("e.u", "e.v").distinct()
+        forest = new if forest is None else forest.union(new)
+        # Both ends of a tree's least edge may take it; the lesser one is then the root.
+        back = taken.select(F.col("a").alias("ba"), F.col("b").alias("bb"))
+        up = cut(lookup(taken, back, "b = ba").select(F.col("a").alias("at"), F.when((F.col("bb") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("up")))
+        while True:
+            far = up.select(F.col("at").alias("mid"), F.col("up").alias("far"))
+            grown = cut(lookup(up, far, "up = mid").select("at", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")))
+            up = grown.select("at", "up")
+            if grown.where("moved").isEmpty():
+                break
+        of = lambda one, root: up.select(F.col("at").alias(one), F.col("up").alias(root))
+        names = up if names is None else cut(lookup(names, of("mid", "far"), "up = mid").select("at", F.coalesce("far", "up").alias("up")))
+        moved = lookup(lookup(links, of("ax", "ra"), "a = ax"), of("bx", "rb"), "b = bx").where("ra <> rb")
+        links = cut(moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e")))
+    if forest is None:
+        return pairs.select("u", "v", F.col("u").alias("tree")).limit(0)
+    return cut(lookup(forest, names, "u = at").select("u", "v", F.col("up").alias("tree")))
+
+
+def euler_tour(forest: DataFrame) -> DataFrame:
+    """``child, parent, first, last``: each tree edge by its lower end, with the places at which a walk around its tree goes down and comes back.
+
+    The walk leaves a node by the neighbour after the one that it came from, and starts at the tree's
+    first arc in order. Arcs are ranked by pointers that double their steps. Places have no gaps over all trees,
+    and those of a node's subtree lie between its own two.
+    """
+    arcs = forest.select("tree", F.col("u").alias("a"), F.col("v").alias("b")).union(forest.select("tree", "v", "u"))
+    arcs = cut(in_order(arcs, "tree", "a", "b", name="i"))
+    ends = arcs.groupBy("tree", "a").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+    head = arcs.groupBy(F.col("tree").alias("t")).agg(F.min("i").alias("head"), F.count("*").alias("n"))
+    back = arcs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("i").alias("j"))
+    turned = arcs.join(back, (F.col("a") == F.col("y")) & (F.col("b") == F.col("x"))).join(ends.select(F.col("a").alias("at"), "low", "high"), F.col("b") == F.col("at"))
+    after = turned.select("tree", "i", F.when(F.col("j") == F.col("high"), F.col("low")).otherwise(F.col("j") + 1).alias("next"))
+    # The arc that would lead back to the head is a tree's last; its steps to the end are 0.
+    ranks = cut(lookup(after, head, "tree = t").select("i", F.when(F.col("next") != F.col("head"), F.col("next")).alias("next")).withColumn("steps", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long")))
+    while not ranks.where("next is not null").isEmpty():
+        far = ranks.select(F.col("i").alias("k"), F.col("next").alias("then"), F.col("steps").alias("more"))
+        ranks = cut(ranks.join(far, F.col("next") == F.col("k"), "left").select("i", F.col("then").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    placed = lookup(arcs.join(ranks.select("i", "steps"), "i"), head, "tree = t").select("a", "b", (F.col("head") + F.col("n") - 1 - F.col("steps")).alias("place"))
+    edges = placed.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min(F.struct("place", "a", "b")).alias("down"), F.max("place").alias("last"))
+    return edges.select(F.col("down.b").alias("child"), F.col("down.a").alias("parent"), F.col("down.place").alias("first"), "last")
+
+
+def _extremes(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``child, low, high``: the least ``lo`` and greatest ``hi`` of ``values`` (``place, lo, hi``) with a place in ``first``..``last`` of ``ranges``.
+
+    Values of 2, 4, 8 ... consecutive places are made from those of half as many; a range is two of them.
+    """
+    asked = cut(ranges.select("child", "first", "last", F.floor(F.log2(F.col("last") - F.col("first") + 1) + 1e-9).cast("int").alias("level")))
+    top = asked.agg(F.max("level")).first()[0]
+    found, table = None, values
+    for level in range((top or 0) + 1):
+        if level:
+            half = 1 << (level - 1)
+            table = cut(table.select(F.explode(F.array("place", F.col("place") - half)).alias("place"), "lo", "hi").groupBy("place").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        here = asked.where(F.col("level") == level).select("child", F.explode(F.array("first", F.col("last") - (1 << level) + 1)).alias("place"))
+        one = here.join(table, "place").groupBy("child").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
+        found = one if found is None else found.union(one)
+    return found
 
 
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def articulation_points(nodes: DataFrame, edges: DataFrame, most: int = 200_000) -> DataFrame:
     """``node_id`` of the nodes whose removal parts their component.
 
-    Works on any spanning forest, so without an order of visits: two tree edges are in one
-    biconnected block when a chain of fundamental cycles joins them. Every non-tree edge joins the tree
-    edges on its cycle; a node is an articulation point if its tree edges, each named by its lower
-    end, are in two blocks or more. Cycles climb level by level to their meeting point, so the rounds
-    follow the depth of the breadth-first trees.
+    Works on any spanning forest. Two tree edges, each named by its lower end, are in one biconnected
+    block when a chain of fundamental cycles joins them; enough of that relation is given by two kinds of
+    pairs: the ends of an edge outside the forest of which none is above the other, and a tree edge with the one above it if an edge
+    from below leads out of the upper end's subtree. What is below a node is told by its places on a walk
+    around the tree, and how far its edges lead by extremes over these places; so all rounds grow with
+    the logarithm of the nodes (``most`` is that of ``spanning_forest``). A node is an articulation point if its tree edges are in two blocks or more.
     """
     both = cut(undirected(edges))
     if both.isEmpty():
         return nodes.select("node_id").limit(0)
-    tree = cut(spanning_forest(nodes, both))
-    up = tree.where("parent is not null").select(F.col("node_id").alias("c"), F.col("parent").alias("p"))
-    depth = tree.select(F.col("node_id").alias("dn"), F.col("depth").alias("d"))
-    tree_pairs = up.select(F.least("c", "p").alias("u"), F.greatest("c", "p").alias("v"))
-    extra = both.where("u < v").join(tree_pairs, ["u", "v"], "left_anti")
-    # A climb: two ends and the lower end of the tree edge last joined; climb the deeper end.
-    climb = (
-        extra.join(depth.select(F.col("dn").alias("u"), F.col("d").alias("du")), "u")
-        .join(depth.select(F.col("dn").alias("v"), F.col("d").alias("dv")), "v")
-        .select("u", "v", "du", "dv", F.lit(None).cast("string").alias("last"))
-    )
-    climb = cut(climb)
-    joined = None
-    parent_of = up.select(F.col("c").alias("low"), F.col("p").alias("high"))
-    while not climb.isEmpty():
-        left = F.col("du") >= F.col("dv")
-        moved = climb.withColumn("low", F.when(left, F.col("u")).otherwise(F.col("v"))).join(parent_of, "low")
-        links = moved.where("last is not null and last <> low").select(F.col("last").alias("a"), F.col("low").alias("b"))
-        joined = links if joined is None else joined.union(links)
-        climb = moved.select(
-            F.when(left, F.col("high")).otherwise(F.col("u")).alias("u"), F.when(left, F.col("v")).otherwise(F.col("high")).alias("v"),
-            F.when(left, F.col("du") - 1).otherwise(F.col("du")).alias("du"), F.when(left, F.col("dv")).otherwise(F.col("dv") - 1).alias("dv"), F.col("low").alias("last"),
-        )
-        climb = cut(climb.where("u <> v").distinct())
-        joined = cut(joined.distinct())
-    if joined is None:
-        blocks = up.select("c", F.col("c").alias("block"))
-    else:
-        same = connected_components(joined, "a", "b")
-        blocks = up.select("c").join(same, F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("block"))
-    tree_edges = up.join(blocks, "c")
-    ends = tree_edges.select(F.col("c").alias("node_id"), "block").union(tree_edges.select(F.col("p"), "block"))
+    pairs = both.where("u < v")
+    forest = spanning_forest(pairs, most)
+    tour = cut(euler_tour(forest))
+    # A root is not below any edge: it has a place before, and none after, all of its tree.
+    span = tour.select(F.col("child").alias("n"), F.col("first").alias("f"), F.col("last").alias("l"))
+    extra = cut(pairs.join(forest.select("u", "v"), ["u", "v"], "left_anti"))
+    of = lambda end: span.select(F.col("n").alias(end), F.col("f").alias(f"{end}f"), F.col("l").alias(f"{end}l"))
+    placed = cut(extra.join(of("u"), "u", "left").join(of("v"), "v", "left"))
+    reach = placed.select(F.col("uf").alias("place"), F.coalesce("vf", F.lit(-1)).alias("to")).union(placed.select("vf", F.coalesce("uf", F.lit(-1)))).where("place is not null")
+    own = tour.select(F.col("first").alias("place"), F.col("first").alias("to"))
+    values = cut(reach.union(own).groupBy("place").agg(F.min("to").alias("lo"), F.max("to").alias("hi")))
+    far = _extremes(values, tour)
+    above = lookup(tour.select("child", "parent"), span, "parent = n", how="inner").join(far, "child")
+    upward = above.where((F.col("low") < F.col("f")) | (F.col("high") > F.col("l"))).select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    aside = placed.where("uf is not null and vf is not null and (ul < vf or vl < uf)").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    same = connected_components(cut(upward.union(aside)), "a", "b")
+    tree_edges = tour.select("child", "parent").join(same, F.col("child") == F.col("node"), "left").select("child", "parent", F.coalesce("component", "child").alias("block"))
+    ends = tree_edges.select(F.col("child").alias("node_id"), "block").union(tree_edges.select("parent", "block"))
     return ends.groupBy("node_id").agg(F.countDistinct("block").alias("n")).where("n > 1").select("node_id")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.operators.graph_algo import degrees, reachability, shortest_paths
+from lantern.operators.graph_algo import degrees, reachability
 from lantern.runtime import cut
 
 FEATURES = (
@@ -72,11 +72,24 @@ def graph_scores(nodes: DataFrame, edges: DataFrame, anomalies: DataFrame, issue
 
 
 def propagation_paths(edges: DataFrame, problems: DataFrame) -> DataFrame:
-    """``node_id, path``: shortest paths from each node to all problems that it reaches, one after the other, every node once."""
-    reached = reachability(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), problems)
-    steps = shortest_paths(reached).where("root <> node_id").select("node_id", "root", F.posexplode(F.reverse("path")).alias("k", "at"))
-    # Of each node on the paths only its first place is gathered, so a group is no longer than what it gives.
-    first = steps.groupBy("node_id", "at").agg(F.min(F.struct("root", "k")).alias("place"))
+    """``node_id, path``: shortest paths from each node to all problems that it reaches, one after the other, every node once.
+
+    All paths are walked at once, a step a round, and only where a walk is and the first place of each
+    node met so far are kept. As a problem that a node reaches is on its path, neither has more rows than
+    the paths that are given have nodes.
+    """
+    reached = cut(reachability(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), problems).where("root <> node_id"))
+    parents = reached.select(F.col("root").alias("__r"), F.col("node_id").alias("__n"), F.col("parent").alias("__p"))
+    walks, k = reached.select("node_id", "root", F.col("node_id").alias("at")), 0
+    first = None
+    while True:
+        met = walks.groupBy("node_id", "at").agg(F.min(F.struct("root", F.lit(k).alias("k"))).alias("place"))
+        first = cut(met if first is None else first.union(met).groupBy("node_id", "at").agg(F.min("place").alias("place")))
+        walks = walks.where("at <> root")
+        walks = cut(walks.join(parents, F.expr("root = __r and at = __n")).select("node_id", "root", F.col("__p").alias("at")))
+        if walks.isEmpty():
+            break
+        k += 1
     gathered = first.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("p"))
     return gathered.select("node_id", F.transform("p", lambda x: x["at"]).alias("path"))
 

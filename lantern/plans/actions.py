@@ -12,7 +12,7 @@ from lantern.operators import remediation as E
 from lantern.operators import rootcause as C
 from lantern.operators import suggest as R
 from lantern.plans.base import query, relation
-from lantern.plans.graphs import ALL_SQL, CYCLES, geo
+from lantern.plans.graphs import ALL_SQL, CYCLES, TEAM_CYCLES, geo
 from lantern.runtime import cut
 
 
@@ -82,6 +82,20 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.weakest_cycle_edge(edges, issues, 4).withColumn("impact", F.col("impact").cast("long"))
 
 
+@query(
+    "r03_team_weakest_edges",
+    f"""with recursive {TEAM_CYCLES}, cyc as (select array_to_string(nodes, '|') as cycle, nodes from p join t on t.source = p.at and t.target = nodes[1]),
+        e as (select cycle, i as pos, nodes[i] as source, nodes[case when i = len(nodes) then 1 else i + 1 end] as target from (select *, unnest(generate_series(1, len(nodes))) as i from cyc) x),
+        sp as (select [source, target] as nodes, target as at from t union all select list_append(nodes, t.target), t.target from sp join t on t.source = sp.at where not list_contains(nodes, t.target)),
+        im as (select nodes[i] as source, nodes[i + 1] as target, count(*) as impact from (select nodes, unnest(generate_series(1, len(nodes) - 1)) as i from sp) z group by 1, 2)
+        select cycle, source, target, cast(impact as bigint) as impact from (select e.*, im.impact, row_number() over (partition by cycle order by impact, pos) as r from e join im using (source, target)) y where r = 1""",
+)
+def r03_team(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = relation(spark, sf_dir, "team_edges")
+    issues = D.all_circular_dependencies(edges).select(F.array_join("affected_nodes", "|").alias("cycle"), F.posexplode("affected_edges").alias("at", "e")).select("cycle", "at", "e.source", "e.target")
+    return R.weakest_cycle_edge(edges, issues).withColumn("impact", F.col("impact").cast("long"))
+
+
 @query(
     "r04_orphan_connections",
     """with o as (select node_id from {geo_nodes} where node_id not in (select source from {geo_edges}) and node_id not in (select target from {geo_edges}))

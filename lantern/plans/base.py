@@ -86,6 +86,10 @@ RELATIONS = {
         select distinct 'ns' || c.n_regionkey || '/customer-' || o_custkey as source, 'ns' || s.n_regionkey || '/supplier-' || l_suppkey as target
         from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {nation} c on c_nationkey = c.n_nationkey
         join {supplier} on l_suppkey = s_suppkey join {nation} s on s_nationkey = s.n_nationkey""",
+    # customers in teams of eight that call each other by their urgent orders: rings of up to eight nodes, whose number grows with the orders
+    "team_edges": """
+        select distinct 'c-' || o_custkey as source, 'c-' || (cast(floor(o_custkey / 8) as bigint) * 8 + cast(floor(o_orderkey / 3) as bigint) % 8) as target
+        from {orders} where o_orderpriority like '1%'""",
     # manifests: a service per nation, a deployment per supplier, config and secret per region
     "svc": """
         select n_nationkey as k, cast(n_nationkey as bigint) as seq, 'ns' || n_regionkey as namespace, 'nation-' || n_nationkey as name,

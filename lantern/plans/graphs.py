@@ -341,6 +341,20 @@ def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(D.all_circular_dependencies(relation(spark, sf_dir, "trade_edges"), 4))
 
 
+TEAM_CYCLES = "t as (select source, target from {team_edges} where source <> target), p as (select [source, target] as nodes, target as at from t where source < target union all select list_append(nodes, t.target), t.target from p join t on t.source = p.at where t.target > nodes[1] and not list_contains(nodes, t.target))"
+
+
+@query("d02_team_cycles", f"with recursive {TEAM_CYCLES} {SQL_D2.replace(' where len(nodes) <= 4', '')}")
+def d02_team(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(D.all_circular_dependencies(relation(spark, sf_dir, "team_edges")))
+
+
+@query("d02_trade_cycles")
+def d02_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of any length of the dense graph of trade: up to 500 from an edge, and its component if there are more."""
+    return _issues(D.all_circular_dependencies(relation(spark, sf_dir, "trade_edges"), most=500))
+
+
 @query("d03_orphaned_services", SQL_D3)
 def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(D.orphaned_services(*geo(spark, sf_dir)))

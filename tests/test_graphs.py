@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lantern.operators import checks, graph_algo, graph_build
+from lantern.operators import checks, cycles, graph_algo, graph_build
 from lantern.operators.components import connected_components, union_find
 from lantern.sources import readers
 
@@ -175,3 +175,135 @@ def test_reach_counts(spark):
     nodes = spark.createDataFrame([(n,) for n in names], "node_id string")
     found = {r["node_id"]: (r["reached"], r["reaching"]) for r in graph_algo.reach_counts(nodes, spark.createDataFrame(sorted(pairs), "source string, target string")).collect()}
     assert found == {n: (len(reach[n]), sum(n in own for own in reach.values())) for n in names}
+
+
+def rings(pairs, nodes):
+    """All simple cycles by plain search, each from its least node."""
+    out = {a: sorted(b for x, b in pairs if x == a and a != b) for a in nodes}
+    found = []
+
+    def walk(path):
+        for b in out[path[-1]]:
+            if b == path[0]:
+                found.append(tuple(path))
+            elif b > path[0] and b not in path:
+                walk([*path, b])
+
+    for a in nodes:
+        walk([a])
+    return [p for p in found if len(p) > 1]
+
+
+@pytest.mark.parametrize("seed,n,m", [(1, 9, 24), (2, 12, 26), (3, 7, 42), (4, 14, 22)])
+def test_cycles_of_any_length_by_brute_force(spark, seed, n, m):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(n, n + 1), (n + 1, n), (n + 1, n + 2)}
+    want = sorted(tuple(f"n{i:02d}" for i in p) for p in rings(pairs, range(n + 3)))
+    edges = graph(spark, n + 3, pairs)[1]
+    found, members, rest = cycles.list_cycles(edges)
+    assert sorted(tuple(r["nodes"]) for r in found.collect()) == want and members.isEmpty() and rest.isEmpty()
+
+
+def test_dense_cycles_end_by_a_reported_bound(spark):
+    """Eight nodes that all call each other, and a ring: each first edge lists its cycles, and only what was not listed whole is reported."""
+    pairs = [(a, b) for a in range(8) for b in range(8) if a != b] + [(8, 9), (9, 10), (10, 8)]
+    edges = graph(spark, 11, pairs)[1]
+    every = [tuple(f"n{i:02d}" for i in p) for p in rings(pairs, range(11))]
+    starts = {p[:2]: sum(q[:2] == p[:2] for q in every) for p in every}
+    for most in (20, 1_957, 1_956):
+        found, members, _ = cycles.list_cycles(edges, most)
+        rows = [tuple(r["nodes"]) for r in found.collect()]
+        assert len(rows) == len(set(rows)) == sum(min(n, most) for n in starts.values()) and set(rows) <= set(every)
+        assert [r["members"] for r in members.collect()] == ([[f"n{i:02d}" for i in range(8)]] if max(starts.values()) > most else [])
+    text = [r["description"] for r in checks.all_circular_dependencies(edges, most=20).collect() if "listed_per_edge" in r["metadata"]]
+    assert text == ["Circular dependency detected: more than 20 cycles from one edge among 8 services: " + ", ".join(f"n{i:02d}" for i in range(8))]
+
+
+def test_large_components_are_searched_by_joins(spark):
+    pairs = [(0, 1), (1, 2), (2, 0), (1, 0), (3, 4), (4, 3)]
+    found, members, rest = cycles.list_cycles(graph(spark, 5, pairs)[1], most_edges=2)
+    assert [r["nodes"] for r in found.collect()] == [["n03", "n04"]] and members.isEmpty()
+    assert {tuple(r["nodes"]) for r in graph_algo.simple_cycles(rest)[0].collect()} == {("n00", "n01"), ("n00", "n01", "n02")}
+
+
+def test_no_cycles(spark):
+    none = spark.createDataFrame([], "source string, target string")
+    assert [x.count() for x in cycles.list_cycles(none)] == [0, 0, 0]
+    odd = spark.createDataFrame([("a", "a"), ("a", None), (None, "b"), ("a", "b"), ("a", "b")], "source string, target string")
+    assert checks.all_circular_dependencies(odd).count() == 0
+
+
+def test_blocks_of_a_forest_joined_in_rounds(spark):
+    """A sparse graph of several trees and rings, against deletion of each node; no edges are joined by one task."""
+    rng = random.Random(20)
+    n = 40
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(44)]
+    found = {int(r["node_id"][1:]) for r in graph_algo.articulation_points(*graph(spark, n, pairs), most=0).collect()}
+    simple = [(a, b) for a, b in pairs if a != b]
+    alone = set(range(n)) - {x for p in simple for x in p}
+    base = parts(n, simple)
+    assert found == {i for i in range(n) if i not in alone and parts(n, simple, i) > base}
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    """5,000 nodes in a row, a ring at its end: the cuts grow with the logarithm, not with the depth."""
+    n, calls = 5_000, []
+    plain = graph_algo.cut
+    monkeypatch.setattr(graph_algo, "cut", lambda df: calls.append(1) or plain(df))
+    pairs = [(f"p{i:05d}", f"p{i + 1:05d}") for i in range(n - 1)] + [(f"p{n - 1:05d}", f"p{n - 4:05d}")]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    nodes = edges.selectExpr("source as node_id").union(edges.selectExpr("target")).distinct()
+    found = sorted(r[0] for r in graph_algo.articulation_points(nodes, edges).collect())
+    assert found == [f"p{i:05d}" for i in range(1, n - 3)] and len(calls) < 120
+
+
+def test_walk_around_trees(spark):
+    """Places of a subtree lie between its root's two, without gaps over all trees."""
+    pairs = [("a", "b"), ("a", "c"), ("c", "d"), ("c", "e"), ("x", "y")]
+    rows = graph_algo.euler_tour(graph_algo.spanning_forest(spark.createDataFrame(pairs, "u string, v string"))).collect()
+    at = {r["child"]: (r["first"], r["last"]) for r in rows}
+    assert sorted(p for pair in at.values() for p in pair) == list(range(1, 11))
+    assert len(rows) == 5 and {frozenset((r["child"], r["parent"])) for r in rows} == {frozenset(p) for p in pairs}
+    for r in rows:
+        if r["parent"] in at:
+            assert at[r["parent"]][0] < at[r["child"]][0] < at[r["child"]][1] < at[r["parent"]][1]
+
+
+def test_reach_counts_of_many_nodes(spark):
+    """More nodes than a row of bits holds: a chain into a hub with a ring, and leaves of the hub."""
+    pairs = [(i, i + 1) for i in range(70)] + [(70, 71), (71, 70)] + [(71, i) for i in range(72, 250)]
+    nodes, edges = graph(spark, 251, pairs)
+    found = {int(r["node_id"][1:]): (r["reached"], r["reaching"]) for r in graph_algo.reach_counts(nodes, edges).collect()}
+    want = {i: (249 - i, i) for i in range(70)} | {70: (179, 71), 71: (179, 71)} | {i: (0, 72) for i in range(72, 250)} | {250: (0, 0)}
+    assert found == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_propagation_paths_by_plain_search(spark, seed):
+    """Every node of the shortest paths once, at its first place, problems in order, of equal parents the least."""
+    from lantern.operators import rootcause
+
+    rng = random.Random(seed)
+    n = 12
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(22)}
+    name = "n{:02d}".format
+    problems = sorted(rng.sample(range(n), 4))
+    into = {b: [a for a, x in pairs if x == b] for b in range(n)}
+    want: dict = {}
+    for root in problems:
+        up, level, seen = {}, [root], {root}
+        while level:
+            later = sorted({a for b in level for a in into[b]} - seen)
+            for a in later:
+                up[a] = min(b for b in level if a in into[b])
+            seen |= set(later)
+            level = later
+        for a in up:
+            path = [a]
+            while path[-1] != root:
+                path.append(up[path[-1]])
+            want.setdefault(name(a), []).extend(name(x) for x in path)
+    want = {a: list(dict.fromkeys(p)) for a, p in want.items()}
+    roots = spark.createDataFrame([(name(x),) for x in problems], "node_id string")
+    found = {r["node_id"]: r["path"] for r in rootcause.propagation_paths(graph(spark, n, pairs)[1], roots).collect()}
+    assert found == want
