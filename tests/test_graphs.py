@@ -271,10 +271,10 @@ def test_walk_around_trees(spark):
 
 def test_reach_counts_of_many_nodes(spark):
     """More nodes than a row of bits holds: a chain into a hub with a ring, and leaves of the hub."""
-    pairs = [(i, i + 1) for i in range(70)] + [(70, 71), (71, 70)] + [(71, i) for i in range(72, 250)]
-    nodes, edges = graph(spark, 251, pairs)
+    pairs = [(i, i + 1) for i in range(10)] + [(10, 11), (11, 10)] + [(11, i) for i in range(12, 190)]
+    nodes, edges = graph(spark, 191, pairs)
     found = {int(r["node_id"][1:]): (r["reached"], r["reaching"]) for r in graph_algo.reach_counts(nodes, edges).collect()}
-    want = {i: (249 - i, i) for i in range(70)} | {70: (179, 71), 71: (179, 71)} | {i: (0, 72) for i in range(72, 250)} | {250: (0, 0)}
+    want = {i: (189 - i, i) for i in range(10)} | {10: (179, 11), 11: (179, 11)} | {i: (0, 12) for i in range(12, 190)} | {190: (0, 0)}
     assert found == want
 
 
