@@ -26,19 +26,27 @@ def _score(count: int, expected: float) -> float:
     return 0.0 if ratio <= 1 else min(1.0, (ratio - 1) / 9)
 
 
-def stream_pattern_anomalies(logs: DataFrame, patterns: Sequence[L.LogPattern] = L.DEFAULT_PATTERNS, delay: str | None = None, by: Sequence[str] = ("pattern_name",)) -> DataFrame:
+def stream_pattern_anomalies(logs: DataFrame, patterns: Sequence[L.LogPattern] = L.DEFAULT_PATTERNS, delay: str | None = None, by: Sequence[str] = ("pattern_name",), slots: int = 16) -> DataFrame:
     """Anomalies of lines as they come: the exact trailing count of each line's pattern, and its score.
 
     A line counts those of its pattern in [t - window, t] that have come up to it; lines of one batch come
-    in the order of time and ``seq``. The state of a pattern is the distinct times, in order, of the
-    lines that a later one may count, with their numbers: those from a window before the watermark on.
+    in the order of time and ``seq``. Time is cut into buckets of a window's length, dealt in turn to
+    ``slots``: a line goes to the slot of its own bucket, which counts it, and to that of the next, whose
+    lines may count it. So a batch of a frequent pattern, as when a stream catches up, goes to many tasks,
+    and no state holds a whole pattern. The state of a slot is the distinct times, in order, of the lines
+    that a later one may count, with their numbers: those from a window before the watermark on.
+
     A line older than the watermark, by default the longest window behind, is dropped and counted in
-    ``n_late`` of the next anomaly; state has no timeout, as Spark would drop such lines unseen. ``by``
-    may add the service for more parallel keys, which makes the counts per service.
+    ``n_late`` of its slot's next anomaly; state has no timeout, as Spark would drop such lines unseen, and
+    a slot comes round again. ``by`` may add the service for more parallel keys, which makes the counts per service.
     """
     known = {p.name: p for p in patterns}
     wait = delay or f"{max(p.window_seconds for p in patterns)} seconds"
-    rows = L.match_patterns(logs, patterns).select("pattern_name", "service", "seq", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", wait)
+    rows = L.match_patterns(logs, patterns).select("pattern_name", "service", "seq", F.col("ts").cast("timestamp").alias("ts"), "window_seconds").withWatermark("ts", wait)
+    bucket = F.floor(F.unix_micros("ts") / (F.greatest("window_seconds", F.lit(1)) * 1_000_000)).cast("long")
+    slot = lambda b: F.pmod(b, F.lit(slots)).cast("int")
+    dealt = rows.withColumn("home", slot(bucket)).withColumn("slot", F.explode(F.array_distinct(F.array(slot(bucket), slot(bucket + 1)))))
+    dealt = dealt.select("pattern_name", "service", "seq", "ts", (F.col("home") == F.col("slot")).alias("own"), "slot")
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p = known[key[0]]
@@ -47,14 +55,14 @@ def stream_pattern_anomalies(logs: DataFrame, patterns: Sequence[L.LogPattern] =
         mark, window = state.getCurrentWatermarkMs() * 1000, p.window_seconds * 1_000_000
         pdf = pd.concat(list(frames)).sort_values(["ts", "seq"])
         us = ((pdf["ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)).to_numpy(dtype=np.int64)
-        late += int((us < mark).sum())
+        late += int(((us < mark) & pdf["own"]).sum())
         pdf, us = pdf[us >= mark], us[us >= mark]
         before = np.concatenate([[0], np.cumsum(numbers)])
         old = before[np.searchsorted(times, us, "right")] - before[np.searchsorted(times, us - window, "left")]
         own = np.arange(1, len(us) + 1) - np.searchsorted(us, us - window, "left")
         n = np.minimum(old + own, L.MAX_HISTORY + 1)
         score = np.array([_score(int(x), p.threshold) for x in n])
-        out = pdf[["service", "seq", "ts"]].assign(pattern_name=p.name, count=n, score=score, severity=p.severity, n_late=0)[score > 0]
+        out = pdf[["service", "seq", "ts"]].assign(pattern_name=p.name, count=n, score=score, severity=p.severity, n_late=0)[(score > 0) & pdf["own"].to_numpy(dtype=bool)]
         if len(out):
             out.iloc[0, out.columns.get_loc("n_late")] = late
             late = 0
@@ -64,7 +72,7 @@ def stream_pattern_anomalies(logs: DataFrame, patterns: Sequence[L.LogPattern] =
         state.update((times[stays].tolist(), numbers[stays].tolist(), late))
         yield out[["pattern_name", "service", "seq", "ts", "count", "score", "severity", "n_late"]]
 
-    return rows.groupBy(*by).applyInPandasWithState(count, ANOMALY, "times array<long>, numbers array<long>, late long", "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy(*by, "slot").applyInPandasWithState(count, ANOMALY, "times array<long>, numbers array<long>, late long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_pattern_counts(logs: DataFrame, patterns: Sequence[L.LogPattern] = L.DEFAULT_PATTERNS, window: str = "300 seconds", slide: str = "30 seconds", delay: str = "300 seconds") -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams over batches that come out of order, sinks that fail, and marks that outlive a restart."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,30 @@ def test_lines_in_order_count_as_in_a_table(spark, tmp_path):
     assert {(r["seq"], r["count"]) for r in out} == {(r["seq"], r["count"]) for r in table} and len(out) == 50
 
 
+@pytest.mark.parametrize("slots", [1, 2, 3, 16])
+def test_counts_over_many_slots_equal_plain_loops(spark, tmp_path, slots):
+    draw = random.Random(slots)
+    # Ends of buckets, ties and lines a whole window apart are all there.
+    at = [draw.choice([300 * draw.randrange(8), 300 * draw.randrange(8) + draw.choice([-1, 1, 150]) + 1]) for _ in range(240)]
+    batches = [[(80 * b + i, at[80 * b + i]) for i in range(80)] for b in range(3)]
+    pattern = L.LogPattern(name="boom", regex="boom", severity=2, threshold=3.0, window_seconds=300)
+    stream = W.stream_pattern_anomalies(staged(spark, str(tmp_path / "in"), batches), [pattern], delay="10000 seconds", slots=slots)
+    out = _collect(stream).collect()
+    assert len(out) == len({r["seq"] for r in out}) and {r["seq"]: r["count"] for r in out} == trailing(batches, 300, 3.0)
+
+
+def test_no_slot_keeps_a_whole_pattern(spark, tmp_path):
+    # One batch over 64 windows, as of a stream that catches up: the second one finds what each slot kept.
+    batches = [[(i, i * 10) for i in range(64 * 30)], [(5000, 64 * 300)]]
+    pattern = L.LogPattern(name="boom", regex="boom", severity=2, threshold=3.0, window_seconds=300)
+    state = str(tmp_path / "state")
+    stream = W.stream_pattern_anomalies(staged(spark, str(tmp_path / "in"), batches), [pattern], delay="100000 seconds")
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.format("statestore").load(state).selectExpr("key.*", "value.*")
+    held = [r[0] for r in kept.selectExpr("aggregate(groupState.numbers, 0L, (a, x) -> a + x)").collect()]
+    assert len(held) == 16 and max(held) <= 2 * 64 * 30 / 16 + 1 and sum(held) == 2 * (64 * 30 + 1)
+
+
 def test_late_lines_are_counted(spark, tmp_path):
     pattern = L.LogPattern(name="boom", regex="boom", severity=2, threshold=0.5, window_seconds=300)
     batches = [[(1, 5000)], [(2, 5001)], [(3, 10), (4, 20)], [(5, 5002)]]
