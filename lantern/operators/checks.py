@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.operators.cycles import list_cycles
 from lantern.operators.graph_algo import articulation_points, cycle_search, degrees, unlisted_cycles, weak_components
-from lantern.runtime import cut, in_order
+from lantern.runtime import cut, in_order, lookup
 
 #: Fixed: parts of kinds and attribute names that the checks look for.
 DATABASE_PARTS = ("db", "database", "sql", "nosql", "redis", "memcached", "cache")
@@ -112,15 +112,23 @@ def high_fanin(nodes: DataFrame, edges: DataFrame, threshold: int = 10) -> DataF
     return _fan(nodes, edges, threshold, False)
 
 
-def network_partitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """An issue for each weak component if there are several, numbered by their first node."""
+def network_partitions(nodes: DataFrame, edges: DataFrame, most: int = 50_000) -> DataFrame:
+    """An issue for each weak component if there are several, numbered by their first node.
+
+    A component of more than ``most`` nodes gets an issue for each of its pieces, into which its nodes are
+    dealt by a hash of their id; such issues tell ``piece`` and ``pieces`` and have the component's index and
+    size. So no row and no task gets all nodes of a large component.
+    """
     parts = weak_components(nodes, edges).join(nodes.select("node_id", "seq"), "node_id")
-    first = in_order(parts.groupBy(F.col("component").alias("__c")).agg(F.min("seq").alias("first"), F.count("*").alias("n")), "first", "__c", name="i")
-    several = first.agg((F.count("*") > 1).alias("several"))
-    members = parts.groupBy("component").agg(F.array_sort(F.collect_list("node_id")).alias("members"))
-    numbered = members.join(first, F.col("component") == F.col("__c")).crossJoin(F.broadcast(several)).where("several")
+    sized = parts.groupBy(F.col("component").alias("__c")).agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    numbered = in_order(sized, "first", "__c", name="i").withColumn("pieces", F.ceil(F.col("n") / most).cast("long"))
+    several = numbered.limit(2).count() > 1
+    dealt = lookup(parts, numbered, "component = __c", how="inner").withColumn("piece", F.pmod(F.xxhash64("node_id"), F.col("pieces")))
+    found = dealt.where(F.lit(several)).groupBy("component", "piece").agg(F.array_sort(F.collect_list("node_id")).alias("members"), *[F.first(c).alias(c) for c in ("i", "n", "pieces")])
     text = F.concat(F.lit("Network partition detected: Component "), F.col("i").cast("string"), F.lit(" with "), F.col("n").cast("string"), F.lit(" services"))
-    return _issue(numbered, "network_partition", 3, text, F.col("members"), _meta(component_index=F.col("i") - 1, component_size=F.col("n")))
+    whole = _meta(component_index=F.col("i") - 1, component_size=F.col("n"))
+    told = F.when(F.col("pieces") > 1, F.map_concat(whole, _meta(piece=F.col("piece"), pieces=F.col("pieces")))).otherwise(whole)
+    return _issue(found, "network_partition", 3, text, F.col("members"), told)
 
 
 def _names_hold(column: str, parts: tuple[str, ...]) -> Column:

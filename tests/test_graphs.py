@@ -153,6 +153,21 @@ def test_four_documents(spark, tmp_path):
     assert counts == {"single_point_of_failure": 2, "missing_health_check": 3, "missing_autoscaling": 3}
 
 
+def test_partitions_in_bounded_pieces(spark):
+    nodes, edges = graph(spark, 90, [(i, i + 1) for i in range(59)] + [(70, 71), (71, 72)])
+    whole = {r["metadata"]["component_index"]: r for r in checks.network_partitions(nodes, edges).collect()}
+    pieces = checks.network_partitions(nodes, edges, most=10).collect()
+    # A chain of 60, one of 3, and 27 nodes alone.
+    assert len(whole) == 29 and all("piece" not in r["metadata"] for r in whole.values())
+    for index, one in whole.items():
+        own = [r for r in pieces if r["metadata"]["component_index"] == index]
+        assert sorted(x for r in own for x in r["affected_nodes"]) == sorted(one["affected_nodes"])
+        assert {r["description"] for r in own} == {one["description"]}
+        split = len(one["affected_nodes"]) > 10
+        assert all(("piece" in r["metadata"]) == split for r in own) and (len(own) > 1) == split
+    assert checks.network_partitions(*graph(spark, 3, [(0, 1), (1, 2)])).count() == 0
+
+
 def test_self_loop_is_no_orphan(spark):
     nodes, edges = graph(spark, 3, [(0, 0)])
     assert {r["affected_nodes"][0] for r in checks.orphaned_services(nodes, edges).collect()} == {"n01", "n02"}
