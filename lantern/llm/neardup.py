@@ -111,15 +111,15 @@ def _unit(vectors: pd.Series, kind, dim: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _pairs_in(rep, mult, side, keys, unit, at: int, between: bool, threshold: float):
-    """Linked pairs of one cell, and those that no earlier table has found."""
+def _pairs_in(rep, mult, side, keys, unit, between: bool, threshold: float):
+    """Linked pairs of one cell, and those that no earlier table, whose ``keys`` are given, has found."""
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
     if between:
         i, j = np.nonzero(unit[a] @ unit[b].T >= threshold)
         i, j = a[i], b[j]
     else:
         i, j = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
-    new = ~(keys[i, :at] == keys[j, :at]).any(axis=1)
+    new = ~(keys[i] == keys[j]).any(axis=1)
     links = np.zeros(len(rep), dtype=np.int64)
     np.add.at(links, i[new], mult[j[new]])
     np.add.at(links, j[new], mult[i[new]])
@@ -151,12 +151,13 @@ def _reranker(dim: int, width: int, kind, threshold: float):
             unit = _unit(done["vector"], kind, dim)
             rep, mult = done["rep"].to_numpy(), done["mult"].to_numpy()
             side, at = (done["cell"] != done["low"]).to_numpy().astype(int), done["at"].to_numpy()
-            keys = np.frombuffer(b"".join(done["codes"]), dtype=code).reshape(len(done), -1)
+            codes = done["codes"].tolist()
             two = (done["low"] != done["high"]).to_numpy()
             out = ([], [], [])
             for s, e in zip(bounds, bounds[1:], strict=False):
                 if e - s > 1:
-                    for have, new in zip(out, _pairs_in(rep[s:e], mult[s:e], side[s:e], keys[s:e], unit[s:e], int(at[s]), bool(two[s]), threshold), strict=True):
+                    keys = np.frombuffer(b"".join(codes[s:e]), dtype=code).reshape(e - s, int(at[s]))
+                    for have, new in zip(out, _pairs_in(rep[s:e], mult[s:e], side[s:e], keys, unit[s:e], bool(two[s]), threshold), strict=True):
                         have.extend(new)
             yield pd.DataFrame({"rep": out[0], "links": out[1], "root": out[2]}, dtype="int64")
 
@@ -180,7 +181,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row: links are pairs of one label with cosine >= ``threshold``.
 
-    Equal vectors of a label are first folded into one with a count. Rotations are learnt on at
+    Equal vectors of a label, told by 128 bits of hash, are first folded into one with a count. Rotations are learnt on at
     most ``sample`` rows (those of the least hash); signs of the rotated rows are codes, whose
     pieces are the keys of Hamming tables. Rows that meet in a bucket are compared by the cosine of
     their original vectors in double precision, so no pair below the threshold is linked; a pair
@@ -188,16 +189,18 @@ def near_duplicates(
     measures on the sample. Buckets over ``cell_rows`` are cut into cells that are compared cell by
     cell, so that no task gets a whole bucket and no pairs are emitted: each cell gives link counts
     and a forest. A pair counts in the first table in which it meets. A row goes once to each table
-    as its vector's and codes' bytes.
+    as the bytes of its vector and of its codes in earlier tables; its class finds it by the hash.
 
     Vectors that are null, zero or hold null or non-finite components, and null labels, link with
     nothing and are their own component. Repeated rows are vectors of their own and link with each
     other. Shorter vectors are padded with zeros. Extra columns are left out.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding"), F.col(label).cast("long").alias("label"))
+    rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit("second"), "embedding")})
+    same = ["label", "h1", "h2"]
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     valid = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).where((square > 0) & (square < float("inf")))
-    folded = cut(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    folded = cut(valid.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("embedding")))
     shape = folded.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.max(F.size("embedding")).alias("dim")).first()
     if not shape["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -209,6 +212,7 @@ def near_duplicates(
     sent = df.sparkSession.sparkContext.broadcast((rotations, tables))
     coded = folded.mapInPandas(_encoder(lambda: sent.value, width, kind, dim), "label long, rep long, mult long, vector binary, codes binary, buckets array<long>")
     placed = coded.select("label", "rep", "mult", "vector", "codes", F.posexplode("buckets").alias("at", "bucket"))
+    placed = placed.withColumn("codes", F.substring("codes", F.lit(1), F.col("at") * (2 if width < 16 else 4 if width < 32 else 8)))
     big = cut(placed.groupBy("label", "at", "bucket").count().where(F.col("count") > cell_rows).select(
         F.col("label").alias("__l"), F.col("at").alias("__a"), F.col("bucket").alias("__b"), F.ceil(F.col("count") / cell_rows).alias("cells")
     ))
@@ -224,9 +228,9 @@ def near_duplicates(
     per_rep = (
         folded.join(links, "rep", "left")
         .join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select(*same, (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = rows.join(per_rep, ["label", "embedding"], "left").select(
+    out = rows.drop("embedding").join(per_rep, same, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
