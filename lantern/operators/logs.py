@@ -29,16 +29,16 @@ class LogPattern:
 
 #: Fixed: the default catalogue.
 DEFAULT_PATTERNS = (
-    LogPattern("general_error", r"Error|Exception|Failed|Failure|Timeout", 3, 5.0, "General error pattern"),
-    LogPattern("memory_error", r"OutOfMemory|OOM|memory\s+usage|memory\s+limit", 4, 1.0, "Memory-related error"),
-    LogPattern("cpu_error", r"CPU\s+usage|CPU\s+limit|high\s+CPU", 3, 1.0, "CPU-related error"),
-    LogPattern("disk_error", r"Disk\s+full|no\s+space\s+left|storage\s+limit", 4, 1.0, "Disk-related error"),
-    LogPattern("connection_error", r"Connection\s+refused|Connection\s+reset|Connection\s+timeout", 3, 3.0, "Connection-related error"),
-    LogPattern("auth_error", r"Authentication\s+failed|Unauthorized|Permission\s+denied|Access\s+denied", 3, 3.0, "Authentication-related error"),
-    LogPattern("database_error", r"Database\s+error|SQL\s+error|query\s+failed", 4, 2.0, "Database-related error"),
-    LogPattern("http_5xx", r"5[0-9]{2}|HTTP\s+5[0-9]{2}", 3, 5.0, "HTTP 5xx error"),
-    LogPattern("http_4xx", r"4[0-9]{2}|HTTP\s+4[0-9]{2}", 2, 10.0, "HTTP 4xx error"),
-    LogPattern("crash", r"Crash|Panic|Fatal|Segmentation\s+fault|SIGSEGV", 5, 1.0, "Application crash"),
+    LogPattern("general_error", r"Error|Exception|Failed|Failure|Timeout", 3, 5.0),
+    LogPattern("memory_error", r"OutOfMemory|OOM|memory\s+usage|memory\s+limit", 4, 1.0),
+    LogPattern("cpu_error", r"CPU\s+usage|CPU\s+limit|high\s+CPU", 3, 1.0),
+    LogPattern("disk_error", r"Disk\s+full|no\s+space\s+left|storage\s+limit", 4, 1.0),
+    LogPattern("connection_error", r"Connection\s+refused|Connection\s+reset|Connection\s+timeout", 3, 3.0),
+    LogPattern("auth_error", r"Authentication\s+failed|Unauthorized|Permission\s+denied|Access\s+denied", 3, 3.0),
+    LogPattern("database_error", r"Database\s+error|SQL\s+error|query\s+failed", 4, 2.0),
+    LogPattern("http_5xx", r"5[0-9]{2}|HTTP\s+5[0-9]{2}", 3, 5.0),
+    LogPattern("http_4xx", r"4[0-9]{2}|HTTP\s+4[0-9]{2}", 2, 10.0),
+    LogPattern("crash", r"Crash|Panic|Fatal|Segmentation\s+fault|SIGSEGV", 5, 1.0),
 )
 
 

@@ -30,6 +30,7 @@ ADVICE = {
     ("missing_autoscaling", "instance"): ("Setting up an auto-scaling group (AWS) or VM scale set (Azure)", "Configuring appropriate scaling policies based on CPU, memory, or custom metrics", "Setting appropriate min and max instance counts", "Configuring scale-in protection if needed"),
     ("missing_autoscaling", "other"): ("Implementing a scaling mechanism appropriate for the service type", "Setting up monitoring to track resource usage", "Configuring alerts for high resource usage", "Testing the scaling behavior under load"),
 }
+#: Fixed: the line above the advice of each type.
 HEADS = {
     "single_point_of_failure": "Add redundancy for {} by:",
     "high_fanout": "Reduce the fanout of {} by:",
