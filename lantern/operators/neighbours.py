@@ -144,9 +144,13 @@ class Cells:
         def meet(own: pd.DataFrame, model) -> pd.DataFrame:
             held = model["held"]
             d = np.sqrt(_squares(_matrix(own["x"]), _matrix([p["x"] for p in held])))
-            # Points come by id, so a stable sort breaks ties by it.
-            order = np.argsort(d, axis=1, kind="stable")[:, :most]
-            near = [[(float(d[r, j]), held[j]["id"], *(held[j][e] for e in extras)) for j in line] for r, line in enumerate(order)]
+            bound = np.partition(d, most - 1, axis=1)[:, most - 1] if most < d.shape[1] else np.full(len(d), np.inf)
+            near = []
+            for line, far in zip(d, bound, strict=True):
+                # Points come by id, so a stable sort of those up to the bound breaks ties by it.
+                j = np.flatnonzero(line <= far)
+                j = j[np.argsort(line[j], kind="stable")][:most]
+                near.append([(float(line[c]), held[c]["id"], *(held[c][e] for e in extras)) for c in j])
             return own[["k", "x"]].assign(near=near)
 
         kinds = {f.name: f.dataType.simpleString() for f in self.chunks.schema["held"].dataType.elementType.fields}
