@@ -272,6 +272,17 @@ def test_a_long_path_takes_few_rounds(spark, monkeypatch):
     assert found == [f"p{i:05d}" for i in range(1, n - 3)] and len(calls) < 120
 
 
+def test_shallow_trees_need_no_walk(spark, monkeypatch):
+    """Stars under a root, a lone pair and a ring with a tail: leaves settle the trees, and only the ring is walked around."""
+    calls, plain = [], graph_algo.cut
+    monkeypatch.setattr(graph_algo, "cut", lambda df: calls.append(1) or plain(df))
+    stars = [(0, i) for i in range(1, 6)] + [(1 + i % 5, 6 + i) for i in range(40)] + [(50, 51)]
+    found = {int(r[0][1:]) for r in graph_algo.articulation_points(*graph(spark, 60, stars)).collect()}
+    assert found == set(range(6)) and len(calls) <= 7
+    ring = stars + [(52, 53), (53, 54), (54, 52), (54, 55), (55, 56)]
+    assert {int(r[0][1:]) for r in graph_algo.articulation_points(*graph(spark, 60, ring)).collect()} == {*range(6), 54, 55}
+
+
 def test_walk_around_trees(spark):
     """Places of a subtree lie between its root's two, without gaps over all trees."""
     pairs = [("a", "b"), ("a", "c"), ("c", "d"), ("c", "e"), ("x", "y")]
