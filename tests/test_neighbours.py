@@ -118,3 +118,14 @@ def test_centres():
     centres, sizes = T.nearest_centres(x, 3, 1)
     assert sorted(sizes.tolist()) == [50, 50, 50] and np.allclose(sorted(map(tuple, centres)), sorted(tuple(x[i : i + 50].mean(0)) for i in (0, 50, 100)))
     assert len(T.nearest_centres(np.ones((5, 2)), 3, 1)[0]) == 1
+
+
+def test_whole_keys_give_a_query_one_way(spark):
+    """In many dimensions each query had a row for nearly every cell; the nearest are the same."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1_500, 10))
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "k string, id long, x array<double>")
+    queries = rows.where("id % 50 = 0").select("k", "x")
+    whole, cut_up = N.Cells(rows, 3, whole=True), N.Cells(rows, 3)
+    ids = lambda cells: {tuple(r["x"]): [p["id"] for p in r["near"]] for r in cells.nearest_of(queries).collect()}
+    assert ids(whole) == ids(cut_up) and whole.ways(queries).count() == 30
