@@ -38,9 +38,16 @@ def service_embedding(nodes: DataFrame) -> DataFrame:
     if "environment" in nodes.columns:
         parts.append(F.transform(F.map_keys("environment"), lambda k: add(spot(k), 0.2)))
     empty = F.array().cast("array<struct<pos:int,w:double>>")
-    summed = nodes.select("node_id", F.explode(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("e")).groupBy("node_id", "e.pos").agg(F.sum("e.w").alias("w"))
-    norm = summed.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norm, "node_id").where("norm > 0").select("node_id", "pos", (F.col("w") / F.col("norm")).alias("weight"))
+    # Nodes are dealt to tasks as they are, and each one's places are summed in its own row, so no task holds sums of many.
+    named = [c for c in ("name", "kind", "category", "labels", "ports", "environment") if c in nodes.columns]
+    own = nodes.select("node_id", *named).repartition("node_id").select("node_id", F.concat(*[F.coalesce(p, empty) for p in parts]).alias("e"))
+    # Rows of one id, if there are several, lie in one task already.
+    own = own.groupBy("node_id").agg(F.flatten(F.collect_list("e")).alias("e"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x)
+    at = F.array_distinct(F.transform("e", lambda x: x["pos"]))
+    summed = own.select("node_id", F.transform(at, lambda p: F.struct(p.alias("pos"), total(F.transform(F.filter("e", lambda x: x["pos"] == p), lambda x: x["w"])).alias("w"))).alias("v"))
+    norm = F.sqrt(total(F.transform("v", lambda x: x["w"] * x["w"])))
+    return summed.withColumn("norm", norm).where("norm > 0").select("node_id", "norm", F.explode("v").alias("x")).select("node_id", "x.pos", (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
 def relationship_direction(a: str = "a", b: str = "b") -> Column:
