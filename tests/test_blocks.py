@@ -37,3 +37,10 @@ def test_edges_do_not_depend_on_blocks(spark):
         assert len(edges) == len(want) and {frozenset((r["source"], r["target"])): pytest.approx(r["confidence"]) for r in edges} == want
         assert Counter((r["source"], r["target"]) for r in M.error_edges(nodes, 0.05, most).collect()) == Counter((a, b) for a in names for b in names if rates[a] > rates[b] > 0.05)
         assert Counter((r["source"], r["target"]) for r in M.deployment_edges(nodes, most).collect()) == Counter((a, b) for a in names for b in names if a != b and a[:3] == b[:3])
+
+
+def test_tasks_follow_the_pairs(spark):
+    """300 rows of one key: the plan alone would join them in one small task."""
+    rows = spark.range(300).selectExpr("0 as k", "id")
+    found = pairs_in_blocks(rows, ["k"], "a", "b", "id", 30, task_pairs=4_500)
+    assert found.rdd.getNumPartitions() == 21 and found.distinct().count() == 90_000
