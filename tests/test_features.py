@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,28 @@ def test_texts_are_cut_into_words_only_four_times(spark):
     rows = spark.createDataFrame(lines, "i int, line string").select("i", told.asNondeterministic()("line").alias("message"))
     found = ml.log_features(rows).select("i", "features").collect()
     assert len(found) == 40 and {len(r["features"]) for r in found} == {10} and read.value <= 4 * 40
+
+
+def test_without_texts_they_are_read_three_times_for_the_same_features(spark):
+    """Once for words, once for longer runs, once for frequencies, which the rows keep."""
+    read = spark.sparkContext.accumulator(0)
+    lines = [(i, " ".join(random.Random(i).choices("disk full error the node pod slow retry".split(), k=9))) for i in range(40)]
+
+    @F.udf("string")
+    def told(x):
+        read.add(1)
+        return x
+
+    plain = spark.createDataFrame(lines, "i int, message string")
+    want = {r["i"]: r["features"] for r in ml.log_features(plain).collect()}
+    rows = ml.log_features(plain.select("i", told.asNondeterministic()("message").alias("message")), text=False)
+    assert rows.columns == ["i", "features"]
+    assert {r["i"]: r["features"] for r in rows.collect()} == {i: pytest.approx(x, abs=1e-9) for i, x in want.items()} and read.value <= 3 * 40
+
+
+def test_runs_end_with_their_row():
+    words = pa.array([["a", "b"], [], None, ["b", "x", "a", "b", "a", "a"], ["b"]])
+    row, codes = ml._run_codes(words, ["a", "b"])
+    counts = Counter(zip(row.tolist(), codes.tolist(), strict=True))
+    # To the base of three: ab = 5, ba = 7, aa = 4, aba = 16, baa = 22.
+    assert counts == Counter({(0, 1): 1, (0, 2): 1, (0, 5): 1, (3, 1): 3, (3, 2): 2, (3, 5): 1, (3, 7): 1, (3, 4): 1, (3, 16): 1, (3, 22): 1, (4, 2): 1})
