@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lantern.runtime import cut, lookup, sum_before
+from lantern.runtime import cut, dealt_by, lookup, sum_before
 
 POLICY = """name string, action string, command string, service string, timeout_seconds int, max_retries int, cooldown_seconds int,
     issue_types array<string>, anomaly_patterns array<string>, services array<string>, min_severity int, min_score double, enabled boolean"""
@@ -104,13 +104,16 @@ def rule_confidence(experiences: DataFrame, min_samples: int = 3) -> DataFrame:
 def available_actions(states: DataFrame, actions: DataFrame, target_type: Column | None = None) -> DataFrame:
     """``state_id`` with the actions whose target type is the first part of an affected service's id."""
     part = F.split_part("__s", F.lit("/"), F.lit(1)) if target_type is None else target_type
-    kinds = states.select("state_id", "issue_type", F.explode("affected_services").alias("__s")).select("state_id", "issue_type", part.alias("target_type")).distinct()
-    return kinds.join(actions, "target_type").drop("target_type").distinct()
+    kinds = states.select("state_id", "issue_type", F.explode("affected_services").alias("__s")).select("state_id", "issue_type", part.alias("__type"))
+    # Most states have the same few types of targets, so no join deals them by type.
+    kinds = dealt_by(kinds, "state_id", rows=states.count()).distinct()
+    return lookup(kinds, actions, "__type = target_type", how="inner").drop("__type", "target_type").distinct()
 
 
 def predict_action(available: DataFrame, confidence: DataFrame, least: float = 0.7) -> DataFrame:
     """``state_id, action_id, confidence``: the most confident action of ``least`` or more, the first in the library on ties, else the least risky with 0.5."""
-    known = available.join(confidence.select("issue_type", "action_id", F.col("confidence").alias("c")), ["issue_type", "action_id"], "left")
+    learnt = confidence.select(F.col("issue_type").alias("__type"), F.col("action_id").alias("__action"), F.col("confidence").alias("c"))
+    known = lookup(dealt_by(available, "state_id", rows=available.count()), learnt, "issue_type = __type and action_id = __action")
     sure = F.coalesce(F.col("c") >= least, F.lit(False))
     best = F.max_by(F.struct("action_id", "c"), F.when(sure, F.struct("c", -F.col("lib_seq"))))
     safe = F.min_by("action_id", F.struct("risk_level", "lib_seq"))
@@ -120,8 +123,11 @@ def predict_action(available: DataFrame, confidence: DataFrame, least: float = 0
 def recommend_action(predictions: DataFrame, available: DataFrame) -> DataFrame:
     """``state_id, action_id, confidence, learner``: the most confident prediction, of the first learner on ties, else the least risky action of learner ``default``.
 
-    ``predictions`` are ``state_id, action_id, confidence, learner, learner_seq``.
+    ``predictions`` are ``state_id, action_id, confidence, learner, learner_seq``. Both sides are sorted by state in as many tasks as
+    ``available`` has rows for, which is counted first; so it should be cut.
     """
+    rows = available.count()
+    predictions, available = dealt_by(predictions, "state_id", rows=rows), dealt_by(available, "state_id", rows=rows)
     best = predictions.groupBy("state_id").agg(F.max_by(F.struct("action_id", "confidence", "learner"), F.struct("confidence", -F.col("learner_seq"))).alias("b"))
     safe = available.groupBy("state_id").agg(F.min_by("action_id", F.struct("risk_level", "lib_seq")).alias("s"))
     rows = safe.join(best, "state_id", "full")
