@@ -188,6 +188,21 @@ def test_root_cause_model_learns_what_later_records_show(spark):
     assert min(scores.values()) > 0.1 and np.mean([scores.get(r[0], 0.0) > 0.5 for r in rows if r[at] > 0.6]) > 0.95
 
 
+def test_root_cause_forest_keeps_the_nodes_that_rows_reached(spark):
+    """Its trees are those of a forest that walks from the roots at each level."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(9)
+    rows = [(f"n{i}", *[float(v) for v in rng.random(len(C.FEATURES))], int(i % 3 == 0)) for i in range(200)]
+    frame = spark.createDataFrame(rows, ["node_id", *C.FEATURES, "is_root_cause"]).coalesce(1)
+    model, _ = C.train_root_cause_model(frame)
+    assert model.getOrDefault("cacheNodeIds")
+    whole = VectorAssembler(inputCols=list(C.FEATURES), outputCol="features").transform(frame.withColumn("label", F.col("is_root_cause").cast("double")))
+    plain = RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, cacheNodeIds=False).fit(whole.randomSplit([0.8, 0.2], 42)[0])
+    assert model.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
+
+
 def test_null_keys_are_keys(spark):
     rows = [(i, None if i % 2 else "k", "m", float(i)) for i in range(20)]
     df = spark.createDataFrame(rows, "i long, key string, other string, value double")
