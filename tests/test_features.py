@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,28 @@ def test_runs_end_with_their_row():
     counts = Counter(zip(row.tolist(), codes.tolist(), strict=True))
     # To the base of three: ab = 5, ba = 7, aa = 4, aba = 16, baa = 22.
     assert counts == Counter({(0, 1): 1, (0, 2): 1, (0, 5): 1, (3, 1): 3, (3, 2): 2, (3, 5): 1, (3, 7): 1, (3, 4): 1, (3, 16): 1, (3, 22): 1, (4, 2): 1})
+
+
+def test_frequencies_are_read_once_for_all_that_is_fitted(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def told(x):
+        read.add(1)
+        return x
+
+    cut = ml.cut
+    monkeypatch.setattr(ml, "cut", lambda df: cut(df).select(told.asNondeterministic()("__n").alias("__n")))
+    lines = [(i, " ".join(random.Random(i).choices("disk full error node pod slow retry".split(), k=9))) for i in range(40)]
+    found = np.array([r["features"] for r in ml.log_features(spark.createDataFrame(lines, "i int, message string")).collect()])
+    assert read.value == 40
+    # Centred, along directions of decreasing spread that don't go together.
+    shared = np.cov(found.T)
+    assert np.allclose(found.mean(axis=0), 0) and np.allclose(shared, np.diag(np.diag(shared))) and (np.diff(np.diag(shared)) < 0).all()
+
+
+def test_equal_vectors_are_scored_once(spark):
+    rows = spark.createDataFrame([("k", i, [float(i % 3), 1.0]) for i in range(30)], "k string, i int, __x array<double>")
+    models = spark.createDataFrame([("k", bytearray(ml._packed({"none": np.zeros(1)})))], "key string, model binary")
+    found = ml._apply_models(rows, models, "k", lambda model, x: x[:, 0] + 10 * len(x), "score").collect()
+    assert {r["i"]: r["score"] for r in found} == {i: i % 3 + 30 for i in range(30)}
