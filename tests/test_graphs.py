@@ -333,3 +333,23 @@ def test_propagation_paths_by_plain_search(spark, seed):
     roots = spark.createDataFrame([(name(x),) for x in problems], "node_id string")
     found = {r["node_id"]: r["path"] for r in rootcause.propagation_paths(graph(spark, n, pairs)[1], roots).collect()}
     assert found == want
+
+
+def test_leaves_go_over_repeated_edges_without_pairs(spark, monkeypatch):
+    """Leaves under repeated edges both ways are told by their least and greatest neighbour: no frame of distinct pairs is made of a graph of stars."""
+    monkeypatch.setattr(graph_algo, "undirected", None)
+    stars = [(0, 1), (0, 2), (1, 3), (3, 1), (1, 3), (1, 4), (2, 2), (5, 6), (6, 5), (7, 7)]
+    nodes, edges = graph(spark, 9, stars)
+    rest, rounds = graph_algo.without_leaves(edges)
+    assert rest.isEmpty() and sorted(tuple(r) for r in rounds[0].collect() if r["u"] in ("n03", "n05")) == [("n03", "n01", "n01"), ("n05", "n06", None)]
+    rows = checks.single_points_of_failure(nodes, edges).collect()
+    degrees = {r["affected_nodes"][0]: (r["metadata"]["incoming_connections"], r["metadata"]["outgoing_connections"]) for r in rows}
+    assert degrees == {"n00": ("0", "2"), "n01": ("2", "2")}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_leaves_with_many_hubs(spark, most):
+    """Looked up or dealt by both ends, the same edges are left: those of a ring, whose leaves and tail go."""
+    ring = [(i, (i + 1) % 6) for i in range(6)] + [(i, 10 + 2 * i + j) for i in range(6) for j in range(2)] + [(30, 31), (31, 5), (5, 31)]
+    rest, _ = graph_algo.without_leaves(graph(spark, 40, ring)[1], most=most)
+    assert sorted((int(r[0][1:]), int(r[1][1:])) for r in rest.collect()) == sorted(ring[:6])
