@@ -353,3 +353,24 @@ def test_leaves_with_many_hubs(spark, most):
     ring = [(i, (i + 1) % 6) for i in range(6)] + [(i, 10 + 2 * i + j) for i in range(6) for j in range(2)] + [(30, 31), (31, 5), (5, 31)]
     rest, _ = graph_algo.without_leaves(graph(spark, 40, ring)[1], most=most)
     assert sorted((int(r[0][1:]), int(r[1][1:])) for r in rest.collect()) == sorted(ring[:6])
+
+
+def test_weak_components_of_trees_need_no_labels(spark, monkeypatch):
+    """Stars under a root, a lone pair, loops and a node that no table has: leaves take their hub's name, and the least node names each component."""
+    monkeypatch.setattr(graph_algo, "connected_components", None)
+    pairs = [(9, i) for i in range(3, 9)] + [(3, 20), (21, 3), (3, 21), (4, 1), (30, 31), (31, 30), (32, 32), (50, 40), (50, 41)]
+    nodes, edges = graph(spark, 45, pairs)
+    found = {int(r["node_id"][1:]): int(r["component"][1:]) for r in graph_algo.weak_components(nodes, edges).collect()}
+    known = union_find([a for a, _ in pairs], [b for _, b in pairs])
+    assert found == {i: known.get(i, i) for i in range(45)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_weak_components_by_union_find(spark, seed):
+    """Rings with tails and stars, sparse and denser."""
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range([35, 60][seed])] + [(70, 71), (71, 72), (72, 70), (72, 73), (73, 74), (74, 69)]
+    nodes, edges = graph(spark, 80, pairs)
+    found = {int(r["node_id"][1:]): int(r["component"][1:]) for r in graph_algo.weak_components(nodes, edges).collect()}
+    known = union_find([a for a, _ in pairs], [b for _, b in pairs])
+    assert found == {i: known.get(i, i) for i in range(80)}
