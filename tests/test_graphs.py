@@ -374,3 +374,11 @@ def test_weak_components_by_union_find(spark, seed):
     found = {int(r["node_id"][1:]): int(r["component"][1:]) for r in graph_algo.weak_components(nodes, edges).collect()}
     known = union_find([a for a, _ in pairs], [b for _, b in pairs])
     assert found == {i: known.get(i, i) for i in range(80)}
+
+
+def test_resolved_issues_read_the_nodes_that_were_written(spark, small):
+    """The resolutions' plan reads the nodes from where they were written, and makes them from no table again."""
+    from lantern.plans.actions import r01
+
+    files = r01(spark, small).inputFiles()
+    assert files and not [f for f in files if f.endswith(("customer.parquet", "supplier.parquet"))]
